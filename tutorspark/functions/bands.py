@@ -51,7 +51,7 @@ def hours(df: DataFrame) -> Column:
     """Total hours of a prepared row, 0 when missing."""
     if "total_hours" not in df.columns:
         return F.lit(0.0)
-    return F.coalesce(F.col("total_hours").cast("double"), F.lit(0.0))
+    return F.expr("coalesce(double(total_hours), 0.0D)")
 
 
 def is_tutored(df: DataFrame) -> Column:
@@ -122,8 +122,8 @@ def score_bin(score: Column) -> Column:
 
 
 def proficiency_rank(level: Column) -> Column:
-    """Index of the first listed phrase found in the label, last when none is."""
-    text = lowered(level)
+    """Index of the first listed phrase found in a (trimmed) label, last when none is."""
+    text = F.lower(level)
     rank = None
     for index, phrase in enumerate(PROFICIENCY_PHRASES):
         hit = text.contains(phrase)

@@ -1,5 +1,10 @@
-"""Typed values from messy text.  Each parser gives a value (bad input is NULL, never an error)
-and a matching ``*_is_valid`` predicate, in which NULL input counts as valid."""
+"""Typed values from clean text.
+
+Each parser takes text that ``clean`` has been through and gives a value (bad input is NULL, never
+an error); the matching ``*_is_valid`` counts NULL input as valid.  Parsers name their input more
+than once, so clean it in a projection of its own: Catalyst keeps that projection and the cleaning
+runs once per cell.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tutorspark.functions.text import clean, lowered
-
 # Accepted spellings.
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
 FALSE_WORDS = ("false", "0", "no", "n", "f")
@@ -23,43 +26,47 @@ MIN_GRADE, MAX_GRADE = -1, 12
 # Spark's cast would also take "3d", "inf" and "nan".
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Accepted date shapes besides the ISO ones, each rewritten to ISO.
-_YEAR_FIRST_SLASHES = r"^(\d{4})/(\d{1,2})/(\d{1,2})(\s.*)?$"
-_MONTH_FIRST_SLASHES = r"^(\d{1,2})/(\d{1,2})/(\d{4})(\s.*)?$"
-_EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
-_TWELVE_HOUR = r"(?i)\d\s*[ap]m$"
+# Accepted date shapes besides ISO and how each is rewritten to ISO; text of another shape passes.
+_TO_ISO = (
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=\s|$)", "$1-$2-$3"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=\s|$)", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+)
 
 
 def flag(c: Column) -> Column:
     """P5: tri-state flag; NULL means unknown."""
-    word = lowered(c)
+    word = F.lower(c)
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
 def flag_is_valid(c: Column) -> Column:
-    word = lowered(c)
-    return word.isNull() | word.isin(*TRUE_WORDS, *FALSE_WORDS, *UNKNOWN_WORDS)
+    return c.isNull() | F.lower(c).isin(*TRUE_WORDS, *FALSE_WORDS, *UNKNOWN_WORDS)
 
 
-def number(c: Column, data_type: T.DataType | None = None) -> Column:
-    """A finite double.  Columns that are already numeric skip the text round trip."""
-    if isinstance(data_type, T.NumericType):
-        value = c.cast("double")
-        return F.when(F.abs(value) < F.lit(float("inf")), value)
-    text = clean(c)
-    value = text.try_cast("double")
-    return F.when(text.rlike(_NUMBER) & (F.abs(value) < F.lit(float("inf"))), value)
+def number(c: Column) -> Column:
+    """A finite double."""
+    value = F.when(c.rlike(_NUMBER), c).try_cast("double")
+    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def number_is_valid(c: Column) -> Column:
-    return clean(c).isNull() | number(c).isNotNull()
+    return c.isNull() | number(c).isNotNull()
 
 
-def grade(c: Column, data_type: T.DataType | None = None) -> Column:
-    """Grade as int, truncated toward zero when the text is not integral."""
+def typed_number(name: str, data_type: T.DataType) -> Column:
+    """A column that should hold numbers as finite doubles, whatever its type."""
+    cell = "`" + name.replace("`", "``") + "`"
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return F.expr(f"CASE WHEN abs({cell}) < double('Infinity') THEN double({cell}) END")
     if isinstance(data_type, T.NumericType):
-        return number(c, data_type).try_cast("int")
-    word = lowered(c)
+        return F.expr(f"double({cell})")
+    return number(F.trim(F.expr(f"string({cell})")))
+
+
+def grade(c: Column) -> Column:
+    """Grade as int, truncated toward zero when the text is not integral."""
+    word = F.lower(c)
     return (
         F.when(word.isin(*PRE_KINDERGARTEN_WORDS), F.lit(-1))
         .when(word.isin(*KINDERGARTEN_WORDS), F.lit(0))
@@ -68,41 +75,36 @@ def grade(c: Column, data_type: T.DataType | None = None) -> Column:
 
 
 def grade_is_valid(c: Column) -> Column:
-    word = lowered(c)
-    integral = F.coalesce(grade(c) == number(c), F.lit(False))
-    return word.isNull() | word.isin(*PRE_KINDERGARTEN_WORDS, *KINDERGARTEN_WORDS) | integral
+    value = number(c)
+    return (
+        c.isNull()
+        | F.lower(c).isin(*PRE_KINDERGARTEN_WORDS, *KINDERGARTEN_WORDS)
+        | F.coalesce(value == value.try_cast("int"), F.lit(False))
+    )
 
 
 def topic(c: Column) -> Column:
     """Subject aliases become ela/math, anything else is kept in lower case."""
-    word = lowered(c)
+    word = F.lower(c)
     return F.when(word.isin(*ELA_WORDS), "ela").when(word.isin(*MATH_WORDS), "math").otherwise(word)
 
 
 def topic_is_valid(c: Column) -> Column:
-    word = lowered(c)
-    return word.isNull() | word.isin(*ELA_WORDS, *MATH_WORDS)
+    return c.isNull() | F.lower(c).isin(*ELA_WORDS, *MATH_WORDS)
 
 
-def timestamp(c: Column, data_type: T.DataType | None = None) -> Column:
+def timestamp(c: Column) -> Column:
     """Date or datetime as wall-clock time, every row by its own format.
 
-    Everything is rewritten to ISO first so that one time-zone-free cast does the parsing.
+    Everything is rewritten to ISO so that one time-zone-free cast does the parsing; a twelve-hour
+    clock, which that cast rejects, is tried after it.
     """
-    if isinstance(data_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return c.cast("timestamp_ntz")
-    text = clean(c)
-    iso = (
-        F.when(text.rlike(_YEAR_FIRST_SLASHES), F.regexp_replace(text, _YEAR_FIRST_SLASHES, "$1-$2-$3$4"))
-        .when(text.rlike(_MONTH_FIRST_SLASHES), F.regexp_replace(text, _MONTH_FIRST_SLASHES, "$3-$1-$2$4"))
-        .when(text.rlike(_EIGHT_DIGITS), F.regexp_replace(text, _EIGHT_DIGITS, "$1-$2-$3"))
-        .otherwise(text)
-    )
-    twelve_hour = F.try_to_timestamp(
-        F.upper(F.regexp_replace(iso, r"\s*([AaPp][Mm])$", " $1")), F.lit("yyyy-M-d h:mm[:ss] a")
-    ).cast("timestamp_ntz")
-    return F.when(iso.rlike(_TWELVE_HOUR), twelve_hour).otherwise(iso.try_cast("timestamp_ntz"))
+    iso = c
+    for shape, rewritten in _TO_ISO:
+        iso = F.regexp_replace(iso, shape, rewritten)
+    twelve_hour = F.try_to_timestamp(F.upper(iso), F.lit("yyyy-M-d h:mm[:ss][ ]a"))
+    return F.coalesce(iso.try_cast("timestamp_ntz"), twelve_hour.cast("timestamp_ntz"))
 
 
 def timestamp_is_valid(c: Column) -> Column:
-    return clean(c).isNull() | timestamp(c).isNotNull()
+    return c.isNull() | timestamp(c).isNotNull()

@@ -33,6 +33,24 @@ def lowered(c: Column) -> Column:
     return F.lower(clean(c))
 
 
+def to_tenths(c: Column) -> Column:
+    """A value whose one-decimal rendering is the exact number rounded, halves to the even digit.
+
+    ``format_string`` rounds the shortest decimal form half up, which differs when that form ends
+    in a 5 at the second place.  There the sign of the exact remainder decides; both subtractions
+    are exact because their operands are within a factor of two.
+    """
+    twentieths = F.round(c * 20)
+    looks_tied = (c == twentieths / 20) & (twentieths % 2 != 0)
+    remainder = (c * 16 - twentieths) + c * 4
+    return (
+        F.when(~looks_tied, c)
+        .when(remainder < 0, (twentieths - 1) / 20)
+        .when(remainder > 0, (twentieths + 1) / 20)
+        .otherwise(F.bround(twentieths / 2) / 10)
+    )
+
+
 def percent_text(c: Column) -> Column:
     """One decimal and a percent sign, as the report tables print shares."""
-    return F.format_string("%.1f%%", c)
+    return F.format_string("%.1f%%", to_tenths(c))

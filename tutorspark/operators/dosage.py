@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tutorspark.functions import bands, parsing
 from tutorspark.functions.bands import DEFAULT_TARGET_HOURS, DOSAGE_SHARES, dosage_band_conditions
 from tutorspark.functions.stats import share
-from tutorspark.functions.text import percent_text
+from tutorspark.functions.text import percent_text, strip, to_tenths
 from tutorspark.operators.filters import tutored_students
 from tutorspark.operators.prepare import duration_hours, roster_with_subject_hours
 from tutorspark.operators.ranking import gini_of_ranked, quantile_of_ranked, ranked_values
@@ -117,7 +118,7 @@ def subject_dosage(
 def as_printed(table: DataFrame) -> DataFrame:
     """A7/A8 the way the report prints them: shares with one decimal, counts with their share."""
     printed = {name: percent_text(F.col(name)) for name in DOSAGE_SHARES}
-    tutored = F.format_string("%d (%.1f%%)", F.col("students_tutored"), F.col("pct_tutored"))
+    tutored = F.format_string("%d (%.1f%%)", F.col("students_tutored"), to_tenths(F.col("pct_tutored")))
     return table.withColumns({**printed, "students_tutored": tutored}).drop("pct_tutored")
 
 
@@ -125,7 +126,9 @@ def session_time(sessions: DataFrame) -> Column:
     """Wall-clock time of a session: a typed ``session_ts`` if there is one, else the parsed date."""
     if "session_ts" in sessions.columns:
         return F.col("session_ts").cast("timestamp_ntz")
-    return parsing.timestamp(F.col("session_date"), sessions.schema["session_date"].dataType)
+    if not isinstance(sessions.schema["session_date"].dataType, T.StringType):
+        return F.col("session_date").cast("timestamp_ntz")
+    return parsing.timestamp(strip(F.col("session_date")))
 
 
 def timed_sessions(sessions: DataFrame) -> DataFrame:
@@ -170,14 +173,15 @@ def daily_sessions(sessions: DataFrame) -> DataFrame:
 def equal_width_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Add ``bin`` (1..bins) and its edges; NULL values dropped, a single value is one bin."""
     limits = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("x")).scalar()
-    low, high = limits["low"], limits["high"]
-    width = (high - low) / F.lit(float(bins))
-    bucket = F.when(low == high, F.lit(1)).otherwise(
-        F.least(F.width_bucket(F.col(value), low, high, F.lit(bins)), F.lit(bins))
-    )
-    binned = df.filter(F.col(value).isNotNull()).withColumn("bin", bucket.cast("int"))
-    return binned.withColumns(
-        {"bin_low": low + width * (F.col("bin") - 1), "bin_high": low + width * F.col("bin")}
+    bucket = f"""CASE WHEN _x.low = _x.high THEN 1
+                 ELSE int(least(width_bucket({value}, _x.low, _x.high, {bins}), {bins})) END"""
+    width = f"(_x.high - _x.low) / {bins}D"
+    return (
+        df.filter(F.col(value).isNotNull())
+        .select("*", limits.alias("_x"))
+        .selectExpr("*", f"{bucket} AS bin")
+        .selectExpr("*", f"_x.low + {width} * (bin - 1) AS bin_low", f"_x.low + {width} * bin AS bin_high")
+        .drop("_x")
     )
 
 

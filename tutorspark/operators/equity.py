@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tutorspark.functions import bands
 from tutorspark.functions.bands import DEFAULT_TARGET_HOURS, flag_is, high_need, proficiency_rank
-from tutorspark.functions.parsing import number
+from tutorspark.functions.parsing import typed_number
 from tutorspark.functions.stats import share
 from tutorspark.functions.text import clean, strip
 from tutorspark.operators.filters import tutored_students
@@ -18,6 +18,7 @@ from tutorspark.operators.ranking import (
     ranked_values,
     value_counts,
 )
+from tutorspark.sources.literals import literal_table
 from tutorspark.schema import EQUITY_FLAGS, SUBJECTS, outcome_measures
 
 SMALL_SAMPLE = 30
@@ -55,7 +56,8 @@ def subgroup_gaps(df: DataFrame) -> DataFrame:
     """
     flags, sides = _flag_sides(df)
     if not flags:
-        return df.sparkSession.createDataFrame(
+        return literal_table(
+            df.sparkSession,
             [],
             "flag string, mean_true double, mean_false double, gap double, n_true long, n_false long, "
             "small_sample boolean",
@@ -164,7 +166,8 @@ def proficiency_summary(df: DataFrame, column: str | None = None) -> DataFrame:
     """Tutored and untutored students per proficiency level, all matched students."""
     column = column or performance_column(df.columns)
     if column is None or column not in df.columns:
-        return df.sparkSession.createDataFrame(
+        return literal_table(
+            df.sparkSession,
             [],
             "level_rank int, proficiency_level string, tutored long, untutored long, total long, "
             "pct_tutored double",
@@ -220,7 +223,8 @@ def score_participation(df: DataFrame, smoothing_rows: int = SMOOTHING_ROWS) ->
     and smoothed over the neighbouring scores.  All matched students."""
     columns = outcome_columns(df.columns)
     if not columns:
-        return df.sparkSession.createDataFrame(
+        return literal_table(
+            df.sparkSession,
             [],
             "subject string, outcome double, smoothed_pct_tutored double, pct_tutored double, "
             "student_count long, tutored_count long, untutored_count long, smoothing_students long, "
@@ -233,7 +237,7 @@ def score_participation(df: DataFrame, smoothing_rows: int = SMOOTHING_ROWS) ->
                 *(
                     F.struct(
                         F.lit(subject.upper()).alias("subject"),
-                        number(F.col(c), df.schema[c].dataType).alias("outcome"),
+                        typed_number(c, df.schema[c].dataType).alias("outcome"),
                     )
                     for subject, c in columns.items()
                 )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tutorspark.functions.bands import grade_band, grade_band_label, received_tutoring
+from tutorspark.functions.bands import grade_band, received_tutoring
 
 _SPREAD = "_spread"
 _NULL_KEY_SLOTS = 4096
@@ -25,12 +25,15 @@ def join_per_key(left: DataFrame, per_key: DataFrame, key: str, how: str) -> Dat
       second column Spark would join it in place and the split could not happen.  The price is one
       more shuffle of the per-key rows.
     """
-    null_slot = -1 - F.monotonically_increasing_id() % F.lit(_NULL_KEY_SLOTS)
-    spread_left = left.withColumn(
-        _SPREAD, F.when(F.col(key).isNull(), null_slot).otherwise(F.length(key).cast("long"))
+    null_slot = f"-1 - monotonically_increasing_id() % {_NULL_KEY_SLOTS}"
+    spread_left = left.selectExpr(
+        "*", f"CASE WHEN {key} IS NULL THEN {null_slot} ELSE bigint(length({key})) END AS {_SPREAD}"
     )
-    spread_right = per_key.withColumn(_SPREAD, F.length(key).cast("long"))
-    return spread_left.join(spread_right, [key, _SPREAD], how).drop(_SPREAD).select(
+    spread_right = per_key.selectExpr("*", f"bigint(length({key})) AS {_SPREAD}")
+    joined = spread_left.join(spread_right, [key, _SPREAD], how).drop(_SPREAD)
+    if left.columns[0] == key:
+        return joined
+    return joined.select(
         *left.columns, *(c for c in per_key.columns if c != key and how != "left_semi")
     )
 
@@ -79,9 +82,3 @@ def sessions_with_grade(sessions: DataFrame, roster: DataFrame) -> DataFrame:
 def with_grade_band(df: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
     """Add ``grade_band``."""
     return df.withColumn("grade_band", grade_band(F.col("current_grade_level"), bands))
-
-
-def band_table(df: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
-    """The bands themselves as rows (``band_ord``, ``grade_band``, low, high)."""
-    rows = [(i, grade_band_label(low, high), low, high) for i, (low, high) in enumerate(bands)]
-    return df.sparkSession.createDataFrame(rows, "band_ord int, grade_band string, low int, high int")

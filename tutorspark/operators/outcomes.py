@@ -15,6 +15,7 @@ from tutorspark.operators.ranking import (
     stddev_of_ranked,
 )
 from tutorspark.schema import SUBJECTS
+from tutorspark.sources.literals import literal_table
 
 MEASURES = ("value_added", "raw_gain")
 HISTOGRAM_BINS = 20
@@ -134,7 +135,7 @@ def overall_outcomes(metrics: DataFrame) -> DataFrame:
 
 def outcome_labels(metrics: DataFrame) -> DataFrame:
     """Per subject, significance and direction of the value added; a missing mean counts as 0."""
-    subjects = metrics.sparkSession.createDataFrame([(s,) for s in SUBJECTS], "subject string")
+    subjects = literal_table(metrics.sparkSession, [(s,) for s in SUBJECTS], "subject string")
     va = metrics.filter(F.col("measure") == "value_added").select("subject", "mean", "p_value")
     return subjects.join(va, "subject", "left").select(
         "subject",

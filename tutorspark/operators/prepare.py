@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.functions.bands import minutes_to_hours
-from tutorspark.functions.parsing import number
+from tutorspark.functions.parsing import typed_number
 from tutorspark.functions.text import strip
 from tutorspark.operators.joins import join_per_key
 from tutorspark.schema import SUBJECTS, outcome_measures
@@ -14,7 +14,7 @@ from tutorspark.schema import SUBJECTS, outcome_measures
 
 def duration_hours(sessions: DataFrame) -> Column:
     """P13 on a session table; unparsable minutes are NULL."""
-    return minutes_to_hours(number(F.col("session_duration"), sessions.schema["session_duration"].dataType))
+    return minutes_to_hours(typed_number("session_duration", sessions.schema["session_duration"].dataType))
 
 
 def with_trimmed_id(df: DataFrame) -> DataFrame:
@@ -29,10 +29,10 @@ def hours_per_student(sessions: DataFrame) -> DataFrame:
     the left join from the roster drops anyway, after the roll-up and at one row each.
     """
     return (
-        with_trimmed_id(sessions)
-        .filter(F.col("student_id").isNotNull())
+        sessions.select(strip(F.col("student_id")).alias("student_id"), duration_hours(sessions).alias("h"))
+        .filter("student_id IS NOT NULL")
         .groupBy("student_id")
-        .agg(F.coalesce(F.sum(duration_hours(sessions)), F.lit(0.0)).alias("total_hours"))
+        .agg(F.expr("coalesce(sum(h), 0.0D)").alias("total_hours"))
     )
 
 
@@ -69,34 +69,34 @@ def hours_by_subject(sessions: DataFrame) -> DataFrame:
 def roster_with_hours(roster: DataFrame, hours: DataFrame) -> DataFrame:
     """Every roster row once; unmatched or missing id means 0 hours."""
     joined = join_per_key(roster, hours, "student_id", "left")
-    return joined.withColumn("total_hours", F.coalesce("total_hours", F.lit(0.0)))
+    return joined.withColumn("total_hours", F.expr("coalesce(total_hours, 0.0D)"))
 
 
 def latest_outcome(df: DataFrame, subject: str) -> Column:
     """The ready-made column, else the newest non-null measure present."""
     name = f"{subject}_latest_outcome"
     if name in df.columns:
-        return number(F.col(name), df.schema[name].dataType)
+        return typed_number(name, df.schema[name].dataType)
     newest_first = [m for m in reversed(outcome_measures(subject)) if m in df.columns]
     if not newest_first:
-        return F.lit(None).cast("double")
-    return F.coalesce(*(number(F.col(m), df.schema[m].dataType) for m in newest_first))
+        return F.expr("double(NULL)")
+    return F.coalesce(*(typed_number(m, df.schema[m].dataType) for m in newest_first))
 
 
 def with_outcome_columns(df: DataFrame) -> DataFrame:
     """Latest outcome, raw gain and value added per subject."""
-    base = df.drop(*(f"{s}_latest_outcome" for s in SUBJECTS))
+    base = df.drop(*(c for s in SUBJECTS if (c := f"{s}_latest_outcome") in df.columns))
     derived: dict[str, Column] = {}
     for subject in SUBJECTS:
         measures = outcome_measures(subject)
         derived[f"{subject}_latest_outcome"] = latest_outcome(base, subject)
         if all(m in df.columns for m in measures):
-            first, second, third = (F.col(m) for m in measures)
-            derived[f"{subject}_raw_gain"] = third - first
-            derived[f"{subject}_value_added"] = (third - second) - (second - first)
+            first, second, third = measures
+            derived[f"{subject}_raw_gain"] = F.expr(f"{third} - {first}")
+            derived[f"{subject}_value_added"] = F.expr(f"({third} - {second}) - ({second} - {first})")
         else:
-            derived[f"{subject}_raw_gain"] = F.lit(None).cast("double")
-            derived[f"{subject}_value_added"] = F.lit(None).cast("double")
+            derived[f"{subject}_raw_gain"] = F.expr("double(NULL)")
+            derived[f"{subject}_value_added"] = F.expr("double(NULL)")
     return df.withColumns(derived)
 
 
@@ -108,12 +108,14 @@ def prepare(sessions: DataFrame, roster: DataFrame) -> DataFrame:
     """
     if "student_id" not in roster.columns:
         return roster
-    students = with_trimmed_id(roster).drop("total_hours")
+    students = with_trimmed_id(roster)
+    if "total_hours" in roster.columns:
+        students = students.drop("total_hours")
     if {"student_id", "session_duration"} <= set(sessions.columns):
         with_hours = roster_with_hours(students, hours_per_student(sessions))
     else:
         with_hours = students.withColumn("total_hours", F.lit(0.0))
-    return with_outcome_columns(with_hours.withColumn("received_tutoring", F.col("total_hours") > 0))
+    return with_outcome_columns(with_hours.withColumn("received_tutoring", F.expr("total_hours > 0")))
 
 
 def roster_with_subject_hours(prepared: DataFrame, sessions: DataFrame) -> DataFrame:

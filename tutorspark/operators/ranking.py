@@ -3,7 +3,7 @@
 Exact percentiles, the Gini coefficient, top-k of any size and rolling sums over a sorted list all
 need the position of a row in a sorted group.  A plain ``Window.partitionBy(group).orderBy(value)``
 puts a whole group into one task, and ``percentile`` holds every distinct value of a group in one
-buffer.  Here the rows are range-partitioned over (group, value) instead, so that a group of any
+buffer.  That is fine for a table known to be small.  Beyond that the rows are range-partitioned over (group, value) instead, so that a group of any
 size is spread over many tasks; running sums are taken inside each slice, and one small table of
 slice totals (at most partitions + groups rows) turns them into running sums over the group.
 """
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tutorspark.session import settle
 
 _SLICE = "_slice"
+# Up to here a window in one task is quicker than cutting the table into slices.
+SMALL_TABLE_ROWS = 200_000
+SMALL_LIMIT = 10_000
 ROWS_PER_BLOCK = 100_000
 
 
@@ -36,10 +39,28 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``before_<name>`` (sum over the earlier rows of the group) and ``total_<name>``.
 
-    Group columns must not be NULL.  Ties in ``order`` are counted row by row, in any order.
+    Group columns must not be NULL.  Ties in ``order`` are counted row by row, in any order.  The
+    table is settled and counted first: up to ``SMALL_TABLE_ROWS`` a plain window does it in one
+    task per group, beyond that the groups are sliced.
     """
+    table = settle(df)
+    if table.count() > SMALL_TABLE_ROWS:
+        return sliced_prefix_sums(table, order, sums, by)
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return table.select(
+        "*",
+        *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{name}") for name, c in sums.items()),
+        *(F.sum(c).over(group).alias(f"total_{name}") for name, c in sums.items()),
+    )
+
+
+def sliced_prefix_sums(
+    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()
+) -> DataFrame:
+    """``prefix_sums`` for a table of any size, with no group confined to one task."""
     by, order = list(by), list(order)
-    ranged = df.repartitionByRange(*by, *order).withColumn(_SLICE, F.spark_partition_id())
+    ranged = df.repartitionByRange(*by, *order).select("*", F.spark_partition_id().alias(_SLICE))
     # Slice boundaries come from a sample, so both readers below must see one and the same slicing.
     sliced = settle(ranged)
 
@@ -81,42 +102,41 @@ def ranked_values(
 
 def quantile_of_ranked(value: str, p: float) -> Column:
     """Aggregate over ``ranked_values``: linear interpolation between the two neighbouring ranks."""
-    position = F.lit(float(p)) * (F.col("total_n") - 1)
-    low, high = F.floor(position), F.ceil(position)
+    position = f"{float(p)!r}D * (total_n - 1)"
 
-    def at(rank: Column) -> Column:
-        covers = (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
-        return F.max(F.when(covers, F.col(value).cast("double")))
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN before_n <= {rank} AND {rank} < before_n + n THEN double({value}) END)"
 
-    fraction = F.max(position - low)
-    return at(low) + (at(high) - at(low)) * fraction
+    low, high = at(f"floor({position})"), at(f"ceil({position})")
+    return F.expr(f"{low} + ({high} - {low}) * max({position} - floor({position}))")
 
 
 def mean_of_ranked() -> Column:
-    return F.max(F.try_divide(F.col("total_sum").cast("double"), F.col("total_n")))
+    return F.expr("max(try_divide(double(total_sum), total_n))")
 
 
 def stddev_of_ranked(value: str) -> Column:
     """Sample standard deviation by deviations from the mean, NULL for a single row."""
-    mean = F.try_divide(F.col("total_sum").cast("double"), F.col("total_n"))
-    deviation = F.col(value).cast("double") - mean
-    return F.sqrt(F.try_divide(F.sum(F.col("n") * deviation * deviation), F.max("total_n") - F.lit(1)))
+    deviation = f"(double({value}) - try_divide(double(total_sum), total_n))"
+    return F.expr(f"sqrt(try_divide(sum(n * {deviation} * {deviation}), max(total_n) - 1))")
 
 
 def gini_of_ranked(value: str) -> Column:
     """A value occupying ranks b+1..b+n contributes value * (n*b + n(n+1)/2)."""
-    n, b, v = F.col("n").cast("double"), F.col("before_n").cast("double"), F.col(value).cast("double")
-    weighted = F.sum(v * (n * b + n * (n + 1) / 2))
-    count, total = F.max("total_n").cast("double"), F.sum(v * n)
-    gini = F.lit(2.0) * weighted / (count * total) - (count + 1) / count
-    return F.when(total > 0, gini).when(count.isNotNull(), F.lit(0.0))
+    n, b, v = "double(n)", "double(before_n)", f"double({value})"
+    weighted = f"sum({v} * ({n} * {b} + {n} * ({n} + 1) / 2))"
+    count, total = "double(max(total_n))", f"sum({v} * {n})"
+    return F.expr(
+        f"CASE WHEN {total} > 0 THEN 2 * {weighted} / ({count} * {total}) - ({count} + 1) / {count} "
+        f"WHEN {count} > 0 THEN 0.0D END"
+    )
 
 
 def smallest_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """Exactly the k first rows by ``order``, ties broken arbitrarily; k may be any size."""
-    if k <= 10_000:
+    if k <= SMALL_LIMIT:
         return df.orderBy(*order).limit(k)
-    ranked = prefix_sums(df, order, {"row": F.lit(1)})
+    ranked = sliced_prefix_sums(df, order, {"row": F.lit(1)})
     return ranked.filter(F.col("before_row") < F.lit(k)).drop("before_row", "total_row")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.functions.text import col
@@ -91,12 +91,12 @@ SECTIONS = (
 TAB_SUMMARY = "Tab summary"
 
 
-def _coverage(df: DataFrame, columns: list[str]):
-    """Share of non-null cells per column as a one-row struct, one pass."""
+def _coverage(columns: list[str]) -> Column:
+    """Share of non-null cells per column, as a struct."""
+    if not columns:
+        return F.max(F.struct(F.lit(1.0).alias("nothing")))
     n = F.count(F.lit(1))
-    return df.agg(
-        F.struct(*(F.try_divide(F.count(col(c)), n).alias(c) for c in columns)).alias("coverage")
-    ).scalar()
+    return F.struct(*(F.try_divide(F.count(col(c)), n).alias(c) for c in columns))
 
 
 def readiness(prepared: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -116,15 +116,12 @@ def readiness(prepared: DataFrame, sessions: DataFrame) -> DataFrame:
 
     used_prepared = sorted({c for _, _, _, used, _ in judged for c in used})
     used_sessions = sorted({session_column(c) for _, _, _, _, used in judged for c in used})
-    filled = _coverage(prepared, used_prepared) if used_prepared else None
-    filled_sessions = _coverage(sessions, used_sessions) if used_sessions else None
 
-    def lowest(columns: list[str], session_columns: list[str]):
-        cells = [filled[c] for c in columns]
-        cells += [filled_sessions[session_column(c)] for c in session_columns]
+    def lowest(columns: list[str], session_columns: list[str]) -> str:
+        cells = [f"p.`{c}`" for c in columns] + [f"s.`{session_column(c)}`" for c in session_columns]
         if not cells:
-            return F.lit(None).cast("double")
-        return F.least(*cells) if len(cells) > 1 else cells[0]
+            return "double(NULL)"
+        return f"least({', '.join(cells)})" if len(cells) > 1 else cells[0]
 
     rows, order = [], 0
     tabs = list(dict.fromkeys(s.tab for s in SECTIONS))
@@ -148,11 +145,13 @@ def readiness(prepared: DataFrame, sessions: DataFrame) -> DataFrame:
     names = ("ord", "tab", "section", "status", "detail")
     entries = F.array(
         *(
-            F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row)), row[5].alias("coverage"))
+            F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row)), F.expr(row[5]).alias("coverage"))
             for row in rows
         )
     )
-    one_row = prepared.sparkSession.range(1)
+    one_row = prepared.agg(_coverage(used_prepared).alias("p")).select(
+        "p", sessions.agg(_coverage(used_sessions)).scalar().alias("s")
+    )
     return one_row.select(F.explode(entries).alias("r")).select("r.*").orderBy("ord")
 
 

@@ -40,7 +40,7 @@ def load_frame(
     if keep_text:
         clean = materialize(clean)
     raw = clean.drop(POSITION)
-    return Loaded(raw, coerce_types(raw, dataset), validate(clean, dataset, report), report)
+    return Loaded(raw, coerce_types(raw, dataset, is_clean=True), validate(clean, dataset, report), report)
 
 
 def load_dataset(

@@ -75,25 +75,48 @@ def normalize_columns(
     return by_position.select(*merged, *kept), report
 
 
-def typed_column(c: Column, kind: str, data_type: T.DataType) -> Column:
-    """One field by its kind.  Bad input becomes NULL."""
+def typed_column(name: str, kind: str, data_type: T.DataType) -> Column:
+    """One clean field by its kind.  Bad input becomes NULL; columns typed already stay."""
+    c = col(name)
     if kind == "flag":
         return c if isinstance(data_type, T.BooleanType) else parsing.flag(c)
+    if kind in ("grade", "numeric", "numeric_outcome") and isinstance(data_type, T.NumericType):
+        value = parsing.typed_number(name, data_type)
+        return value.try_cast("int") if kind == "grade" else value
     if kind == "grade":
-        return parsing.grade(c, data_type)
+        return parsing.grade(c)
     if kind in ("numeric", "numeric_outcome"):
-        return parsing.number(c, data_type)
+        return parsing.number(c)
     if kind == "topic":
         return parsing.topic(c)
-    return clean(c)
+    return c
 
 
-def coerce_types(df: DataFrame, dataset: str) -> DataFrame:
-    """Every known column by its field kind, other columns untouched."""
+def _is_typed(kind: str, data_type: T.DataType) -> bool:
+    if kind == "flag":
+        return isinstance(data_type, T.BooleanType)
+    return kind in ("grade", "numeric", "numeric_outcome") and isinstance(data_type, T.NumericType)
+
+
+def coerce_types(df: DataFrame, dataset: str, is_clean: bool = False) -> DataFrame:
+    """Every known column by its field kind, other columns untouched.
+
+    Cells are cleaned in a projection of their own, see ``parsing``; ``is_clean`` skips it for the
+    output of ``normalize_columns``.
+    """
     known = field_map(dataset)
+    if not is_clean:
+        df = df.select(
+            *(
+                clean(col(f.name)).alias(f.name)
+                if f.name in known and not _is_typed(known[f.name].kind, f.dataType)
+                else col(f.name)
+                for f in df.schema.fields
+            )
+        )
     return df.select(
         *(
-            typed_column(col(f.name), known[f.name].kind, f.dataType).alias(f.name)
+            typed_column(f.name, known[f.name].kind, f.dataType).alias(f.name)
             if f.name in known
             else col(f.name)
             for f in df.schema.fields

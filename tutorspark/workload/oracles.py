@@ -36,9 +36,6 @@ def pct(part: str, whole: str) -> str:
     return f"(100.0::DOUBLE * ({part}) / nullif({whole}, 0))"
 
 
-_CLEAN_CHARS = r"^\s+|\s+$"
-
-
 def clean(c: str) -> str:
     return f"nullif(trim(CAST({c} AS VARCHAR)), '')"
 
@@ -54,10 +51,7 @@ def _outcome_columns() -> str:
 
 
 _CTES = {
-    "sessions": views.SESSIONS,
-    "roster": views.ROSTER,
-    "messy_sessions": views.MESSY_SESSIONS,
-    "messy_roster": views.MESSY_ROSTER,
+    **{name: views.sql(name) for name in ("sessions", "roster", "messy_sessions", "messy_roster")},
     "hours": """SELECT student_id, coalesce(sum(session_duration / 60.0::DOUBLE), 0.0::DOUBLE) AS h
                 FROM sessions WHERE student_id IS NOT NULL GROUP BY student_id""",
     "prepared": f"""SELECT *, total_hours > 0 AS received_tutoring, {_outcome_columns()}
@@ -365,7 +359,7 @@ def all_oracles() -> dict[str, str]:
     for name in ("S1_csv_scan", "S2_json_scan", "S3_parquet_scan"):
         add(name, f"{typed} FROM typed_sessions", "typed_sessions")
     add("S5_mapping_profile", "SELECT row_num, student_id, gender FROM norm_roster", "norm_roster")
-    add("S6_canonical_order", "SELECT student_id, school_id, 0 AS id_place, 16 AS level_place FROM roster", "roster")
+    add("S6_canonical_order", "SELECT student_id, school_id, 0 AS id_place, 17 AS level_place FROM roster", "roster")
     add("S7_materialized_prepared", f"SELECT student_id, {r('total_hours')} AS total_hours, received_tutoring FROM prepared", "prepared")
     add("S8_preview", f"SELECT student_id, school_name, {r('total_hours')} AS total_hours FROM prepared ORDER BY student_id LIMIT 10", "prepared")
 

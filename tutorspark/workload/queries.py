@@ -97,7 +97,7 @@ def normalized(spark: SparkSession, sf_dir: str, dataset: str) -> tuple[DataFram
 
 
 def typed(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
-    return coerce_types(normalized(spark, sf_dir, dataset)[0], dataset)
+    return coerce_types(normalized(spark, sf_dir, dataset)[0], dataset, is_clean=True)
 
 
 def validated(spark: SparkSession, sf_dir: str, dataset: str) -> Validation:
@@ -195,50 +195,50 @@ def typed_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(typed(spark, sf_dir, STUDENT).drop("homeroom"))
 
 
+def cleaned(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return views.view(spark, sf_dir, name).select("row_num", *(clean(F.col(c)).alias(c) for c in columns))
+
+
+def _parsed(cell: Column, parse: Callable[[Column], Column], check: Callable[[Column], Column]) -> list[Column]:
+    return [parse(cell).alias("value"), check(cell).alias("valid")]
+
+
 @query("P5_flags")
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.col("english_learner")
-    return views.view(spark, sf_dir, "messy_roster").select(
-        "row_num", parsing.flag(cell).alias("value"), parsing.flag_is_valid(cell).alias("valid")
-    )
+    cells = cleaned(spark, sf_dir, "messy_roster", "english_learner")
+    return cells.select("row_num", *_parsed(F.col("english_learner"), parsing.flag, parsing.flag_is_valid))
 
 
 @query("P6_grades")
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.col("current_grade_level")
-    return views.view(spark, sf_dir, "messy_roster").select(
-        "row_num", parsing.grade(cell).alias("value"), parsing.grade_is_valid(cell).alias("valid")
-    )
+    cells = cleaned(spark, sf_dir, "messy_roster", "current_grade_level")
+    return cells.select("row_num", *_parsed(F.col("current_grade_level"), parsing.grade, parsing.grade_is_valid))
 
 
 @query("P7_numbers")
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = {c: F.col(c) for c in ("ela_state_score_current_year", "math_outcome_score_current_year")}
+    names = ("ela_state_score_current_year", "math_outcome_score_current_year")
     return rounded(
-        views.view(spark, sf_dir, "messy_roster").select(
+        cleaned(spark, sf_dir, "messy_roster", *names).select(
             "row_num",
-            *(parsing.number(c).alias(f"{n[:4]}_value") for n, c in cells.items()),
-            *(parsing.number_is_valid(c).alias(f"{n[:4]}_valid") for n, c in cells.items()),
+            *(parsing.number(F.col(n)).alias(f"{n[:4]}_value") for n in names),
+            *(parsing.number_is_valid(F.col(n)).alias(f"{n[:4]}_valid") for n in names),
         )
     )
 
 
 @query("P8_datetimes")
 def datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.col("session_date")
-    return views.view(spark, sf_dir, "messy_sessions").select(
-        "row_num",
-        F.date_format(parsing.timestamp(cell), "yyyy-MM-dd HH:mm:ss").alias("value"),
-        parsing.timestamp_is_valid(cell).alias("valid"),
+    cells = cleaned(spark, sf_dir, "messy_sessions", "session_date")
+    return cells.select("row_num", *_parsed(F.col("session_date"), parsing.timestamp, parsing.timestamp_is_valid)).withColumn(
+        "value", F.date_format("value", "yyyy-MM-dd HH:mm:ss")
     )
 
 
 @query("P9_topics")
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.col("topic")
-    return views.view(spark, sf_dir, "messy_sessions").select(
-        "row_num", parsing.topic(cell).alias("value"), parsing.topic_is_valid(cell).alias("valid")
-    )
+    cells = cleaned(spark, sf_dir, "messy_sessions", "topic")
+    return cells.select("row_num", *_parsed(F.col("topic"), parsing.topic, parsing.topic_is_valid))
 
 
 @query("P10_lowered_names")
@@ -553,7 +553,7 @@ on_prepared("W3_ranked_hours", lambda p: dosage.hours_ranking(p).select("hours",
 @query("W4_row_numbers")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each record in its file, from split positions alone."""
-    positioned = with_position(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    positioned = with_position(views.table(spark, sf_dir, "events"))
     return number_rows(positioned.select("event_id", POSITION), positioned)
 
 

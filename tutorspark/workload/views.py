@@ -6,7 +6,10 @@ same rows.  ``clean_*`` are typed; ``messy_*`` are text with blanks, other heade
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SESSIONS = """
 SELECT lpad(cast(user_id AS string), 10, '0') AS student_id,
@@ -16,7 +19,7 @@ SELECT lpad(cast(user_id AS string), 10, '0') AS student_id,
        value AS session_duration,
        concat('1:', cast(1 + event_id % 5 AS string)) AS session_ratio,
        concat('T', lpad(cast(event_id % 50 AS string), 5, '0')) AS tutor_id
-FROM events
+FROM {events}
 """
 
 ROSTER = """
@@ -42,7 +45,7 @@ SELECT lpad(cast(c_custkey AS string), 10, '0') AS student_id,
             WHEN e1 < 740 THEN 'Proficient' ELSE 'Advanced' END AS performance_level_most_recent
 FROM (SELECT c.*, n_name, n_regionkey, r_name,
              650 + (c_custkey * 37) % 120 AS e1, 650 + (c_custkey * 53) % 120 AS m1
-      FROM customer c JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) b
+      FROM {customer} c JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) b
 """
 
 MESSY_SESSIONS = """
@@ -65,7 +68,7 @@ SELECT event_id + 2 AS row_num,
        CASE WHEN event_id % 113 = 0 THEN '' ELSE concat('T', lpad(cast(event_id % 50 AS string), 5, '0')) END
            AS tutor_id,
        props AS note
-FROM events
+FROM {events}
 """
 
 MESSY_ROSTER = """
@@ -94,7 +97,7 @@ SELECT c_custkey + 2 AS row_num,
        CASE WHEN c_custkey % 37 = 0 THEN '' ELSE concat('Level ', cast(c_custkey % 4 + 1 AS string)) END
            AS performance_level_current_year,
        c_name AS homeroom
-FROM customer
+FROM {customer}
 """
 
 SESSION_COLUMN_MAP = {"Learner_ID": "student_id", "topic": "session_topic", "minutes": "session_duration"}
@@ -108,11 +111,27 @@ _TABLES = {
 }
 
 
+@lru_cache(maxsize=64)
+def _schema(path: str) -> T.StructType:
+    """Read from the file footers once per folder; the tables of a folder do not change shape."""
+    return SparkSession.active().read.parquet(path).schema
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the four tables over the Parquet files in a folder; no temporary view is left behind."""
+    """One of the four tables over the Parquet files in a folder."""
+    select, bases = _TABLES[name]
+    return spark.sql(select, **{base: table(spark, sf_dir, base) for base in bases})
+
+
+def sql(name: str) -> str:
+    """The same SELECT over tables registered under their own names."""
     select, bases = _TABLES[name]
-    bound = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in bases)
-    return spark.sql(f"WITH {bound} {select}")
+    return select.format(**{base: base for base in bases})
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
