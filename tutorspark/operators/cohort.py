@@ -12,7 +12,7 @@ from tutorspark.functions.bands import ROSTER_GRADE_BANDS, TOPIC_GRADE_BANDS, fl
 from tutorspark.functions.stats import share
 from tutorspark.operators.dosage import session_time
 from tutorspark.operators.joins import grade_by_student
-from tutorspark.operators.prepare import duration_hours, with_trimmed_id
+from tutorspark.operators.prepare import duration_hours, identified_sessions
 from tutorspark.operators.ranking import (
     mean_of_ranked,
     quantile_of_ranked,
@@ -188,8 +188,7 @@ def topic_share_by_grade_band(
     student on either side, both already partitioned by the id.
     """
     per_student = (
-        with_trimmed_id(sessions)
-        .filter(F.col("student_id").isNotNull())
+        identified_sessions(sessions, F.col("session_topic"))
         .groupBy("student_id")
         .agg(
             F.count(F.lit(1)).alias("sessions"),

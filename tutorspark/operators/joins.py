@@ -10,32 +10,23 @@ from pyspark.sql import functions as F
 from tutorspark.functions.bands import grade_band, received_tutoring
 
 _SPREAD = "_spread"
-_NULL_KEY_SLOTS = 4096
 
 
 def join_per_key(left: DataFrame, per_key: DataFrame, key: str, how: str) -> DataFrame:
     """Join many rows (``left``) with at most one row per text key (``per_key``).
 
-    Two things can put a large share of ``left`` into one task, and both are handled by joining
-    on a second column derived from the key:
-
-    * NULL keys match nothing but hash alike; here they get a changing second value.
-    * A hot key: AQE splits a skewed partition only when both join inputs come straight from a
-      shuffle.  ``per_key`` is an aggregate already partitioned by ``key`` alone, so without the
-      second column Spark would join it in place and the split could not happen.  The price is one
-      more shuffle of the per-key rows.
+    A key holding a large share of ``left``, or NULL in that many rows, must not end up in one
+    task.  AQE splits such a partition, but only when both join inputs come straight from a
+    shuffle.  ``per_key`` is an aggregate already partitioned by ``key`` alone and would be joined
+    in place; joining on a second column that follows from the key makes Spark shuffle both sides
+    for the join itself.  The price is one more shuffle of the per-key rows.
     """
-    null_slot = f"-1 - monotonically_increasing_id() % {_NULL_KEY_SLOTS}"
-    spread_left = left.selectExpr(
-        "*", f"CASE WHEN {key} IS NULL THEN {null_slot} ELSE bigint(length({key})) END AS {_SPREAD}"
-    )
-    spread_right = per_key.selectExpr("*", f"bigint(length({key})) AS {_SPREAD}")
-    joined = spread_left.join(spread_right, [key, _SPREAD], how).drop(_SPREAD)
+    second = f"coalesce(length({key}), 0) AS {_SPREAD}"
+    joined = left.selectExpr("*", second).join(per_key.selectExpr("*", second), [key, _SPREAD], how)
     if left.columns[0] == key:
-        return joined
-    return joined.select(
-        *left.columns, *(c for c in per_key.columns if c != key and how != "left_semi")
-    )
+        return joined.drop(_SPREAD)
+    added = [] if how == "left_semi" else [c for c in per_key.columns if c != key]
+    return joined.select(*left.columns, *added)
 
 
 def known_ids(df: DataFrame) -> DataFrame:

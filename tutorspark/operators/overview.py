@@ -64,14 +64,22 @@ def session_kpis(sessions: DataFrame) -> DataFrame:
 
 
 def roster_kpis(prepared: DataFrame) -> DataFrame:
-    """A24; districts by name, else by id."""
+    """A24; districts by name, else by id.
+
+    Students are first counted per (school, district, grade), so that the three distinct counts
+    expand that short table and not the roster.
+    """
     district = "district_name" if "district_name" in prepared.columns else "district_id"
-    return prepared.agg(
-        F.count(F.lit(1)).alias("total_students"),
-        F.count_if(bands.is_tutored(prepared)).alias("tutored_students"),
-        _distinct(prepared, "school_name").alias("schools"),
-        _distinct(prepared, district).alias("districts"),
-        _distinct(prepared, "current_grade_level").alias("grade_levels"),
+    keys = [c for c in ("school_name", district, "current_grade_level") if c in prepared.columns]
+    cells = prepared.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(bands.is_tutored(prepared)).alias("_t")
+    )
+    return cells.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_students"),
+        F.coalesce(F.sum("_t"), F.lit(0)).alias("tutored_students"),
+        _distinct(cells, "school_name").alias("schools"),
+        _distinct(cells, district).alias("districts"),
+        _distinct(cells, "current_grade_level").alias("grade_levels"),
     )
 
 

@@ -21,6 +21,17 @@ def with_trimmed_id(df: DataFrame) -> DataFrame:
     return df.withColumn("student_id", strip(F.col("student_id")))
 
 
+def identified_sessions(sessions: DataFrame, *columns: Column) -> DataFrame:
+    """Sessions with an id, reduced to the trimmed id and ``columns``.
+
+    The NULL test is on the stored column, where Parquet statistics can answer it, and the trimmed
+    id is declared non-null, so that no join above adds a second trim per row to test it again.
+    """
+    return sessions.filter("student_id IS NOT NULL").select(
+        F.coalesce(strip(F.col("student_id")), F.lit("")).alias("student_id"), *columns
+    )
+
+
 def hours_per_student(sessions: DataFrame) -> DataFrame:
     """A1: (student_id, total_hours) over all sessions with an id.
 
@@ -29,8 +40,7 @@ def hours_per_student(sessions: DataFrame) -> DataFrame:
     the left join from the roster drops anyway, after the roll-up and at one row each.
     """
     return (
-        sessions.select(strip(F.col("student_id")).alias("student_id"), duration_hours(sessions).alias("h"))
-        .filter("student_id IS NOT NULL")
+        identified_sessions(sessions, duration_hours(sessions).alias("h"))
         .groupBy("student_id")
         .agg(F.expr("coalesce(sum(h), 0.0D)").alias("total_hours"))
     )
@@ -39,10 +49,13 @@ def hours_per_student(sessions: DataFrame) -> DataFrame:
 def hours_per_student_topic(sessions: DataFrame) -> DataFrame:
     """A2: (student_id, session_topic, subject_hours), all sessions."""
     return (
-        with_trimmed_id(sessions)
-        .filter(F.col("student_id").isNotNull() & F.col("session_topic").isNotNull())
+        identified_sessions(
+            sessions.filter("session_topic IS NOT NULL"),
+            F.col("session_topic"),
+            duration_hours(sessions).alias("h"),
+        )
         .groupBy("student_id", "session_topic")
-        .agg(F.coalesce(F.sum(duration_hours(sessions)), F.lit(0.0)).alias("subject_hours"))
+        .agg(F.expr("coalesce(sum(h), 0.0D)").alias("subject_hours"))
     )
 
 
@@ -52,14 +65,16 @@ def hours_by_subject(sessions: DataFrame) -> DataFrame:
     Conditional sums in one aggregation: the same result as a pivot of A2 without its second
     shuffle.
     """
-    subject = F.lower("session_topic")
     return (
-        with_trimmed_id(sessions)
-        .filter(F.col("student_id").isNotNull() & F.col("session_topic").isNotNull())
+        identified_sessions(
+            sessions.filter("session_topic IS NOT NULL"),
+            F.lower("session_topic").alias("topic"),
+            duration_hours(sessions).alias("h"),
+        )
         .groupBy("student_id")
         .agg(
             *(
-                F.coalesce(F.sum(F.when(subject == s, duration_hours(sessions))), F.lit(0.0)).alias(s)
+                F.expr(f"coalesce(sum(CASE WHEN topic = '{s}' THEN h END), 0.0D)").alias(s)
                 for s in SUBJECTS
             )
         )

@@ -40,16 +40,19 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     if not header:
         return spark.createDataFrame([], T.StructType([]))
     names = _distinct_names(header)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return (
-        spark.read.schema(schema)
+    # Spark refuses a schema whose names differ in case only; such a file is read by position.
+    by_position = len({name.lower() for name in names}) < len(names)
+    fields = [f"_c{i}" for i in range(len(names))] if by_position else names
+    df = (
+        spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in fields]))
         .option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        # Files of one folder must agree on their header; only renamed repeats cannot be checked.
-        .option("enforceSchema", names != header)
+        # Files of one folder must agree on their header, where it can be checked.
+        .option("enforceSchema", fields != header)
         .csv(path)
     )
+    return df.toDF(*names) if by_position else df
 
 
 def _json_key_order(spark: SparkSession, path: str, lines: bool) -> list[str]:
