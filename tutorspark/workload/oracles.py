@@ -631,7 +631,7 @@ def all_oracles() -> dict[str, str]:
     points = {m: " + ".join(f"coalesce(sum({s}_{m}), 0)" for s in SUBJECTS) for m in MEASURES}
     add(
         "A18_cost_metrics",
-        f"""SELECT {r('cost')} AS allocated_cost, n AS tutored_students, at_target AS students_at_target_dosage, {r('h')} AS total_tutoring_hours,
+        f"""SELECT {r('cost')} AS allocated_cost, n AS tutored_students, CASE WHEN n > 0 THEN at_target END AS students_at_target_dosage, {r('h')} AS total_tutoring_hours,
         {r('share')} AS cost_allocation_share, {r('cost / n')} AS cost_per_student, {r('cost / h')} AS cost_per_hour,
         {r('CASE WHEN va > 0 THEN cost / va END')} AS cost_per_va_point, {r('CASE WHEN raw > 0 THEN cost / raw END')} AS cost_per_raw_point
         FROM (SELECT *, h / ref AS share, {TOTAL_COST!r}::DOUBLE * (h / ref) AS cost FROM
