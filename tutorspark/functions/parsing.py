@@ -28,9 +28,9 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 # Accepted date shapes besides ISO and how each is rewritten to ISO; text of another shape passes.
 _TO_ISO = (
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=\s|$)", "$1-$2-$3"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=\s|$)", "$3-$1-$2"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^\s*(\d{4})/(\d{1,2})/(\d{1,2})(?=\s|$)", "$1-$2-$3"),
+    (r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(?=\s|$)", "$3-$1-$2"),
+    (r"^\s*(\d{4})(\d{2})(\d{2})\s*$", "$1-$2-$3"),
 )
 
 
@@ -96,14 +96,18 @@ def topic_is_valid(c: Column) -> Column:
 def timestamp(c: Column) -> Column:
     """Date or datetime as wall-clock time, every row by its own format.
 
-    Everything is rewritten to ISO so that one time-zone-free cast does the parsing; a twelve-hour
-    clock, which that cast rejects, is tried after it.
+    ISO text is cast as it is.  Other shapes are rewritten to ISO, so that the same time-zone-free
+    cast parses them; a twelve-hour clock is parsed by pattern.
     """
-    iso = c
-    for shape, rewritten in _TO_ISO:
-        iso = F.regexp_replace(iso, shape, rewritten)
-    twelve_hour = F.try_to_timestamp(F.upper(iso), F.lit("yyyy-M-d h:mm[:ss][ ]a"))
-    return F.coalesce(iso.try_cast("timestamp_ntz"), twelve_hour.cast("timestamp_ntz"))
+    rewritten = c
+    for shape, iso in _TO_ISO:
+        rewritten = F.regexp_replace(rewritten, shape, iso)
+    twelve_hour = F.try_to_timestamp(F.upper(rewritten), F.lit("yyyy-M-d h:mm[:ss][ ]a"))
+    return F.coalesce(
+        c.try_cast("timestamp_ntz"),
+        F.when(F.lower(F.substring(c, -1, 1)) == "m", twelve_hour).cast("timestamp_ntz"),
+        rewritten.try_cast("timestamp_ntz"),
+    )
 
 
 def timestamp_is_valid(c: Column) -> Column:

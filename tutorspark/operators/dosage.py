@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tutorspark.functions import bands, parsing
 from tutorspark.functions.bands import DEFAULT_TARGET_HOURS, DOSAGE_SHARES, dosage_band_conditions
 from tutorspark.functions.stats import share
-from tutorspark.functions.text import percent_text, strip, to_tenths
+from tutorspark.functions.text import percent_text, to_tenths
 from tutorspark.operators.filters import tutored_students
 from tutorspark.operators.prepare import duration_hours, roster_with_subject_hours
 from tutorspark.operators.ranking import gini_of_ranked, quantile_of_ranked, ranked_values
@@ -128,7 +128,7 @@ def session_time(sessions: DataFrame) -> Column:
         return F.col("session_ts").cast("timestamp_ntz")
     if not isinstance(sessions.schema["session_date"].dataType, T.StringType):
         return F.col("session_date").cast("timestamp_ntz")
-    return parsing.timestamp(strip(F.col("session_date")))
+    return parsing.timestamp(F.col("session_date"))
 
 
 def timed_sessions(sessions: DataFrame) -> DataFrame:

@@ -133,11 +133,16 @@ def gini_of_ranked(value: str) -> Column:
 
 
 def smallest_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """Exactly the k first rows by ``order``, ties broken arbitrarily; k may be any size."""
+    """Exactly the k first rows by ``order``, ties broken arbitrarily; k may be any size.
+
+    A short list is a distributed top-k.  For a long one the rows are ranked in slices; a running
+    number, written down before it is used, lets slice boundaries fall between equal rows too.
+    """
     if k <= SMALL_LIMIT:
         return df.orderBy(*order).limit(k)
-    ranked = sliced_prefix_sums(df, order, {"row": F.lit(1)})
-    return ranked.filter(F.col("before_row") < F.lit(k)).drop("before_row", "total_row")
+    numbered = settle(df.select("*", F.monotonically_increasing_id().alias("_tie")))
+    ranked = sliced_prefix_sums(numbered, [*order, "_tie"], {"row": F.lit(1)})
+    return ranked.filter(F.col("before_row") < F.lit(k)).select(*df.columns)
 
 
 def centred_rolling_sums(

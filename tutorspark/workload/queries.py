@@ -56,9 +56,9 @@ def all_queries() -> dict[str, Query]:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, so that summation order does not show."""
-    return df.select(
+    return df.selectExpr(
         *(
-            F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+            f"round(`{f.name}`, {digits}) AS `{f.name}`" if f.dataType.typeName() == "double" else f"`{f.name}`"
             for f in df.schema.fields
         )
     )
@@ -609,7 +609,7 @@ on_both("V12_readiness", lambda s, p: readiness.readiness(p, s).select("ord", "t
 
 @query("filtered_dosage_tab")
 def filtered_dosage_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """§3.3: the dosage tab for girls of two grades, population beside school table totals."""
+    """The school table of the dosage tab under a filter on grade and gender."""
     tab = Analysis.of(
         views.sessions(spark, sf_dir),
         views.roster(spark, sf_dir),
