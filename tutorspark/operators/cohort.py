@@ -21,6 +21,7 @@ from tutorspark.operators.ranking import (
     stddev_of_ranked,
 )
 from tutorspark.schema import COHORT_FLAGS, EQUITY_FLAGS
+from tutorspark.sources.literals import literal_table
 
 MINIMUM_WEIGHT = 1e-9
 
@@ -32,6 +33,8 @@ def _treated_hours(df: DataFrame) -> Column:
 def flag_rates(df: DataFrame) -> DataFrame:
     """Share TRUE of all rows, per flag present."""
     flags = [f for f in COHORT_FLAGS if f in df.columns]
+    if not flags:
+        return literal_table(df.sparkSession, [], "flag string, pct_true double")
     counts = df.agg(
         F.count(F.lit(1)).alias("_n"), *(F.count_if(flag_is(df, f, True)).alias(f) for f in flags)
     )
@@ -44,6 +47,8 @@ def flag_rates(df: DataFrame) -> DataFrame:
 def flag_enrolment(df: DataFrame) -> DataFrame:
     """Share treated among flag TRUE; flags without a TRUE row are left out."""
     flags = [f for f in COHORT_FLAGS if f in df.columns]
+    if not flags:
+        return literal_table(df.sparkSession, [], "flag string, n long, pct_treated double")
     got = bands.received_tutoring(df)
     counts = df.agg(
         *(F.count_if(flag_is(df, f, True)).alias(f"{f}_n") for f in flags),
@@ -113,6 +118,8 @@ def dosage_moments(df: DataFrame) -> DataFrame:
 def flag_dosage(df: DataFrame) -> DataFrame:
     """Mean treated hours for flag TRUE against the rest, where unknown is part of the rest."""
     flags = [f for f in EQUITY_FLAGS if f in df.columns]
+    if not flags:
+        return literal_table(df.sparkSession, [], "flag string, mean_flag double, mean_rest double")
     h = _treated_hours(df)
     means = df.agg(
         *(F.avg(F.when(flag_is(df, f, True), h)).alias(f"{f}_yes") for f in flags),

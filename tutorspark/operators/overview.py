@@ -57,8 +57,8 @@ def session_kpis(sessions: DataFrame) -> DataFrame:
         topic_count("math").alias("math_sessions"),
         topic_count("ela").alias("ela_sessions"),
         _distinct(sessions, "tutor_id").alias("unique_tutors"),
-        F.date_format(F.min(when), "yyyy-MM-dd").alias("first_date"),
-        F.date_format(F.max(when), "yyyy-MM-dd").alias("last_date"),
+        F.to_date(F.min(when)).cast("string").alias("first_date"),
+        F.to_date(F.max(when)).cast("string").alias("last_date"),
         F.avg(minutes).alias("avg_minutes"),
     )
 
