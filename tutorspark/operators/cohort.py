@@ -176,14 +176,13 @@ def sessions_per_treated(sessions: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def ratio_shares(sessions: DataFrame) -> DataFrame:
-    """Share of sessions per student-to-tutor ratio."""
+    """Share of sessions per student-to-tutor ratio.
+
+    The total is taken from the counts, so the sessions are read once.
+    """
     known = sessions.filter(F.col("session_ratio").isNotNull())
-    total = known.agg(F.count(F.lit(1))).scalar()
-    return (
-        known.groupBy("session_ratio")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("pct", share(F.col("n"), total))
-    )
+    counts = known.groupBy("session_ratio").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("pct", share(F.col("n"), counts.agg(F.sum("n")).scalar()))
 
 
 def topic_share_by_grade_band(

@@ -171,17 +171,17 @@ def daily_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def equal_width_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Add ``bin`` (1..bins) and its edges; NULL values dropped, a single value is one bin."""
-    limits = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("x")).scalar()
-    bucket = f"""CASE WHEN _x.low = _x.high THEN 1
-                 ELSE int(least(width_bucket({value}, _x.low, _x.high, {bins}), {bins})) END"""
-    width = f"(_x.high - _x.low) / {bins}D"
+    """Add ``bin`` (1..bins) and its edges, given columns ``low`` and ``high`` with the extremes.
+
+    NULL values are dropped; if all values are equal they are one bin.
+    """
+    bucket = f"""CASE WHEN low = high THEN 1
+                 ELSE int(least(width_bucket({value}, low, high, {bins}), {bins})) END"""
+    width = f"(high - low) / {bins}D"
     return (
         df.filter(F.col(value).isNotNull())
-        .select("*", limits.alias("_x"))
         .selectExpr("*", f"{bucket} AS bin")
-        .selectExpr("*", f"_x.low + {width} * (bin - 1) AS bin_low", f"_x.low + {width} * bin AS bin_high")
-        .drop("_x")
+        .selectExpr("*", f"low + {width} * (bin - 1) AS bin_low", f"low + {width} * bin AS bin_high")
     )
 
 
@@ -190,8 +190,9 @@ def dosage_histogram(
 ) -> DataFrame:
     """Tutored students per hours bin and right-closed dosage category."""
     h = tutored_students(df).select(bands.hours(df).alias("hours"))
+    extremes = h.agg(F.expr("struct(min(hours) AS low, max(hours) AS high)")).scalar()
     return (
-        equal_width_bins(h, "hours", bins)
+        equal_width_bins(h.select("hours", extremes.alias("x")).select("hours", "x.*"), "hours", bins)
         .groupBy("bin", "bin_low", "bin_high", bands.dosage_category(F.col("hours"), target).alias("category"))
         .agg(F.count(F.lit(1)).alias("students"))
         .orderBy("bin", "bin_low", "category")

@@ -149,16 +149,31 @@ def outcome_labels(metrics: DataFrame) -> DataFrame:
 
 
 def outcome_histogram(df: DataFrame, subject: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Tutored students per equal-width bin of value added and raw gain, with the mean."""
-    result = None
-    for measure in MEASURES:
-        rows = measure_rows(df).filter((F.col("subject") == subject) & (F.col("measure") == measure))
-        mean = rows.agg(F.avg("value")).scalar()
-        part = (
-            equal_width_bins(rows, "value", bins)
-            .groupBy("subject", "measure", "bin", "bin_low", "bin_high")
-            .agg(F.count(F.lit(1)).alias("students"))
-            .withColumn("mean", mean)
+    """Tutored students per equal-width bin of value added and raw gain, with the mean.
+
+    Extremes and means of both measures are one aggregation, the binning of both is another.
+    """
+    measures = [m for m in MEASURES if f"{subject}_{m}" in df.columns]
+    if not measures:
+        return literal_table(
+            df.sparkSession,
+            [],
+            "subject string, measure string, bin int, bin_low double, bin_high double, mean double, students long",
+        )
+    wide = tutored_students(df).selectExpr(*(f"double({subject}_{m}) AS {m}" for m in measures))
+    limits = wide.agg(
+        F.struct(
+            *(F.expr(f"struct(min({m}) AS low, max({m}) AS high, avg({m}) AS mean)").alias(m) for m in measures)
         )
-        result = part if result is None else result.unionByName(part)
-    return result.orderBy("subject", "measure", "bin")
+    ).scalar()
+    cells = ", ".join(
+        f"struct('{m}' AS measure, {m} AS value, x.{m}.low AS low, x.{m}.high AS high, x.{m}.mean AS mean)"
+        for m in measures
+    )
+    long = wide.select("*", limits.alias("x")).selectExpr(f"inline(array({cells}))")
+    return (
+        equal_width_bins(long, "value", bins)
+        .groupBy(F.lit(subject).alias("subject"), "measure", "bin", "bin_low", "bin_high", "mean")
+        .agg(F.count(F.lit(1)).alias("students"))
+        .orderBy("measure", "bin")
+    )
