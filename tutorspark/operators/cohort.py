@@ -12,7 +12,7 @@ from tutorspark.functions.bands import ROSTER_GRADE_BANDS, TOPIC_GRADE_BANDS, fl
 from tutorspark.functions.stats import share
 from tutorspark.operators.dosage import session_time
 from tutorspark.operators.joins import grade_by_student
-from tutorspark.operators.prepare import duration_hours, identified_sessions
+from tutorspark.operators.prepare import duration_minutes, identified_sessions
 from tutorspark.operators.ranking import (
     mean_of_ranked,
     quantile_of_ranked,
@@ -234,7 +234,7 @@ def within_student_spread(sessions: DataFrame) -> DataFrame:
     per_student = (
         sessions.filter(F.col("student_id").isNotNull())
         .groupBy("student_id")
-        .agg(F.stddev_samp(duration_hours(sessions) * F.lit(60.0)).alias("sd"))
+        .agg(F.stddev_samp(duration_minutes(sessions)).alias("sd"))
     )
     return per_student.agg(F.avg("sd").alias("mean_within_student_sd"), F.count("sd").alias("students"))
 

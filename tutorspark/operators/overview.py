@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tutorspark.functions import bands
-from tutorspark.operators.dosage import duration_hours, session_time
-from tutorspark.operators.filters import tutored_students
+from tutorspark.operators.dosage import session_time
+from tutorspark.operators.prepare import duration_minutes
 from tutorspark.operators.ranking import (
     mean_of_ranked,
     quantile_of_ranked,
@@ -41,11 +41,7 @@ def session_kpis(sessions: DataFrame) -> DataFrame:
     columns = sessions.columns
     dated = "session_ts" in columns or "session_date" in columns
     when = session_time(sessions) if dated else F.lit(None).cast("timestamp_ntz")
-    minutes = (
-        duration_hours(sessions) * F.lit(60.0)
-        if "session_duration" in columns
-        else F.lit(None).cast("double")
-    )
+    minutes = duration_minutes(sessions) if "session_duration" in columns else F.lit(None).cast("double")
 
     def topic_count(topic: str) -> Column:
         if "session_topic" not in columns:

@@ -12,9 +12,14 @@ from tutorspark.operators.joins import join_per_key
 from tutorspark.schema import SUBJECTS, outcome_measures
 
 
+def duration_minutes(sessions: DataFrame) -> Column:
+    """Session length as a finite double, NULL when it cannot be read."""
+    return typed_number("session_duration", sessions.schema["session_duration"].dataType)
+
+
 def duration_hours(sessions: DataFrame) -> Column:
-    """P13 on a session table; unparsable minutes are NULL."""
-    return minutes_to_hours(typed_number("session_duration", sessions.schema["session_duration"].dataType))
+    """P13 on a session table."""
+    return minutes_to_hours(duration_minutes(sessions))
 
 
 def with_trimmed_id(df: DataFrame) -> DataFrame:
