@@ -12,13 +12,13 @@ from tutorspark.functions.text import clean, to_tenths
 
 def apply(table, values, *exprs):
     df = table([(i, v) for i, v in enumerate(values)], "i int, raw string")
-    cleaned = df.select("i", clean(F.col("raw")).alias("c"))
-    return rows(cleaned.select("i", *(e(F.col("c")) for e in exprs)).orderBy("i").drop("i"))
+    cleaned = df.select("i", clean("raw").alias("c"))
+    return rows(cleaned.select("i", *(e("c") for e in exprs)).orderBy("i").drop("i"))
 
 
 def test_clean_trims_every_kind_of_space_and_blanks_become_null(table):
     values = [" a b ", "\t x　\n", "", "   ", None, "0"]
-    assert apply(table, values, lambda c: c) == [("a b",), ("x",), (None,), (None,), (None,), ("0",)]
+    assert apply(table, values, F.col) == [("a b",), ("x",), (None,), (None,), (None,), ("0",)]
 
 
 def test_flags(table):

@@ -66,7 +66,7 @@ def received_tutoring(df: DataFrame) -> Column:
     flag = F.col("received_tutoring")
     if isinstance(df.schema["received_tutoring"].dataType, T.BooleanType):
         return F.coalesce(flag, F.lit(False))
-    return F.coalesce(lowered(flag).isin("true", "1", "yes", "y"), F.lit(False))
+    return F.coalesce(lowered("received_tutoring").isin("true", "1", "yes", "y"), F.lit(False))
 
 
 def flag_is(df: DataFrame, name: str, target: bool) -> Column:

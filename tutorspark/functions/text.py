@@ -14,37 +14,41 @@ WHITESPACE = (
 )
 
 
-def col(name: str) -> Column:
-    """A column by its exact name, dots and back-ticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def quoted(name: str) -> str:
+    """A column name as SQL, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _ends_plainly(trimmed: Column) -> Column:
-    """First and last character are printable ASCII, so nothing but spaces could be trimmed."""
-    return (trimmed >= "!") & (trimmed < "\x7f") & F.substring(trimmed, -1, 1).between("!", "~")
+def col(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col(quoted(name))
 
 
-def strip(c: Column) -> Column:
-    """Trimmed of any white space.
+def _trimmed(name: str, rest: str) -> Column:
+    """Spaces trimmed; ``rest`` is for text that then still ends in something unusual.
 
     Trimming a list of characters costs several times as much as trimming spaces, so it is left to
-    the few cells that end in something unusual once their spaces are gone.
+    the few cells that need it: if the first and last character are printable ASCII, nothing but
+    spaces could have been trimmed.
     """
-    trimmed = F.trim(c.cast("string"))
-    return F.when(_ends_plainly(trimmed), trimmed).otherwise(F.btrim(trimmed, F.lit(WHITESPACE)))
+    t = f"trim(string({quoted(name)}))"
+    plain = f"{t} >= '!' AND {t} < '\x7f' AND substring({t}, -1, 1) BETWEEN '!' AND '~'"
+    return F.expr(f"CASE WHEN {plain} THEN {t} ELSE {rest.format(t=t)} END")
+
 
+def strip(name: str) -> Column:
+    """Trimmed of any white space."""
+    return _trimmed(name, f"btrim({{t}}, '{WHITESPACE}')")
 
-def clean(c: Column) -> Column:
+
+def clean(name: str) -> Column:
     """Trimmed text, blank becomes NULL."""
-    trimmed = F.trim(c.cast("string"))
-    return F.when(_ends_plainly(trimmed), trimmed).otherwise(
-        F.nullif(F.btrim(trimmed, F.lit(WHITESPACE)), F.lit(""))
-    )
+    return _trimmed(name, f"nullif(btrim({{t}}, '{WHITESPACE}'), '')")
 
 
-def lowered(c: Column) -> Column:
+def lowered(name: str) -> Column:
     """P10 on data: cleaned text in lower case."""
-    return F.lower(clean(c))
+    return F.lower(clean(name))
 
 
 def to_tenths(c: Column) -> Column:

@@ -128,7 +128,7 @@ def session_time(sessions: DataFrame) -> Column:
         return F.col("session_ts").cast("timestamp_ntz")
     if not isinstance(sessions.schema["session_date"].dataType, T.StringType):
         return F.col("session_date").cast("timestamp_ntz")
-    return parsing.timestamp(F.col("session_date"))
+    return parsing.timestamp("session_date")
 
 
 def timed_sessions(sessions: DataFrame) -> DataFrame:

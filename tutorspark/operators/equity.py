@@ -174,8 +174,8 @@ def proficiency_summary(df: DataFrame, column: str | None = None) -> DataFrame:
         )
     got = bands.received_tutoring(df)
     return (
-        df.filter(clean(F.col(column)).isNotNull())
-        .groupBy(strip(F.col(column)).alias("proficiency_level"))
+        df.filter(clean(column).isNotNull())
+        .groupBy(strip(column).alias("proficiency_level"))
         .agg(
             F.count_if(got).alias("tutored"),
             F.count_if(~got).alias("untutored"),

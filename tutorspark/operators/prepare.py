@@ -23,7 +23,7 @@ def duration_hours(sessions: DataFrame) -> Column:
 
 
 def with_trimmed_id(df: DataFrame) -> DataFrame:
-    return df.withColumn("student_id", strip(F.col("student_id")))
+    return df.withColumn("student_id", strip("student_id"))
 
 
 def identified_sessions(sessions: DataFrame, *columns: Column) -> DataFrame:
@@ -33,7 +33,7 @@ def identified_sessions(sessions: DataFrame, *columns: Column) -> DataFrame:
     id is declared non-null, so that no join above adds a second trim per row to test it again.
     """
     return sessions.filter("student_id IS NOT NULL").select(
-        F.coalesce(strip(F.col("student_id")), F.lit("")).alias("student_id"), *columns
+        F.coalesce(strip("student_id"), F.lit("")).alias("student_id"), *columns
     )
 
 

@@ -57,9 +57,8 @@ def normalize_columns(
     sources: dict[str, list[tuple[str, Column]]] = {}
     kept: list[Column] = []
     for i, header in enumerate(df.columns):
-        cell = F.col(f"_c{i}")
         if header in keep:
-            kept.append(cell.alias(header))
+            kept.append(F.col(f"_c{i}").alias(header))
             continue
         canonical = lookup.get(normalize_name(header))
         if canonical is None:
@@ -67,7 +66,7 @@ def normalize_columns(
             report.unknown_columns.append(canonical)
         else:
             report.alias_sources.setdefault(canonical, []).append(header)
-        sources.setdefault(canonical, []).append((header, clean(cell)))
+        sources.setdefault(canonical, []).append((header, clean(f"_c{i}")))
     report.combined_columns = {
         name: [header for header, _ in cells] for name, cells in sources.items() if len(cells) > 1
     }
@@ -79,16 +78,16 @@ def typed_column(name: str, kind: str, data_type: T.DataType) -> Column:
     """One clean field by its kind.  Bad input becomes NULL; columns typed already stay."""
     c = col(name)
     if kind == "flag":
-        return c if isinstance(data_type, T.BooleanType) else parsing.flag(c)
+        return c if isinstance(data_type, T.BooleanType) else parsing.flag(name)
     if kind in ("grade", "numeric", "numeric_outcome") and isinstance(data_type, T.NumericType):
         value = parsing.typed_number(name, data_type)
         return value.try_cast("int") if kind == "grade" else value
     if kind == "grade":
-        return parsing.grade(c)
+        return parsing.grade(name)
     if kind in ("numeric", "numeric_outcome"):
-        return parsing.number(c)
+        return parsing.number(name)
     if kind == "topic":
-        return parsing.topic(c)
+        return parsing.topic(name)
     return c
 
 
@@ -108,7 +107,7 @@ def coerce_types(df: DataFrame, dataset: str, is_clean: bool = False) -> DataFra
     if not is_clean:
         df = df.select(
             *(
-                clean(col(f.name)).alias(f.name)
+                clean(f.name).alias(f.name)
                 if f.name in known and not _is_typed(known[f.name].kind, f.dataType)
                 else col(f.name)
                 for f in df.schema.fields

@@ -196,23 +196,23 @@ def typed_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return views.view(spark, sf_dir, name).select("row_num", *(clean(F.col(c)).alias(c) for c in columns))
+    return views.view(spark, sf_dir, name).select("row_num", *(clean(c).alias(c) for c in columns))
 
 
-def _parsed(cell: Column, parse: Callable[[Column], Column], check: Callable[[Column], Column]) -> list[Column]:
+def _parsed(cell: str, parse: Callable[[str], Column], check: Callable[[str], Column]) -> list[Column]:
     return [parse(cell).alias("value"), check(cell).alias("valid")]
 
 
 @query("P5_flags")
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cleaned(spark, sf_dir, "messy_roster", "english_learner")
-    return cells.select("row_num", *_parsed(F.col("english_learner"), parsing.flag, parsing.flag_is_valid))
+    return cells.select("row_num", *_parsed("english_learner", parsing.flag, parsing.flag_is_valid))
 
 
 @query("P6_grades")
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cleaned(spark, sf_dir, "messy_roster", "current_grade_level")
-    return cells.select("row_num", *_parsed(F.col("current_grade_level"), parsing.grade, parsing.grade_is_valid))
+    return cells.select("row_num", *_parsed("current_grade_level", parsing.grade, parsing.grade_is_valid))
 
 
 @query("P7_numbers")
@@ -221,8 +221,8 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         cleaned(spark, sf_dir, "messy_roster", *names).select(
             "row_num",
-            *(parsing.number(F.col(n)).alias(f"{n[:4]}_value") for n in names),
-            *(parsing.number_is_valid(F.col(n)).alias(f"{n[:4]}_valid") for n in names),
+            *(parsing.number(n).alias(f"{n[:4]}_value") for n in names),
+            *(parsing.number_is_valid(n).alias(f"{n[:4]}_valid") for n in names),
         )
     )
 
@@ -230,7 +230,7 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P8_datetimes")
 def datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cleaned(spark, sf_dir, "messy_sessions", "session_date")
-    return cells.select("row_num", *_parsed(F.col("session_date"), parsing.timestamp, parsing.timestamp_is_valid)).withColumn(
+    return cells.select("row_num", *_parsed("session_date", parsing.timestamp, parsing.timestamp_is_valid)).withColumn(
         "value", F.date_format("value", "yyyy-MM-dd HH:mm:ss")
     )
 
@@ -238,7 +238,7 @@ def datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P9_topics")
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cleaned(spark, sf_dir, "messy_sessions", "topic")
-    return cells.select("row_num", *_parsed(F.col("topic"), parsing.topic, parsing.topic_is_valid))
+    return cells.select("row_num", *_parsed("topic", parsing.topic, parsing.topic_is_valid))
 
 
 @query("P10_lowered_names")
@@ -247,7 +247,7 @@ def lowered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (
         views.view(spark, sf_dir, "messy_roster")
-        .groupBy(lowered(F.col("school_name")).alias("school"))
+        .groupBy(lowered("school_name").alias("school"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -382,7 +382,7 @@ on_prepared(
 )
 on_prepared("F8_filter_options", lambda p: filters.filter_options(p, "equity"))
 on_prepared(
-    "F9_nonblank_levels", lambda p: _ids(p.filter(clean(F.col("performance_level_most_recent")).isNotNull()))
+    "F9_nonblank_levels", lambda p: _ids(p.filter(clean("performance_level_most_recent").isNotNull()))
 )
 
 
