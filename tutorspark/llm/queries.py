@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import source_mix, url_reputation
+from tutorspark.llm import gray_simhash, source_mix, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,5 +35,17 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = gray_simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return linked.withColumn("fingerprint", gray_simhash.hex_digits(F.col("fingerprint")))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_url_reputation,
+            op2_source_mix,
+            op10_gray_simhash,
+        )
+    }

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tutorspark.llm.storage import keep
+
 Rule = tuple[str, str, str]
 """Verdict (allow or block), host, path prefix."""
 
@@ -99,8 +101,8 @@ def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = labelled.groupBy("host").agg(
         F.count("outcome").alias("n_h"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k_h")
     )
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n_h").alias("n_d"), F.sum("k_h").alias("k_d"))
+    hosts = keep(hosts).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
+    domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n_h").alias("n_d"), F.sum("k_h").alias("k_d")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("k_d").alias("k_s"))
     whole = suffixes.agg(
         ((F.coalesce(F.sum("k_s"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n_s"), F.lit(0)) + 1.0)).alias("m_g")
@@ -115,10 +117,10 @@ def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
 
     suffixes = attach(suffixes, whole)
     suffixes = attach(suffixes, prior_strength(suffixes, "n_s", "k_s", "m_g", "s_s")).withColumn("m_s", shrunk("k_s", "n_s", "s_s", "m_g"))
-    domains = join_hot(domains, suffixes.select("suffix", "m_s"), "suffix", F.col("domain"))
+    domains = keep(join_hot(domains, suffixes.select("suffix", "m_s"), "suffix", F.col("domain")))
     domains = attach(domains, prior_strength(domains, "n_d", "k_d", "m_s", "s_d")).withColumn("m_d", shrunk("k_d", "n_d", "s_d", "m_s"))
     # A domain belongs to one suffix, so its name is a key.
-    hosts = join_hot(hosts, domains.select("domain", "m_d"), "domain", F.col("host"))
+    hosts = keep(join_hot(hosts, domains.select("domain", "m_d"), "domain", F.col("host")))
     hosts = attach(hosts, prior_strength(hosts, "n_h", "k_h", "m_d", "s_h"))
     a = F.col("s_h") * F.col("m_d") + F.col("k_h")
     b = F.col("s_h") * (1 - F.col("m_d")) + (F.col("n_h") - F.col("k_h"))
