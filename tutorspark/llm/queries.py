@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import gray_simhash, source_mix, url_reputation
+from tutorspark.llm import gray_simhash, secret_scan, source_mix, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,22 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    scanned = secret_scan.scan_texts(read(spark, sf_dir, "documents"), rules, columns=["doc_id"])
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return scanned.select(
+        "doc_id",
+        *map(number, kinds),
+        F.sha2(secret_scan.span_text("spans", kinds), 256).alias("base_sha256"),
+        secret_scan.span_text("spans").alias("spans"),
+    )
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = gray_simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
     return linked.withColumn("fingerprint", gray_simhash.hex_digits(F.col("fingerprint")))
@@ -46,6 +62,7 @@ def llm_queries() -> dict[str, Query]:
         for f in (
             op1_url_reputation,
             op2_source_mix,
+            op3_secret_scan,
             op10_gray_simhash,
         )
     }
