@@ -18,12 +18,12 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about SLICE_BYTES of text, in order; a NULL text counts as empty."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of text, in order; a NULL text counts as empty."""
     _, offsets = utf8(batch.column(column))
     start = 0
     while start < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import gray_simhash, secret_scan, source_mix, url_reputation
+from tutorspark.llm import gray_simhash, language_crf, secret_scan, source_mix, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = language_crf.identify(read(spark, sf_dir, "documents"))
+    return labelled.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = gray_simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
     return linked.withColumn("fingerprint", gray_simhash.hex_digits(F.col("fingerprint")))
@@ -63,6 +68,7 @@ def llm_queries() -> dict[str, Query]:
             op1_url_reputation,
             op2_source_mix,
             op3_secret_scan,
+            op5_language_crf,
             op10_gray_simhash,
         )
     }
