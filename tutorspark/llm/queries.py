@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import gray_simhash, language_crf, secret_scan, source_mix, url_reputation
+from tutorspark.llm import gray_simhash, language_crf, secret_scan, seed_extend, source_mix, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
+def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = seed_extend.remove_repeats(read(spark, sf_dir, "documents"), threshold=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = gray_simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
     return linked.withColumn("fingerprint", gray_simhash.hex_digits(F.col("fingerprint")))
@@ -69,6 +74,7 @@ def llm_queries() -> dict[str, Query]:
             op2_source_mix,
             op3_secret_scan,
             op5_language_crf,
+            op8_seed_extend,
             op10_gray_simhash,
         )
     }
