@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import gray_simhash, language_crf, secret_scan, seed_extend, source_mix, url_reputation
+from tutorspark.llm import cover_tree, gray_simhash, language_crf, secret_scan, seed_extend, source_mix, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = seed_extend.remove_repeats(read(spark, sf_dir, "documents"), threshold=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -74,6 +78,7 @@ def llm_queries() -> dict[str, Query]:
             op2_source_mix,
             op3_secret_scan,
             op5_language_crf,
+            op7_cover_tree,
             op8_seed_extend,
             op10_gray_simhash,
         )
