@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import cover_tree, gray_simhash, language_crf, secret_scan, seed_extend, source_mix, url_reputation
+from tutorspark.llm import cover_tree, gray_simhash, impact_index, language_crf, secret_scan, seed_extend, source_mix, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
+def op6_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.top_k(read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -78,6 +82,7 @@ def llm_queries() -> dict[str, Query]:
             op2_source_mix,
             op3_secret_scan,
             op5_language_crf,
+            op6_impact_index,
             op7_cover_tree,
             op8_seed_extend,
             op10_gray_simhash,
