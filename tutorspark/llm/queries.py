@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorspark.llm import cover_tree, gray_simhash, impact_index, language_crf, secret_scan, seed_extend, source_mix, url_reputation
+from tutorspark.llm import (
+    bin_packing,
+    cover_tree,
+    gray_simhash,
+    impact_index,
+    language_crf,
+    pseudonyms,
+    secret_scan,
+    seed_extend,
+    source_mix,
+    url_reputation,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +32,10 @@ URL_RULES = (
 )
 
 
+#: A user passes a secret of their own; this one makes reruns comparable.
+PSEUDONYM_KEY = "tutorspark example key"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -51,6 +66,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = language_crf.identify(read(spark, sf_dir, "documents"))
     return labelled.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
@@ -69,6 +88,11 @@ def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return new.select("doc_id", "text", F.size("pseudonyms").cast("long").alias("n_values"))
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = gray_simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
     return linked.withColumn("fingerprint", gray_simhash.hex_digits(F.col("fingerprint")))
@@ -81,10 +105,12 @@ def llm_queries() -> dict[str, Query]:
             op1_url_reputation,
             op2_source_mix,
             op3_secret_scan,
+            op4_bin_packing,
             op5_language_crf,
             op6_impact_index,
             op7_cover_tree,
             op8_seed_extend,
+            op9_pseudonyms,
             op10_gray_simhash,
         )
     }
