@@ -268,5 +268,28 @@ def label_components(prints: DataFrame, distance: int = 2) -> DataFrame:
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+NO_ID = (1 << 63) - 1
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, one of each component.
+
+    Among rows that share this id the one with the least hash of its text stays, and equal rows
+    stay once.  Rows without id stay only where a component has no others.  Ids must be integers.
+    """
+    keys = {
+        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+        "_hash": F.xxhash64(F.col(text), F.col(id_col).isNull()),
+    }
+    rows = docs.withColumns(keys)
+    row = F.struct("_id", "_hash")
+    prints = keep(fingerprints(rows.select(row.alias("doc_id"), text), "doc_id", text, shingle))
+    least = label_components(prints, distance).select("component_id.*").distinct()
+    # Both sides meet by the key that the repeated rows are told by, so the texts are shuffled once.
+    return rows.join(least, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+
+
 def hex_digits(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
