@@ -1,10 +1,11 @@
 """URL filter: rules first, then an empirical-Bayes reputation of the host.
 
 Labelled pages give each host a count of pages and of bad pages.  The bad rate of a host is a beta
-distribution whose prior mean comes from its registered domain, whose mean in turn is shrunk towards
-the public suffix and that towards all pages.  How much a level shrinks is estimated from the data:
-the spread of the children's rates around their parent's, beyond what binomial noise explains, by the
-method of moments.  A page without a rule is blocked when the lower posterior bound of its host's bad
+distribution whose prior comes from the other hosts of its registered domain, whose prior comes from
+the other domains of its public suffix, and that from all other suffixes; a host's own pages count
+once.  How much a level shrinks is estimated from the data: the spread of the children's rates around
+their parent's mean, beyond what binomial noise explains, by the method of moments.  A prior is never
+worth more than the pages it was learned from.  A page without a rule is blocked when the lower posterior bound of its host's bad
 rate lies above a threshold, so a host that little is known about is allowed.
 """
 
@@ -78,16 +79,28 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column) -> Dat
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
 
 
-def prior_strength(children: DataFrame, n: str, k: str, mean: str, name: str) -> DataFrame:
-    """One row: how many pages the parent's mean is worth, from the over-dispersion of the children."""
-    m, pages = F.col(mean), F.col(n).cast("double")
+def below(children: DataFrame, parent_n: str, parent_k: str, n: str, k: str) -> DataFrame:
+    """Replace the parent's prior and strength by what the parent's other children and that prior say:
+    ``prior`` for the child, ``known``, the number of pages behind it, and ``pooled``, the parent's own mean."""
+    before = F.col("strength") * F.col("prior")
+    known = F.col(parent_n) - F.col(n) + F.col("strength")
+    pooled = (F.col(parent_k) + before) / (F.col(parent_n) + F.col("strength"))
+    prior = (F.col(parent_k) - F.col(k) + before) / known
+    return children.withColumns({"pooled": pooled, "prior": prior, "known": known}).drop("strength")
+
+
+def with_strength(children: DataFrame, n: str, k: str) -> DataFrame:
+    """Add ``strength``, how many pages the prior is worth: by the over-dispersion of all children around
+    their parents' means, and by the pages behind this prior."""
+    m, pages = F.col("pooled"), F.col(n).cast("double")
     noise = m * (1 - m)
     seen = F.when(F.col(n) > 0, pages * F.pow(F.col(k) / pages - m, F.lit(2.0)))
     excess = F.coalesce(F.sum(seen), F.lit(0.0)) - F.coalesce(F.sum(F.when(F.col(n) > 0, noise)), F.lit(0.0))
     room = F.coalesce(F.sum(F.when(F.col(n) > 0, noise * (pages - 1))), F.lit(0.0))
     raw = F.when(room > 0, excess / F.when(room > 0, room)).otherwise(0.5)
     rho = F.least(F.greatest(raw, F.lit(MIN_CORRELATION)), F.lit(MAX_CORRELATION))
-    return children.agg((1 / rho - 1).alias(name))
+    spread = children.agg((rho / (1 - rho)).alias("spread")).scalar()
+    return children.withColumn("strength", 1 / (spread + 1 / F.col("known")))
 
 
 def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
@@ -104,26 +117,19 @@ def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = keep(hosts).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
     domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n_h").alias("n_d"), F.sum("k_h").alias("k_d")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("k_d").alias("k_s"))
-    whole = suffixes.agg(
-        ((F.coalesce(F.sum("k_s"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n_s"), F.lit(0)) + 1.0)).alias("m_g")
-    )
-
-    def shrunk(k: str, n: str, strength: str, mean: str) -> Column:
-        return (F.col(k) + F.col(strength) * F.col(mean)) / (F.col(n) + F.col(strength))
-
-    def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-        name = one_row.columns[0]
-        return df.withColumn(name, one_row.scalar())
-
-    suffixes = attach(suffixes, whole)
-    suffixes = attach(suffixes, prior_strength(suffixes, "n_s", "k_s", "m_g", "s_s")).withColumn("m_s", shrunk("k_s", "n_s", "s_s", "m_g"))
-    domains = keep(join_hot(domains, suffixes.select("suffix", "m_s"), "suffix", F.col("domain")))
-    domains = attach(domains, prior_strength(domains, "n_d", "k_d", "m_s", "s_d")).withColumn("m_d", shrunk("k_d", "n_d", "s_d", "m_s"))
+    pages, bad = F.coalesce(F.sum("n_s"), F.lit(0)), F.coalesce(F.sum("k_s"), F.lit(0))
+    suffixes = suffixes.withColumn("n", suffixes.agg(pages).scalar()).withColumn("k", suffixes.agg(bad).scalar())
+    others, others_bad = F.col("n") - F.col("n_s"), F.col("k") - F.col("k_s")
+    pooled = (F.col("k") + 0.5) / (F.col("n") + 1.0)
+    suffixes = suffixes.withColumns({"pooled": pooled, "prior": (others_bad + 0.5) / (others + 1.0), "known": others + 1.0})
+    suffixes = with_strength(suffixes, "n_s", "k_s")
+    domains = keep(join_hot(domains, suffixes.select("suffix", "n_s", "k_s", "prior", "strength"), "suffix", F.col("domain")))
+    domains = with_strength(below(domains, "n_s", "k_s", "n_d", "k_d"), "n_d", "k_d")
     # A domain belongs to one suffix, so its name is a key.
-    hosts = keep(join_hot(hosts, domains.select("domain", "m_d"), "domain", F.col("host")))
-    hosts = attach(hosts, prior_strength(hosts, "n_h", "k_h", "m_d", "s_h"))
-    a = F.col("s_h") * F.col("m_d") + F.col("k_h")
-    b = F.col("s_h") * (1 - F.col("m_d")) + (F.col("n_h") - F.col("k_h"))
+    hosts = keep(join_hot(hosts, domains.select("domain", "n_d", "k_d", "prior", "strength"), "domain", F.col("host")))
+    hosts = with_strength(below(hosts, "n_d", "k_d", "n_h", "k_h"), "n_h", "k_h")
+    a = F.col("strength") * F.col("prior") + F.col("k_h")
+    b = F.col("strength") * (1 - F.col("prior")) + (F.col("n_h") - F.col("k_h"))
     mean = a / (a + b)
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return hosts.select(
@@ -132,8 +138,8 @@ def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
         "suffix",
         F.col("n_h").alias("n_labelled"),
         F.col("k_h").alias("n_bad"),
-        F.col("m_d").alias("prior_mean"),
-        F.col("s_h").alias("prior_strength"),
+        F.col("prior").alias("prior_mean"),
+        F.col("strength").alias("prior_strength"),
         mean.alias("posterior_mean"),
         (mean - z * deviation).alias("lower_bound"),
         (mean + z * deviation).alias("upper_bound"),
