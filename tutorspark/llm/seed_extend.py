@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.llm.arrow_text import IS_SPACE, first_of, hash_runs, mix64, random_words, runs, slices, spread, utf8
@@ -278,10 +278,10 @@ def _settle_stretches(rows: Columns, threshold: int) -> Columns:
 
 def _settle_originals(rows: Columns) -> Columns:
     """Originals of an anchor with more than one go on."""
-    on_the_way = (rows["kind"] == PASS) | (rows["kind"] == CUT)
-    asks = _take(rows, ~on_the_way)
+    known = _take(rows, rows["kind"] == PASS)
+    asks = _take(rows, rows["kind"] != PASS)
     found = _take(asks, _shared(asks) & (asks["kind"] == ASK))
-    return _join([_take(rows, on_the_way), _rows(PASS, found["did"], found["th"], found["s"], found["e"])])
+    return _join([known, _rows(PASS, found["did"], found["th"], found["s"], found["e"])])
 
 
 def _settle_windows(rows: Columns, threshold: int) -> Columns:
@@ -336,15 +336,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def settled(rows: DataFrame, step: Callable[[Columns], Columns]) -> DataFrame:
         return rows.repartition("route").sortWithinPartitions("route").mapInArrow(_by_route(step), ROW)
 
-    def of_document(rows: DataFrame, column: F.Column, name: str) -> DataFrame:
+    def of_document(rows: DataFrame, column: Column, name: str) -> DataFrame:
         return rows.groupBy("did", "th").agg(F.collect_list(column).alias(name))
 
     # The texts are shuffled once: the three joins below share one exchange of all documents.
     seeds = settled(documents.mapInArrow(lambda b: _seeds(b, threshold), ROW), _settle_seeds)
     seeded = documents.join(of_document(seeds, F.col("s"), "seeds"), ["did", "th"])
     stretches = settled(seeded.mapInArrow(lambda b: _stretches(b, threshold), ROW), lambda rows: _settle_stretches(rows, threshold))
-    originals = settled(stretches, _settle_originals)
-    doubtful = documents.join(of_document(originals, F.struct("kind", "s", "e"), "found"), ["did", "th"])
+    # What is cut already goes straight to its document; both branches read one exchange.
+    known = stretches.filter(F.col("kind") == CUT)
+    originals = settled(stretches.filter(F.col("kind") != CUT), _settle_originals)
+    doubtful = documents.join(of_document(known.union(originals), F.struct("kind", "s", "e"), "found"), ["did", "th"])
     windows = settled(doubtful.mapInArrow(lambda b: _windows(b, threshold), ROW), lambda rows: _settle_windows(rows, threshold))
     cut = documents.join(of_document(windows, F.struct("s", "e"), "cuts"), ["did", "th"], "left")
     schema = "did long, th int, kept_text string, n_words long, n_removed long, repeats array<struct<start:int,end:int>>"
