@@ -1,4 +1,4 @@
-"""Order statistics against brute force, on the plain and on the sliced path."""
+"""Order statistics against brute force."""
 
 import random
 
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tutorspark.operators import cohort, dosage, equity, ranking
 
 
-@pytest.fixture(params=["window", "sliced"])
+@pytest.fixture(params=["full", "narrow"])
 def path(request, monkeypatch):
-    if request.param == "sliced":
-        monkeypatch.setattr(ranking, "SMALL_TABLE_ROWS", 0)
-        monkeypatch.setattr(ranking, "SMALL_LIMIT", 0)
-        monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 5)
+    """Cells as they are, and so wide or narrow that every level has work to do."""
+    if request.param == "narrow":
+        monkeypatch.setattr(ranking, "COARSE_STEPS", 1)
+        monkeypatch.setattr(ranking, "FINE_STEPS", 4)
     return request.param
 
 
@@ -69,6 +69,31 @@ def test_ranked_values(table, path):
     assert {r[3] for r in got} == {400}
 
 
+def test_cells_keep_the_order(table):
+    rng = np.random.default_rng(3)
+    values = np.unique(np.r_[rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 2.0 ** np.arange(-60, 60), np.nextafter(2.0 ** np.arange(-60, 60), 0)])
+    df = table([(float(v),) for v in values], "v double").withColumns(ranking.cells("v"))
+    got = [(r._coarse, r._fine) for r in df.orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) > 350
+
+
+def test_a_group_without_a_name_is_a_group(table, path):
+    data = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 2.0), (None, 1.0)]
+    got = sorted(map(str, rows(ranking.ranked_values(table(data, "g string, v double"), "v", ["g"]).select("g", "v", "n", "before_n", "total_n"))))
+    assert got == sorted(map(str, [(None, 1.0, 2, 0, 3), (None, 3.0, 1, 2, 3), ("a", 2.0, 2, 0, 2)]))
+
+
+def test_building_a_frame_starts_no_job(spark, table):
+    frame = table([(1.0, "x")], "total_hours double, ethnicity string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    dosage.dosage_metrics(frame)
+    equity.ethnicity_dosage(frame)
+    cohort.weighted_sample(frame, F.lit(1.0), 5)
+    assert list(tracker.getJobIdsForGroup("build")) == []
+    spark.sparkContext.setJobGroup("", "")
+
+
 @pytest.mark.parametrize("k", [0, 1, 40, 120, 500])
 def test_sample_has_the_exact_size(spark, path, k):
     df = spark.range(120).selectExpr("string(id) AS student_id", "0.1D + id % 4 AS w")
@@ -78,9 +103,32 @@ def test_sample_has_the_exact_size(spark, path, k):
     assert sorted(sample) == sorted(again)
 
 
-def test_sample_of_repeated_ids_has_the_exact_size(spark, path):
-    df = spark.range(90).selectExpr("string(id % 3) AS student_id", "1.0D AS w")
-    assert cohort.weighted_sample(df, F.col("w"), 40).count() == 40
+@pytest.mark.parametrize("k", [1, 40, 89])
+def test_sample_of_repeated_ids(spark, path, k):
+    """Equal rows draw one by one, and partitioning does not show."""
+    df = spark.range(90).selectExpr("CASE WHEN id % 3 > 0 THEN string(id % 3) END AS student_id", "id % 2 AS x")
+    first, *others = (
+        sorted(map(str, rows(cohort.weighted_sample(d, F.lit(1.0), k)))) for d in (df, df.repartition(7), df.repartition(2, "x"))
+    )
+    assert len(first) == k and all(first == other for other in others)
+
+
+def test_missing_ids_have_their_share(spark):
+    df = spark.range(1000).selectExpr("CASE WHEN id % 10 > 0 THEN string(id) END AS student_id")
+    fixed = [r.student_id for r in cohort.weighted_sample(df, F.lit(1.0), 300).collect()]
+    assert len(fixed) == 300 and 15 <= fixed.count(None) <= 48
+    free = [r.student_id for r in cohort.weighted_sample(df, F.lit(0.5), None).collect()]
+    assert 430 <= len(free) <= 570 and 30 <= free.count(None) <= 70
+    repeated = spark.range(1000).selectExpr("'same' AS student_id")
+    assert 430 <= cohort.weighted_sample(repeated, F.lit(0.5), None).count() <= 570
+    assert cohort.weighted_sample(repeated, F.lit(1.0), 123).count() == 123
+
+
+def test_copies_are_written_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(cohort, "ROWS_PER_RUN", 7)
+    df = spark.range(30).selectExpr("id % 2 AS x")
+    got = sorted((r.x, r._copy) for r in cohort.numbered_copies(df, ["x"]).collect())
+    assert got == [(x, n) for x in (0, 1) for n in range(15)]
 
 
 def test_sample_weights_matter_and_degenerate_weights_do_not(spark):

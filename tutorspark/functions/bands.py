@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tutorspark.functions.text import lowered
 
 DEFAULT_TARGET_HOURS = 60.0
+MILLION = 1e6
+MOST_EXACT_MINUTES = 1e6
 
 # Band edges as shares of the target, labels, and score cut-offs.
 DOSAGE_EDGES = (0.25, 0.5, 0.75, 1.0)
@@ -47,6 +49,22 @@ def minutes_to_hours(minutes: Column) -> Column:
     return minutes / F.lit(60.0)
 
 
+def summed_hours(minutes: Column) -> Column:
+    """P13 as an aggregate: hours of all minutes, summed exactly and divided once; 0 without any.
+
+    Minutes are summed as whole millionths, which come to the same in any order, so that sessions
+    that add up to a band edge lie on it and a rerun cannot move a student across.  What is finer
+    than a millionth, or a million minutes and more, is summed as it is; so is everything should the
+    whole number not fit.
+    """
+    small = F.abs(minutes) < F.lit(MOST_EXACT_MINUTES)
+    whole = F.when(small, F.rint(minutes * F.lit(MILLION))).cast("long")
+    rest = minutes - F.coalesce(whole / F.lit(MILLION), F.lit(0.0))
+    exact = F.try_sum(whole) / F.lit(MILLION) + F.sum(rest)
+    total = F.when(F.count(whole) == 0, F.sum(minutes)).otherwise(F.coalesce(exact, F.sum(minutes)))
+    return F.coalesce(minutes_to_hours(total), F.lit(0.0))
+
+
 def hours(df: DataFrame) -> Column:
     """Total hours of a prepared row, 0 when missing."""
     if "total_hours" not in df.columns:

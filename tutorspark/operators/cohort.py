@@ -239,24 +239,46 @@ def within_student_spread(sessions: DataFrame) -> DataFrame:
     return per_student.agg(F.avg("sd").alias("mean_within_student_sd"), F.count("sd").alias("students"))
 
 
-def uniform(id_column: str, seed: int) -> Column:
-    """A number in (0, 1] from the id: the same row draws the same number on every attempt."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column)))
+ROWS_PER_RUN = 10_000
+
+
+def numbered_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row of ``df`` with ``_copy``, its number among the rows that are equal in all columns, and
+    ``_key``, a digest of the key columns and that number that no other row of equal keys has.
+
+    Equal rows are counted, partly before the shuffle, and written out again in runs, so neither a
+    retry nor another partitioning changes the digests.  Columns must be comparable.
+    """
+    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    runs = counts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / ROWS_PER_RUN))))
+    first = F.col("_run") * ROWS_PER_RUN
+    copies = F.sequence(first, F.least(first + ROWS_PER_RUN, F.col("_copies")) - 1)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in keys]
+    digest = F.md5(F.concat_ws("|", *parts, F.col("_copy").cast("string")))
+    return runs.withColumn("_copy", F.explode(copies)).withColumn("_key", digest).drop("_copies", "_run")
+
+
+def uniform(key: str, seed: int) -> Column:
+    """A number in (0, 1] from a row's key: the same row draws the same number on every attempt."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
     return F.lit(1.0) - F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def weighted_sample(
-    df: DataFrame, weight: Column, k: int | None, seed: int = 42, id_column: str = "student_id"
+    df: DataFrame, weight: Column, k: int | None, seed: int = 42, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Exactly k rows without replacement, chance by weight; without k each row on its own.
 
     Every row draws an exponential waiting time -ln(u)/weight, and the k shortest win.  Weights are
-    floored at 1e-9; if none is positive, or any is not finite, all rows weigh the same.  The
-    draw depends only on seed and id, so a lost executor cannot change the sample.
+    floored at 1e-9; if none is positive, or any is not finite, all rows weigh the same.  The draw
+    depends on the seed, on the key columns (all, if none are named) and on a row's number among its
+    equals: repeated and missing ids draw for each row, and neither a lost executor nor another
+    partitioning changes the sample.  Rows that share their keys must be equal throughout.
     """
-    drawn = df.withColumn("_w", weight.cast("double")).withColumn("_u", uniform(id_column, seed))
+    keys = list(df.columns if keys is None else keys)
+    drawn = numbered_copies(df.withColumn("_w", weight.cast("double")), keys).withColumn("_u", uniform("_key", seed))
     if k is None:
-        return drawn.filter(F.lit(1.0) - F.col("_u") < F.col("_w")).drop("_w", "_u")
+        return drawn.filter(F.lit(1.0) - F.col("_u") < F.col("_w")).select(*df.columns)
     if k <= 0:
         return df.limit(0)
     finite = F.col("_w").isNotNull() & (F.abs("_w") < F.lit(float("inf")))
@@ -266,4 +288,4 @@ def weighted_sample(
     ).scalar()
     effective = F.when(usable, F.greatest("_w", F.lit(MINIMUM_WEIGHT))).otherwise(F.lit(1.0))
     waiting = drawn.withColumn("_wait", -F.log("_u") / effective)
-    return smallest_rows(waiting, ["_wait", id_column], k).drop("_w", "_u", "_wait")
+    return smallest_rows(waiting, "_wait", [*keys, "_copy"], k).select(*df.columns)

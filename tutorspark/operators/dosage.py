@@ -11,7 +11,7 @@ from tutorspark.functions.bands import DEFAULT_TARGET_HOURS, DOSAGE_SHARES, dosa
 from tutorspark.functions.stats import share
 from tutorspark.functions.text import percent_text, to_tenths
 from tutorspark.operators.filters import tutored_students
-from tutorspark.operators.prepare import duration_hours, roster_with_subject_hours
+from tutorspark.operators.prepare import duration_minutes, roster_with_subject_hours
 from tutorspark.operators.ranking import gini_of_ranked, quantile_of_ranked, ranked_values
 from tutorspark.schema import SUBJECTS
 
@@ -134,7 +134,7 @@ def session_time(sessions: DataFrame) -> Column:
 def timed_sessions(sessions: DataFrame) -> DataFrame:
     """sessions with a readable date, reduced to what the time views need."""
     return sessions.select(
-        session_time(sessions).alias("session_ts"), duration_hours(sessions).alias("h"), "student_id"
+        session_time(sessions).alias("session_ts"), duration_minutes(sessions).alias("minutes"), "student_id"
     ).filter(F.col("session_ts").isNotNull())
 
 
@@ -144,7 +144,7 @@ def hourly_sessions(sessions: DataFrame) -> DataFrame:
         timed_sessions(sessions)
         .groupBy(F.hour("session_ts").alias("hour_of_day"))
         .agg(
-            F.coalesce(F.sum("h"), F.lit(0.0)).alias("total_hours"),
+            bands.summed_hours(F.col("minutes")).alias("total_hours"),
             F.count("student_id").alias("session_count"),
         )
         .orderBy("hour_of_day")
@@ -160,9 +160,9 @@ def daily_sessions(sessions: DataFrame) -> DataFrame:
         timed_sessions(sessions)
         .groupBy(F.to_date("session_ts").alias("session_day"))
         .agg(
-            F.avg("h").alias("avg_duration"),
-            F.coalesce(F.sum("h"), F.lit(0.0)).alias("total_hours"),
-            F.count("h").alias("session_count"),
+            F.avg(bands.minutes_to_hours(F.col("minutes"))).alias("avg_duration"),
+            bands.summed_hours(F.col("minutes")).alias("total_hours"),
+            F.count("minutes").alias("session_count"),
             F.count_distinct("student_id").alias("unique_students"),
         )
     )

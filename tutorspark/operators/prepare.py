@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tutorspark.functions.bands import minutes_to_hours
+from tutorspark.functions.bands import minutes_to_hours, summed_hours
 from tutorspark.functions.parsing import typed_number
 from tutorspark.functions.text import strip
 from tutorspark.operators.joins import join_per_key
@@ -45,9 +45,9 @@ def hours_per_student(sessions: DataFrame) -> DataFrame:
     the left join from the roster drops anyway, after the roll-up and at one row each.
     """
     return (
-        identified_sessions(sessions, duration_hours(sessions).alias("h"))
+        identified_sessions(sessions, duration_minutes(sessions).alias("minutes"))
         .groupBy("student_id")
-        .agg(F.expr("coalesce(sum(h), 0.0D)").alias("total_hours"))
+        .agg(summed_hours(F.col("minutes")).alias("total_hours"))
     )
 
 
@@ -57,10 +57,10 @@ def hours_per_student_topic(sessions: DataFrame) -> DataFrame:
         identified_sessions(
             sessions.filter("session_topic IS NOT NULL"),
             F.col("session_topic"),
-            duration_hours(sessions).alias("h"),
+            duration_minutes(sessions).alias("minutes"),
         )
         .groupBy("student_id", "session_topic")
-        .agg(F.expr("coalesce(sum(h), 0.0D)").alias("subject_hours"))
+        .agg(summed_hours(F.col("minutes")).alias("subject_hours"))
     )
 
 
@@ -74,15 +74,10 @@ def hours_by_subject(sessions: DataFrame) -> DataFrame:
         identified_sessions(
             sessions.filter("session_topic IS NOT NULL"),
             F.lower("session_topic").alias("topic"),
-            duration_hours(sessions).alias("h"),
+            duration_minutes(sessions).alias("minutes"),
         )
         .groupBy("student_id")
-        .agg(
-            *(
-                F.expr(f"coalesce(sum(CASE WHEN topic = '{s}' THEN h END), 0.0D)").alias(s)
-                for s in SUBJECTS
-            )
-        )
+        .agg(*(summed_hours(F.when(F.col("topic") == s, F.col("minutes"))).alias(s) for s in SUBJECTS))
     )
 
 

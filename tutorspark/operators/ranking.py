@@ -1,27 +1,31 @@
 """Order statistics without a global sort in one task.
 
-Exact percentiles, the Gini coefficient, top-k of any size and rolling sums over a sorted list all
+Exact percentiles, the Gini coefficient, samples of any size and rolling sums over a sorted list all
 need the position of a row in a sorted group.  A plain ``Window.partitionBy(group).orderBy(value)``
 puts a whole group into one task, and ``percentile`` holds every distinct value of a group in one
-buffer.  That is fine for a table known to be small.  Beyond that the rows are range-partitioned over (group, value) instead, so that a group of any
-size is spread over many tasks; running sums are taken inside each slice, and one small table of
-slice totals (at most partitions + groups rows) turns them into running sums over the group.
+buffer.  Here a value's place follows from the value alone: its sign, binary exponent and leading
+mantissa bits make a coarse cell, the next bits a fine cell.  Totals are summed by cell, running
+sums over coarse cells, then over the fine cells of each, then over the values of each fine cell give
+the running sum before every value.  A group has at most some hundred coarse cells per power of two, a
+coarse cell at most 2^20 fine ones, and a fine cell holds what differs in the last bits only, so no
+window sees more than that, whatever the distribution.  The plan is the same for any size; it starts no job
+and needs no sample, so every reader and every attempt of a task agrees on the cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tutorspark.session import settle
-
-_SLICE = "_slice"
-# Up to here a window in one task is quicker than cutting the table into slices.
-SMALL_TABLE_ROWS = 200_000
-SMALL_LIMIT = 10_000
-ROWS_PER_BLOCK = 100_000
+_COARSE, _FINE = "_coarse", "_fine"
+_CELLS = (_COARSE, _FINE)
+COARSE_STEPS = 256
+FINE_STEPS = 1 << 20
+# Above any shift that brings the exponents of doubles, -1074 to 1023, into the positive.
+EXPONENT_SHIFT = 2048
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **extra: Column) -> DataFrame:
@@ -34,57 +38,72 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **extra: Col
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggregates)
 
 
+def cells(value: str) -> dict[str, Column]:
+    """Coarse and fine cell of a number: neither falls as the value grows.
+
+    A wrong rounding of the logarithm right below a power of two would only move those values to
+    the first cell of that power, still in order.
+    """
+    size = F.abs(F.col(value).cast("double"))
+    finite = F.least(size, F.lit(1.7976931348623157e308))
+    exponent = F.floor(F.log2(finite))
+    steps = finite / F.pow(F.lit(2.0), exponent) * COARSE_STEPS
+    whole = F.floor(steps)
+    coarse = (exponent + EXPONENT_SHIFT) * (2 * COARSE_STEPS) + whole
+    fine = F.floor((steps - whole) * FINE_STEPS)
+    sign = F.signum(F.col(value).cast("double"))
+    return {
+        name: F.when(size > 0, sign * cell).otherwise(F.lit(0)).cast("long")
+        for name, cell in ((_COARSE, coarse), (_FINE, fine))
+    }
+
+
+def same(left: str, right: str, columns: Sequence[str]) -> Column:
+    """Equality of columns of two aliased frames in which NULL equals NULL."""
+    return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
+
+
 def prefix_sums(
-    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()
+    df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``before_<name>`` (sum over the earlier rows of the group) and ``total_<name>``.
+    """Add ``before_<name>`` (sum over the group's rows with a smaller value) and ``total_<name>``.
 
-    Group columns must not be NULL.  Ties in ``order`` are counted row by row, in any order.  The
-    table is settled and counted first: up to ``SMALL_TABLE_ROWS`` a plain window does it in one
-    task per group, beyond that the groups are sliced.
+    Values are numbers, not NULL, and distinct within a group; NULL group columns are a group.
     """
-    table = settle(df)
-    if table.count() > SMALL_TABLE_ROWS:
-        return sliced_prefix_sums(table, order, sums, by)
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return table.select(
-        "*",
-        *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{name}") for name, c in sums.items()),
-        *(F.sum(c).over(group).alias(f"total_{name}") for name, c in sums.items()),
-    )
+    by = list(by)
+    celled = df.withColumns(cells(value))
+    per_fine = celled.groupBy(*by, *_CELLS).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
 
+    def earlier(partition: Sequence[str], order: str) -> Window:
+        return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-def sliced_prefix_sums(
-    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()
-) -> DataFrame:
-    """``prefix_sums`` for a table of any size, with no group confined to one task."""
-    by, order = list(by), list(order)
-    ranged = df.repartitionByRange(*by, *order).select("*", F.spark_partition_id().alias(_SLICE))
-    # Slice boundaries come from a sample, so both readers below must see one and the same slicing.
-    sliced = settle(ranged)
+    def before(column: Column, window: Window) -> Column:
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
 
-    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_coarse = per_fine.groupBy(*by, _COARSE).agg(*(F.sum(name).alias(name) for name in sums))
     group = Window.partitionBy(*by)
-    per_slice = sliced.groupBy(*by, _SLICE).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
-    offsets = per_slice.select(
+    coarse = per_coarse.select(
         *by,
-        _SLICE,
-        *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_offset_{name}") for name in sums),
+        _COARSE,
+        *(before(F.col(name), earlier(by, _COARSE)).alias(f"_before_{name}") for name in sums),
         *(F.sum(name).over(group).alias(f"total_{name}") for name in sums),
     )
-
-    inside = (
-        Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    fine = per_fine.select(
+        *by,
+        *_CELLS,
+        *(before(F.col(name), earlier([*by, _COARSE], _FINE)).alias(f"_within_{name}") for name in sums),
     )
-    before = {
-        f"before_{name}": F.col(f"_offset_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
-        for name, c in sums.items()
-    }
-    return (
-        sliced.join(offsets, [*by, _SLICE])
-        .withColumns(before)
-        .drop(_SLICE, *(f"_offset_{name}" for name in sums))
+    offsets = fine.alias("l").join(coarse.alias("r"), same("l", "r", [*by, _COARSE])).select(
+        *(F.col(f"l.{c}") for c in [*by, *_CELLS]),
+        *((F.col(f"_before_{name}") + F.col(f"_within_{name}")).alias(f"_offset_{name}") for name in sums),
+        *(f"total_{name}" for name in sums),
+    )
+    inside = earlier([*by, *_CELLS], value)
+    placed = celled.withColumns({f"_inside_{name}": before(c, inside) for name, c in sums.items()})
+    return placed.alias("l").join(offsets.alias("r"), same("l", "r", [*by, *_CELLS])).select(
+        *(F.col(f"l.{c}") for c in df.columns),
+        *((F.col(f"_offset_{name}") + F.col(f"_inside_{name}")).alias(f"before_{name}") for name in sums),
+        *(f"total_{name}" for name in sums),
     )
 
 
@@ -94,7 +113,7 @@ def ranked_values(
     """Distinct values with ``n``, ``before_n`` (rows below) and group totals of n and value*n."""
     return prefix_sums(
         value_counts(df, value, by, **extra),
-        [value],
+        value,
         {"n": F.col("n"), "sum": F.col(value) * F.col("n")},
         by,
     )
@@ -132,17 +151,35 @@ def gini_of_ranked(value: str) -> Column:
     )
 
 
-def smallest_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """Exactly the k first rows by ``order``, ties broken arbitrarily; k may be any size.
+def smallest_rows(df: DataFrame, value: str, ties: Sequence[str], k: int) -> DataFrame:
+    """Exactly the k first rows by ``value``, then by ``ties``, which must tell all rows apart.
 
-    A short list is a distributed top-k.  For a long one the rows are ranked in slices; a running
-    number, written down before it is used, lets slice boundaries fall between equal rows too.
+    Rows are counted by coarse cell, in the cell where the k-th lies by fine cell, and there by value.
+    What lies below is taken by a filter.  Rows with the very value of the k-th are sorted in one task,
+    so the value should not have many equals.
     """
-    if k <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(k)
-    numbered = settle(df.select("*", F.monotonically_increasing_id().alias("_tie")))
-    ranked = sliced_prefix_sums(numbered, [*order, "_tie"], {"row": F.lit(1)})
-    return ranked.filter(F.col("before_row") < F.lit(k)).select(*df.columns)
+    celled = df.withColumns(cells(value))
+    found: Column | None = None
+    known: list[str] = []
+    for column in (*_CELLS, value):
+        rows, before = celled, F.lit(0).cast("long")
+        if found is not None:
+            here = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_at.{c}") for c in known))
+            rows, before = celled.withColumn("_at", found).filter(here), F.col("_at.before")
+        counts = rows.groupBy(*(["_at"] if known else []), column).agg(F.count(F.lit(1)).alias("_rows"))
+        upto = before + F.sum("_rows").over(Window.orderBy(column))
+        counts = counts.select("*", upto.alias("_upto"), (upto - F.col("_rows")).alias("before"))
+        place = F.struct(*(F.col(f"_at.{c}").alias(c) for c in known), column, "before")
+        holds = (F.col("before") < F.lit(k)) & (F.lit(k) <= F.col("_upto"))
+        found = counts.agg(F.max(F.when(holds, place))).scalar()
+        known.append(column)
+    placed = celled.withColumn("_at", found)
+    # Without a k-th row there are fewer than k, and all of them are meant.
+    below = placed.filter(F.col("_at").isNull() | (F.col(value) < F.col(f"_at.{value}")))
+    order = F.row_number().over(Window.orderBy(*ties))
+    equal = placed.filter(F.col(value) == F.col(f"_at.{value}")).withColumn("_order", order)
+    equal = equal.filter(F.col("_order") <= F.lit(k) - F.col("_at.before"))
+    return below.select(*df.columns).unionByName(equal.select(*df.columns))
 
 
 def centred_rolling_sums(
@@ -150,33 +187,23 @@ def centred_rolling_sums(
 ) -> DataFrame:
     """Sums over a centred window of ``min(window, rows of the group)`` rows.
 
-    Adds ``rolling_<column>`` and ``window_rows``.  Each group is cut into blocks of consecutive
-    rows that are windowed separately; the few rows next to a cut are copied into the
-    neighbouring block, so the result does not depend on where the cuts fall.
+    Adds ``rolling_<column>`` and ``window_rows``.  ``order`` is a number, distinct within a group.  A
+    window's sum is the running sum up to its last row less that before its first, each looked up by
+    its place in the group, so the plan does not grow with the window.
     """
     by = list(by)
-    numbered = prefix_sums(df, [order], {"row": F.lit(1)}, by)
-    row, block_size = F.col("before_row"), F.lit(ROWS_PER_BLOCK)
-    reach_down, reach_up = (window - 1) // 2, window // 2
-    first_block = F.floor(F.greatest(row - reach_down, F.lit(0)) / block_size)
-    last_block = F.floor((row + reach_up) / block_size)
-    blocked = numbered.withColumn("_block", F.explode(F.sequence(first_block, last_block)))
-
+    sums = {"row": F.lit(1), **{name: F.col(name) for name in columns}}
+    numbered = prefix_sums(df, order, sums, by)
     rows = F.least(F.lit(window), F.col("total_row"))
-    place = Window.partitionBy(*by, "_block").orderBy("before_row")
-
-    def rolling(name: str) -> Column:
-        def over(w: int) -> Column:
-            return F.sum(name).over(place.rowsBetween(-(w // 2), (w - 1) // 2))
-
-        result = over(window)
-        for w in range(window - 1, 0, -1):
-            result = F.when(rows == F.lit(w), over(w)).otherwise(result)
-        return result
-
-    return (
-        blocked.withColumns({f"rolling_{name}": rolling(name) for name in columns})
-        .withColumn("window_rows", rows.cast("int"))
-        .filter(F.col("_block") == F.floor(row / block_size))
-        .drop("_block", "before_row", "total_row")
+    start = F.greatest(F.col("before_row") - F.floor(rows / 2), F.lit(0))
+    end = F.least(F.col("before_row") + F.floor((rows - 1) / 2) + 1, F.col("total_row"))
+    edges = numbered.select("*", rows.cast("int").alias("window_rows"), start.alias("_start"), end.alias("_end"))
+    for edge in ("_start", "_end"):
+        marks = numbered.select(*by, F.col("before_row").alias(edge), *(F.col(f"before_{c}").alias(f"{edge}_{c}") for c in columns))
+        # Past the last row there is no mark: the sum there is the group's total.
+        edges = edges.alias("l").join(marks.alias("r"), same("l", "r", [*by, edge]), "left").select(
+            "l.*", *(F.coalesce(f"r.{edge}_{c}", f"l.total_{c}").alias(f"{edge}_{c}") for c in columns)
+        )
+    return edges.select(
+        *df.columns, *((F.col(f"_end_{c}") - F.col(f"_start_{c}")).alias(f"rolling_{c}") for c in columns), "window_rows"
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from contextlib import suppress
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_REMOVED_AT_EXIT: set[str] = set()
+
 # What the operators count on; a cluster sets sizes (partitions, memory, checkpoint folder) itself.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,6 +30,7 @@ def local_session(cores: int | str = "*", app: str = "tutorspark", **conf: str)
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tutorspark-"),
         **conf,
     }
     for key, value in settings.items():
@@ -35,27 +40,26 @@ def local_session(cores: int | str = "*", app: str = "tutorspark", **conf: str)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a temporary one on a single machine only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tutorspark-checkpoint-")
-    sc.setCheckpointDir(folder)
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which executors can reach.
 
+    It is removed when the driver ends.  The library itself writes nothing there; queries that
+    write and read back name it as their target.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    folder = f"{base.rstrip('/')}/tutorspark-{spark.sparkContext.applicationId}-written"
+    if folder not in _REMOVED_AT_EXIT:
+        _REMOVED_AT_EXIT.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the checkpoint folder once, so that every later reader sees the same rows.
 
-    Used where two branches of a plan must agree on something a recomputation may change, such as
-    range-partition boundaries or the last digit of a floating-point sum.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def _remove(spark: SparkSession, folder: str) -> None:
+    with suppress(Exception):  # the session may be gone; nothing else depends on it
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from tutorspark.functions import parsing
-from tutorspark.functions.bands import (
-    DOSAGE_EDGES,
-    DOSAGE_LABELS,
-    DOSAGE_SHARES,
-    LEVEL_CUTS,
-    LEVEL_LABELS,
-    PROFICIENCY_PHRASES,
-    ROSTER_GRADE_BANDS,
-    TOPIC_GRADE_BANDS,
-    grade_band_label,
-)
-from tutorspark.operators.equity import SUBGROUP_NAMES
 from tutorspark.workload import views
-from tutorspark.workload.queries import SAMPLE_K, SUBGROUP_FACTORS, TARGET, TOTAL_COST
+
+# Fixed values, written out here and not taken from the code that they check.
+TARGET = 60.0
+TOTAL_COST = 2_000_000.0
+SAMPLE_K = 400
+SUBGROUP_FACTORS = {"ell": 1.15, "iep": 1.2, "economic_disadvantage": 1.25}
+DOSAGE_EDGES = (0.25, 0.5, 0.75, 1.0)
+DOSAGE_LABELS = ("<25%", "25-50%", "50-75%", "75-99%", "100%+")
+DOSAGE_SHARES = ("pct_below_25", "pct_25_50", "pct_50_75", "pct_75_99", "pct_full_dosage")
+LEVEL_CUTS = (680, 710, 740, 770, 790)
+LEVEL_LABELS = ("Below Basic", "Basic", "Proficient", "Advanced", "Distinguished", "Exceeds")
+PROFICIENCY_PHRASES = (
+    "far below basic", "below basic", "basic", "approaching", "proficient", "advanced", "exceeds", "level 1",
+    "level 2", "level 3", "level 4", "level 5", "novice", "developing", "distinguished",
+)
+ROSTER_GRADE_BANDS = ((-1, 2, "Pre-K-2"), (3, 5, "Grades 3-5"), (6, 8, "Grades 6-8"), (9, 12, "Grades 9-12"))
+TOPIC_GRADE_BANDS = ((-1, 3, "Pre-K-3"), (4, 5, "Grades 4-5"), (6, 8, "Grades 6-8"), (9, 12, "Grades 9-12"))
+SUBGROUP_NAMES = {
+    "ell": ("ELL", "ELL Students", "Non-ELL Students"),
+    "iep": ("IEP", "IEP Students", "Non-IEP Students"),
+    "economic_disadvantage": ("Economic Status", "Economically Disadvantaged", "Not Economically Disadvantaged"),
+}
+TRUE_WORDS = ("true", "1", "yes", "y", "t")
+FALSE_WORDS = ("false", "0", "no", "n", "f")
+UNKNOWN_WORDS = ("unknown", "declined", "declined to provide", "na", "n/a")
+PRE_KINDERGARTEN_WORDS = ("pre-k", "prek", "prekindergarten", "pk")
+KINDERGARTEN_WORDS = ("kindergarten", "kg", "k")
+ELA_WORDS = ("ela", "english language arts", "english", "reading", "literacy")
+MATH_WORDS = ("math", "mathematics", "mathematic", "maths")
 
 SUBJECTS = ("ela", "math")
 MEASURES = ("value_added", "raw_gain")
@@ -52,7 +67,7 @@ def _outcome_columns() -> str:
 
 _CTES = {
     **{name: views.sql(name) for name in ("sessions", "roster", "messy_sessions", "messy_roster")},
-    "hours": """SELECT student_id, coalesce(sum(session_duration / 60.0::DOUBLE), 0.0::DOUBLE) AS h
+    "hours": """SELECT student_id, coalesce(sum(CAST(session_duration AS DECIMAL(28, 12)))::DOUBLE / 60, 0.0::DOUBLE) AS h
                 FROM sessions WHERE student_id IS NOT NULL GROUP BY student_id""",
     "prepared": f"""SELECT *, total_hours > 0 AS received_tutoring, {_outcome_columns()}
                 FROM (SELECT roster.*, coalesce(h, 0.0::DOUBLE) AS total_hours FROM roster LEFT JOIN hours USING (student_id))""",
@@ -86,12 +101,12 @@ _DEPENDS = {
 
 def flag_sql(c: str) -> str:
     w = f"lower({clean(c)})"
-    return f"CASE WHEN {w} IN ({words(parsing.TRUE_WORDS)}) THEN true WHEN {w} IN ({words(parsing.FALSE_WORDS)}) THEN false END"
+    return f"CASE WHEN {w} IN ({words(TRUE_WORDS)}) THEN true WHEN {w} IN ({words(FALSE_WORDS)}) THEN false END"
 
 
 def flag_valid_sql(c: str) -> str:
     w = f"lower({clean(c)})"
-    known = words((*parsing.TRUE_WORDS, *parsing.FALSE_WORDS, *parsing.UNKNOWN_WORDS))
+    known = words((*TRUE_WORDS, *FALSE_WORDS, *UNKNOWN_WORDS))
     return f"({w} IS NULL OR {w} IN ({known}))"
 
 
@@ -110,27 +125,27 @@ def number_valid_sql(c: str) -> str:
 def grade_sql(c: str) -> str:
     w = f"lower({clean(c)})"
     return (
-        f"CASE WHEN {w} IN ({words(parsing.PRE_KINDERGARTEN_WORDS)}) THEN -1 "
-        f"WHEN {w} IN ({words(parsing.KINDERGARTEN_WORDS)}) THEN 0 "
+        f"CASE WHEN {w} IN ({words(PRE_KINDERGARTEN_WORDS)}) THEN -1 "
+        f"WHEN {w} IN ({words(KINDERGARTEN_WORDS)}) THEN 0 "
         f"ELSE CAST(trunc({number_sql(c)}) AS INTEGER) END"
     )
 
 
 def grade_valid_sql(c: str) -> str:
     w = f"lower({clean(c)})"
-    known = words((*parsing.PRE_KINDERGARTEN_WORDS, *parsing.KINDERGARTEN_WORDS))
+    known = words((*PRE_KINDERGARTEN_WORDS, *KINDERGARTEN_WORDS))
     n = f"({number_sql(c)})"
     return f"({w} IS NULL OR {w} IN ({known}) OR coalesce({n} = trunc({n}), false))"
 
 
 def topic_sql(c: str) -> str:
     w = f"lower({clean(c)})"
-    return f"CASE WHEN {w} IN ({words(parsing.ELA_WORDS)}) THEN 'ela' WHEN {w} IN ({words(parsing.MATH_WORDS)}) THEN 'math' ELSE {w} END"
+    return f"CASE WHEN {w} IN ({words(ELA_WORDS)}) THEN 'ela' WHEN {w} IN ({words(MATH_WORDS)}) THEN 'math' ELSE {w} END"
 
 
 def topic_valid_sql(c: str) -> str:
     w = f"lower({clean(c)})"
-    return f"({w} IS NULL OR {w} IN ({words((*parsing.ELA_WORDS, *parsing.MATH_WORDS))}))"
+    return f"({w} IS NULL OR {w} IN ({words((*ELA_WORDS, *MATH_WORDS))}))"
 
 
 def time_sql(c: str) -> str:
@@ -204,7 +219,7 @@ def rank_sql(level: str) -> str:
 
 
 def grade_band_sql(grade: str, grade_bands) -> str:
-    arms = " ".join(f"WHEN {grade} BETWEEN {a} AND {b} THEN '{grade_band_label(a, b)}'" for a, b in grade_bands)
+    arms = " ".join(f"WHEN {grade} BETWEEN {a} AND {b} THEN '{label}'" for a, b, label in grade_bands)
     return f"CASE {arms} END"
 
 
@@ -214,8 +229,11 @@ def multiplier_sql(base: float) -> str:
     )
 
 
-def uniform_sql() -> str:
-    return "(1.0::DOUBLE - CAST(CAST('0x' || substr(md5('42:' || student_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE)"
+def uniform_sql(*keys: str, copy: str = "0") -> str:
+    """A number in (0, 1] from the key columns and the number of the row among its equals."""
+    parts = ", ".join([*(f"coalesce(CAST({k} AS VARCHAR), '\\N')" for k in keys), f"CAST({copy} AS VARCHAR)"])
+    digits = f"substr(md5('42:' || md5(concat_ws('|', {parts}))), 1, 13)"
+    return f"(1.0::DOUBLE - CAST(CAST('0x' || {digits} AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def long_outcomes() -> str:
@@ -359,7 +377,7 @@ def all_oracles() -> dict[str, str]:
     for name in ("S1_csv_scan", "S2_json_scan", "S3_parquet_scan"):
         add(name, f"{typed} FROM typed_sessions", "typed_sessions")
     add("S5_mapping_profile", "SELECT row_num, student_id, gender FROM norm_roster", "norm_roster")
-    add("S6_canonical_order", "SELECT student_id, school_id, 0 AS id_place, 17 AS level_place FROM roster", "roster")
+    add("S6_canonical_order", "SELECT *, 0 AS id_place, 17 AS level_place FROM roster", "roster")
     add("S7_materialized_prepared", f"SELECT student_id, {r('total_hours')} AS total_hours, received_tutoring FROM prepared", "prepared")
     add("S8_preview", f"SELECT student_id, school_name, {r('total_hours')} AS total_hours FROM prepared ORDER BY student_id LIMIT 10", "prepared")
 
@@ -397,7 +415,7 @@ def all_oracles() -> dict[str, str]:
     add("P12_latest_outcome", f"SELECT student_id, {r('ela_latest_outcome')} AS ela FROM prepared", "prepared")
     add(
         "P13_session_hours",
-        f"""SELECT session_topic, {r('sum(session_duration / 60.0::DOUBLE)')} AS hours,
+        f"""SELECT session_topic, {r('sum(CAST(session_duration AS DECIMAL(28, 12)))::DOUBLE / 60')} AS hours,
         {r('max(session_duration / 60.0::DOUBLE)')} AS longest FROM sessions GROUP BY session_topic""",
         "sessions",
     )
@@ -473,7 +491,7 @@ def all_oracles() -> dict[str, str]:
     add("F9_nonblank_levels", f"{ids} WHERE trim({level}) <> ''", "prepared")
     add(
         "F10_dated_sessions",
-        f"""SELECT strftime(t, '%Y-%m-%d') AS session_day, count(*) AS n, {r('sum(session_duration / 60.0::DOUBLE)')} AS hours
+        f"""SELECT strftime(t, '%Y-%m-%d') AS session_day, count(*) AS n, {r('sum(CAST(session_duration AS DECIMAL(28, 12)))::DOUBLE / 60')} AS hours
         FROM (SELECT *, {time_sql('session_date')} AS t FROM typed_sessions) WHERE t IS NOT NULL GROUP BY 1""",
         "typed_sessions",
     )
@@ -482,11 +500,17 @@ def all_oracles() -> dict[str, str]:
     add("F12_high_need", f"{ids} WHERE coalesce(ell, false) OR coalesce(iep, false) OR coalesce(economic_disadvantage, false)", "prepared")
 
     add("J1_roster_hours", ids, "prepared")
+    add(
+        "F5_long_list",
+        f"""SELECT gender, count(*) AS students, {count_if('student_id IS NULL')} AS without_id FROM norm_roster
+        WHERE gender IN ('Female', 'Nonbinary') GROUP BY gender""",
+        "norm_roster",
+    )
     add(
         "J2_sessions_on_roster",
-        f"""SELECT student_id, count(*) AS n, {r('sum(session_duration)')} AS minutes FROM sessions
-        WHERE student_id IN (SELECT student_id FROM roster WHERE district_name = 'ASIA') GROUP BY student_id""",
-        "sessions", "roster",
+        """SELECT student_id, count(*) AS n, count(DISTINCT tutor_id) AS tutors FROM norm_sessions
+        WHERE student_id IN (SELECT student_id FROM norm_roster WHERE student_id IS NOT NULL) GROUP BY student_id""",
+        "norm_sessions", "norm_roster",
     )
     doubles = [f"{s}_outcome_measure_{i}" for s in SUBJECTS for i in (1, 2, 3)] + ["total_hours"]
     doubles += [f"{s}_{m}" for s in SUBJECTS for m in ("latest_outcome", "raw_gain", "value_added")]
@@ -496,7 +520,7 @@ def all_oracles() -> dict[str, str]:
         received_tutoring, {', '.join(f'{r(c)} AS {c}' for c in doubles)} FROM prepared""",
         "prepared",
     )
-    subject_hours = ", ".join(f"coalesce(sum(CASE WHEN session_topic = '{s}' THEN session_duration / 60.0::DOUBLE END), 0.0::DOUBLE) AS {s}" for s in SUBJECTS)
+    subject_hours = ", ".join(f"coalesce(sum(CASE WHEN session_topic = '{s}' THEN CAST(session_duration AS DECIMAL(28, 12)) END)::DOUBLE / 60, 0.0::DOUBLE) AS {s}" for s in SUBJECTS)
     pivot = f"(SELECT student_id, {subject_hours} FROM sessions GROUP BY student_id)"
     with_subjects = f"(SELECT p.*, coalesce(v.ela, 0.0) AS ela, coalesce(v.math, 0.0) AS math FROM prepared p LEFT JOIN {pivot} v USING (student_id))"
     add("J4_subject_hours", f"SELECT student_id, {r('total_hours')} AS total_hours, {r('ela')} AS ela, {r('math')} AS math FROM {with_subjects}", "prepared", "sessions")
@@ -509,9 +533,10 @@ def all_oracles() -> dict[str, str]:
     )
     add(
         "J6_session_grades",
-        f"""SELECT current_grade_level, count(*) AS n, {r('sum(session_duration)')} AS minutes
-        FROM sessions LEFT JOIN (SELECT * FROM roster WHERE district_name <> 'ASIA') USING (student_id) GROUP BY 1""",
-        "sessions", "roster",
+        f"""SELECT g AS current_grade_level, count(*) AS n, count(s.student_id) AS with_id
+        FROM norm_sessions s LEFT JOIN (SELECT student_id, max({grade_sql('current_grade_level')}) AS g FROM norm_roster
+             WHERE student_id IS NOT NULL GROUP BY 1) r ON s.student_id = r.student_id GROUP BY 1""",
+        "norm_sessions", "norm_roster",
     )
     add("J7_grade_bands", f"SELECT student_id, {grade_band_sql('current_grade_level', ROSTER_GRADE_BANDS)} AS grade_band FROM prepared", "prepared")
     grid = f"""SELECT CAST({rank_sql('l')} AS INTEGER) AS level_rank, l AS proficiency_level, CAST(status_ord AS INTEGER) AS status_ord, tutoring_status,
@@ -524,7 +549,7 @@ def all_oracles() -> dict[str, str]:
     add("A1_hours_per_student", f"SELECT student_id, {r('h')} AS total_hours FROM hours", "hours")
     add(
         "A2_hours_per_topic",
-        f"""SELECT student_id, session_topic, {r('sum(session_duration / 60.0::DOUBLE)')} AS subject_hours FROM sessions
+        f"""SELECT student_id, session_topic, {r('sum(CAST(session_duration AS DECIMAL(28, 12)))::DOUBLE / 60')} AS subject_hours FROM sessions
         WHERE session_topic IS NOT NULL GROUP BY 1, 2""",
         "sessions",
     )
@@ -573,6 +598,7 @@ def all_oracles() -> dict[str, str]:
     add(
         "A10_target_attainment",
         f"""SELECT {r(pct(count_if(f'{need} AND total_hours >= {TARGET}'), count_if(need)))} AS high_need_full_dosage_pct, {count_if(need)} AS high_need_n,
+        {count_if(need)} < 30 AS high_need_small_sample,
         {r(pct(count_if(f'total_hours >= {TARGET}'), 'count(*)'))} AS total_full_dosage_pct, count(*) AS total_n FROM tutored""",
         "tutored",
     )
@@ -602,19 +628,26 @@ def all_oracles() -> dict[str, str]:
         "tutored",
     )
 
-    def one(s: str, m: str, c: str) -> str:
-        return f"(SELECT {c} FROM m WHERE subject = '{s}' AND measure = '{m}')"
+    va = f"(SELECT *, mean / (sd / sqrt(n)) AS t, n - 1.0::DOUBLE AS df FROM ({moments()}) WHERE measure = 'value_added')"
+    with_p = f"(SELECT *, {p_value('t', 'df')} AS p FROM {va} va)"
+    def cell(s: str, m: str, c: str, name: str) -> str:
+        return f"max(CASE WHEN subject = '{s}' AND measure = '{m}' THEN {c} END) AS {name}"
 
+    wide = []
+    for s in SUBJECTS:
+        for m, prefix, names in (
+            ("value_added", "va", ("mean", "median", "std", "positive_pct", "n", "pvalue", "significant", "effect_size", "weeks_learning")),
+            ("raw_gain", "raw", ("mean", "positive_pct", "n", "effect_size", "weeks_learning")),
+        ):
+            source = {"std": "sd", "pvalue": "p", "significant": "p < 0.05", "effect_size": "effect", "weeks_learning": "effect * 43.0"}
+            for name in names:
+                c = source.get(name, name)
+                wide.append(cell(s, m, c if name in ("n", "significant") else r(c), f"{s}_{prefix}_{name}"))
     add(
         "A14_outcome_metrics_wide",
-        f"""SELECT {r(one('ela', 'value_added', 'mean'))} AS ela_va_mean, {r(one('ela', 'value_added', 'sd'))} AS ela_va_std,
-        {one('ela', 'value_added', 'n')} AS ela_va_n, {r(one('math', 'value_added', 'effect'))} AS math_va_effect_size,
-        {r(one('math', 'raw_gain', 'mean'))} AS math_raw_mean, {r(one('math', 'raw_gain', 'effect * 43.0'))} AS math_raw_weeks_learning
-        FROM (SELECT 1) CROSS JOIN (SELECT 1)""".replace("m WHERE", f"({moments()}) m WHERE"),
+        f"SELECT {', '.join(wide)} FROM (SELECT m.*, p FROM ({moments()}) m LEFT JOIN {with_p} v USING (subject, measure))",
         "tutored",
     )
-    va = f"(SELECT *, mean / (sd / sqrt(n)) AS t, n - 1.0::DOUBLE AS df FROM ({moments()}) WHERE measure = 'value_added')"
-    with_p = f"(SELECT *, {p_value('t', 'df')} AS p FROM {va} va)"
     add("A15_p_values", f"SELECT subject, {r('p')} AS p_value, p < 0.05 AS significant FROM {with_p}", "tutored")
     weighted = ", ".join(
         f"{r(f'sum({c} * n) / sum(CASE WHEN {c} IS NOT NULL THEN n END)')} AS {name}"
@@ -680,12 +713,12 @@ def all_oracles() -> dict[str, str]:
     )
     add(
         "A25_hourly_sessions",
-        f"""SELECT CAST(extract(hour FROM session_ts) AS INTEGER) AS hour_of_day, {r('sum(session_duration / 60.0::DOUBLE)')} AS total_hours,
+        f"""SELECT CAST(extract(hour FROM session_ts) AS INTEGER) AS hour_of_day, {r('sum(CAST(session_duration AS DECIMAL(28, 12)))::DOUBLE / 60')} AS total_hours,
         count(student_id) AS session_count FROM sessions WHERE session_ts IS NOT NULL GROUP BY 1""",
         "sessions",
     )
     daily = """(SELECT *, avg(a) OVER (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling FROM
-        (SELECT CAST(session_ts AS DATE) AS d, avg(session_duration / 60.0::DOUBLE) AS a, sum(session_duration / 60.0::DOUBLE) AS h,
+        (SELECT CAST(session_ts AS DATE) AS d, avg(session_duration / 60.0::DOUBLE) AS a, sum(CAST(session_duration AS DECIMAL(28, 12)))::DOUBLE / 60 AS h,
          count(session_duration) AS n, count(DISTINCT student_id) AS u FROM sessions GROUP BY 1))"""
     add(
         "A26_daily_sessions",
@@ -697,7 +730,8 @@ def all_oracles() -> dict[str, str]:
     add(
         "A27_unknown_shares",
         " UNION ALL ".join(
-            f"""SELECT '{f}' AS field, '{label}' AS label, {count_if(f'{f} IS NULL')} AS unknown, {r(pct(count_if(f'{f} IS NULL'), 'count(*)'))} AS pct_unknown
+            f"""SELECT '{f}' AS field, '{label}' AS label, {count_if(f'{f} IS NULL')} AS unknown, {r(pct(count_if(f'{f} IS NULL'), 'count(*)'))} AS pct_unknown,
+            printf('{label}: %.1f%% unknown and left out of subgroup comparisons', {pct(count_if(f'{f} IS NULL'), 'count(*)')}) AS note
             FROM tutored HAVING {count_if(f'{f} IS NULL')} > 0"""
             for f, label in labels27.items()
         ),
@@ -737,9 +771,9 @@ def all_oracles() -> dict[str, str]:
     add(
         "A34_grade_band_shares",
         " UNION ALL ".join(
-            f"""SELECT '{grade_band_label(a, b)}' AS grade_band, {count_if(f'current_grade_level BETWEEN {a} AND {b}')} AS n,
+            f"""SELECT '{label}' AS grade_band, {count_if(f'current_grade_level BETWEEN {a} AND {b}')} AS n,
             {r(pct(count_if(f'current_grade_level BETWEEN {a} AND {b}'), 'count(*)'))} AS pct FROM prepared"""
-            for a, b in ROSTER_GRADE_BANDS
+            for a, b, label in ROSTER_GRADE_BANDS
         ),
         "prepared",
     )
@@ -800,8 +834,18 @@ def all_oracles() -> dict[str, str]:
         "sessions",
     )
     weight = f"least({multiplier_sql(0.4)}, 0.95)"
-    add("A44_weighted_sample", f"SELECT student_id FROM prepared ORDER BY -ln({uniform_sql()}) / {weight}, student_id LIMIT {SAMPLE_K}", "prepared")
-    add("A44_independent_sample", f"SELECT student_id FROM prepared WHERE 1.0::DOUBLE - {uniform_sql()} < {weight}", "prepared")
+    draw = uniform_sql("student_id")
+    add("A44_weighted_sample", f"SELECT student_id FROM prepared ORDER BY -ln({draw}) / {weight}, student_id LIMIT {SAMPLE_K}", "prepared")
+    add("A44_independent_sample", f"SELECT student_id FROM prepared WHERE 1.0::DOUBLE - {draw} < {weight}", "prepared")
+    o["A44_missing_and_repeated_ids"] = f"""SELECT student_id, district, count(*) AS n FROM
+        (SELECT *, -ln({uniform_sql('student_id', 'district', copy='c')}) / (1.0::DOUBLE + district % 2) AS wait FROM
+         (SELECT *, row_number() OVER (PARTITION BY student_id, district) - 1 AS c FROM
+          (SELECT CASE WHEN c_custkey % 10 > 2 THEN lpad(CAST(c_custkey AS VARCHAR), 10, '0')
+                  WHEN c_custkey % 10 > 0 THEN lpad(CAST(c_custkey % 10 AS VARCHAR), 10, '0') END AS student_id,
+                  c_nationkey % 5 AS district FROM customer)) ORDER BY wait LIMIT 100) GROUP BY ALL"""
+    o["A1_band_edges"] = """SELECT CAST(m AS DOUBLE) AS session_minutes, count(*) AS students, count(*) AS at_target, 60.0::DOUBLE AS hours
+        FROM (SELECT CASE c_custkey % 7 WHEN 0 THEN 20 WHEN 1 THEN 50 WHEN 2 THEN 25 WHEN 3 THEN 40 WHEN 4 THEN 10 WHEN 5 THEN 45 ELSE 5 END AS m
+              FROM customer) GROUP BY m"""
 
     add("W1_rolling_week", f"SELECT strftime(d, '%Y-%m-%d') AS session_day, {r('rolling')} AS rolling_avg FROM {daily}", "sessions")
     add(
@@ -820,13 +864,28 @@ def all_oracles() -> dict[str, str]:
 
     add(
         "V1_critical_issues",
-        """SELECT 'session' AS dataset, CASE WHEN count(*) = 0 THEN 1::BIGINT ELSE 0::BIGINT END AS critical_issues FROM norm_sessions
-        UNION ALL SELECT 'student', CASE WHEN count(*) = 0 THEN 1::BIGINT ELSE 0::BIGINT END FROM norm_roster""",
+        """SELECT DISTINCT 'session' AS dataset, 'all' AS rows, 0::BIGINT AS critical_issues FROM norm_sessions
+        UNION ALL SELECT DISTINCT 'student', 'all', 0::BIGINT FROM norm_roster
+        UNION ALL SELECT 'session', 'nobody', CASE WHEN count(*) = 0 THEN 1::BIGINT ELSE 0::BIGINT END FROM norm_sessions WHERE student_id = 'nobody'
+        UNION ALL SELECT 'student', 'nobody', CASE WHEN count(*) = 0 THEN 1::BIGINT ELSE 0::BIGINT END FROM norm_roster WHERE student_id = 'nobody'""",
         "norm_sessions", "norm_roster",
     )
-    o["V3_V5_name_messages"] = (
-        "SELECT * FROM (VALUES ('warning', 2::BIGINT), ('info', 2::BIGINT)) AS t(severity, n) WHERE EXISTS (SELECT 1 FROM events)"
-    )
+    def blank_line(i: int, c: str) -> str:
+        n = f"(SELECT count(*) FROM norm_sessions WHERE {c} IS NULL)"
+        return f"SELECT 'warning', 51, {i}, printf('  `{c}`: %s missing values', format('{{:,}}', {n})) WHERE {n} > 0"
+
+    found = f"(SELECT count(*) FROM ({issues('session')}))"
+    lines = [
+        "SELECT 'warning' AS severity, 30 AS section, 0::BIGINT AS line, 'Unexpected columns (1):' AS message",
+        "SELECT 'warning', 31, 1, '  `note` (accepted, not used)'",
+        "SELECT 'info', 40, 2, 'Accepted alternative column names: `session_date` from `session_datetime`'",
+        "SELECT 'info', 41, 3, 'Merged columns: `session_date` from `session_date`, `session_datetime`'",
+        "SELECT 'warning', 50, 0, 'Missing values in important columns:'",
+        *(blank_line(i, c) for i, c in enumerate(("student_id", "session_topic", "session_date", "session_duration", "tutor_id"))),
+        f"SELECT 'warning', 70, 0, 'Data quality issues (first 20):' WHERE {found} > 0",
+        f"SELECT 'warning', 72, 0, printf('  ... and %d more issues', {found} - 20) WHERE {found} > 20",
+    ]
+    add("V3_V5_name_messages", "SELECT 'session' AS dataset, * FROM (" + " UNION ALL ".join(lines) + ")", "norm_sessions")
     session_columns = ("student_id", "session_topic", "session_date", "session_duration", "tutor_id")
     student_columns = ("student_id", "district_id", "school_id")
     add("V6_missing_session_values", missing("session", "norm_sessions", session_columns), "norm_sessions")
@@ -906,6 +965,20 @@ def all_oracles() -> dict[str, str]:
         ("Cost Analytics", "Basic cost metrics", prep("total_hours")),
         ("Cost Analytics", "Outcome-based cost metrics", growth_cover),
     ]
+    # The columns that each section names.
+    details = {
+        "Dosage summary and distribution": "Uses: total_hours",
+        "School and subject dosage tables": "Uses: school_name, total_hours, session student_id, session session_topic, session session_duration",
+        "Time-of-day and over-time implementation views": "Uses: session session_date, session session_duration",
+        "Subgroup dosage gaps": "Uses: total_hours, ell, iep, economic_disadvantage",
+        "Ethnicity dosage comparison": "Uses: ethnicity, total_hours",
+        "Tutoring by proficiency level": "Uses: performance_level_most_recent, student_id, session student_id",
+        "Tutoring likelihood by latest outcome": "Uses: ela_latest_outcome, math_latest_outcome, session student_id",
+        "ELA value-added and raw gain": "Uses: ela_raw_gain, ela_value_added",
+        "MATH value-added and raw gain": "Uses: math_raw_gain, math_value_added",
+        "Basic cost metrics": "Uses: total_hours",
+        "Outcome-based cost metrics": "Uses: ela_value_added, math_value_added, ela_raw_gain, math_raw_gain",
+    }
     rows = []
     for tab in dict.fromkeys(t for t, _, _ in sections):
         rows.append((tab, "Tab summary", "least(" + ", ".join(c for t, _, c in sections if t == tab) + ", 1.0)"))
@@ -913,7 +986,22 @@ def all_oracles() -> dict[str, str]:
     add(
         "V12_readiness",
         " UNION ALL ".join(
-            f"SELECT {i} AS ord, '{tab}' AS tab, '{section}' AS section, 'Ready' AS status, {r(c)} AS coverage" for i, (tab, section, c) in enumerate(rows)
+            f"SELECT {i} AS ord, '{tab}' AS tab, '{section}' AS section, 'Ready' AS status, '{'All tracked sections available.' if section == 'Tab summary' else details.get(section, '')}' AS detail, {r(c)} AS coverage" for i, (tab, section, c) in enumerate(rows)
+        ),
+        "prepared", "sessions",
+    )
+    gaps, ethnic = "Uses: total_hours, ell, iep", "Missing: ethnicity"
+    partial = [
+        (1, "Tab summary", "Partial", f"Subgroup dosage gaps: {gaps}; Ethnicity dosage comparison: {ethnic}",
+         f"least({prep('total_hours', 'ell', 'iep')}, {prep(level, 'student_id')}, {latest}, {sess('student_id')})"),
+        (7, "Subgroup dosage gaps", "Partial", gaps, prep("total_hours", "ell", "iep")),
+        (8, "Ethnicity dosage comparison", "Unavailable", ethnic, "NULL"),
+    ]
+    add(
+        "V12_partial_readiness",
+        " UNION ALL ".join(
+            f"SELECT {i} AS ord, 'Equity Analysis' AS tab, '{section}' AS section, '{status}' AS status, '{detail}' AS detail, {r(c)} AS coverage"
+            for i, section, status, detail, c in partial
         ),
         "prepared", "sessions",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from tutorspark.operators.prepare import (
 from tutorspark.operators.validate import Validation, validate
 from tutorspark.plans.analysis import FLAG_LABELS, Analysis
 from tutorspark.schema import SESSION, STUDENT, SUBJECTS
-from tutorspark.session import ensure_checkpoint_dir
+from tutorspark.session import scratch_folder
 from tutorspark.sources.load import Loaded, load_dataset
 from tutorspark.sources.normalize import apply_column_map, coerce_types, normalize_columns
 from tutorspark.sources.positions import POSITION, number_rows, with_position
@@ -106,9 +107,8 @@ def validated(spark: SparkSession, sf_dir: str, dataset: str) -> Validation:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which every executor can reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that the cluster shares, removed when the application ends."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _written_and_loaded(spark: SparkSession, sf_dir: str, suffix: str) -> Loaded:
@@ -159,7 +159,8 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.parquet(path)
     places = {name: i for i, name in enumerate(back.columns)}
     return back.select(
-        "student_id", "school_id", F.lit(places["student_id"]).alias("id_place"),
+        "*",
+        F.lit(places["student_id"]).alias("id_place"),
         F.lit(places["performance_level_most_recent"]).alias("level_place"),
     )
 
@@ -392,11 +393,22 @@ def dated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dosage.timed_sessions(typed(spark, sf_dir, SESSION))
     return rounded(
         kept.groupBy(F.date_format("session_ts", "yyyy-MM-dd").alias("session_day")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("h").alias("hours")
+            F.count(F.lit(1)).alias("n"), bands.summed_hours(F.col("minutes")).alias("hours")
         )
     )
 
 
+@query("F5_long_list")
+def long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of all ids that there are is no filter, so students without an id stay; a short one is."""
+    students = typed(spark, sf_dir, STUDENT)
+    ids = [f"{n:010d}" for n in range(views.table(spark, sf_dir, "customer").count()) if n % 113]
+    kept = filters.in_list_filters(students, {"student_id": ids, "gender": ["Female", "Nonbinary"]})
+    return kept.groupBy("gender").agg(
+        F.count(F.lit(1)).alias("students"), F.count_if(F.col("student_id").isNull()).alias("without_id")
+    )
+
+
 on_sessions(
     "F11_topic_counts",
     lambda s: overview.session_kpis(s).select("total_sessions", "math_sessions", "ela_sessions"),
@@ -408,12 +420,17 @@ on_prepared("F12_high_need", lambda p: _ids(p.filter(bands.high_need(p))))
 on_prepared("J1_roster_hours", _ids)
 
 
+def _messy_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions and roster as delivered: either may lack ids that the other has."""
+    return typed(spark, sf_dir, SESSION), typed(spark, sf_dir, STUDENT)
+
+
 @query("J2_sessions_on_roster")
 def sessions_on_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roster is cut to one district so that some sessions are really dropped."""
-    roster = views.roster(spark, sf_dir).filter(F.col("district_name") == "ASIA")
-    kept = joins.sessions_on_roster(views.sessions(spark, sf_dir), roster)
-    return rounded(kept.groupBy("student_id").agg(F.count(F.lit(1)).alias("n"), F.sum("session_duration").alias("minutes")))
+    kept = joins.sessions_on_roster(*_messy_pair(spark, sf_dir))
+    return kept.groupBy("student_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("tutor_id").alias("tutors")
+    )
 
 
 on_prepared("J3_prepared", lambda p: p.drop("district_id", "district_name", "school_id"))
@@ -436,12 +453,14 @@ def split_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.agg(F.lit("members").alias("side"), one).unionByName(rest.agg(F.lit("rest").alias("side"), one))
 
 
-on_both(
-    "J6_session_grades",
-    lambda s, p: joins.sessions_with_grade(s, p.filter(F.col("district_name") != "ASIA"))
-    .groupBy("current_grade_level")
-    .agg(F.count(F.lit(1)).alias("n"), F.sum("session_duration").alias("minutes")),
-)
+@query("J6_session_grades")
+def session_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = joins.sessions_with_grade(*_messy_pair(spark, sf_dir))
+    return graded.groupBy("current_grade_level").agg(
+        F.count(F.lit(1)).alias("n"), F.count("student_id").alias("with_id")
+    )
+
+
 on_prepared(
     "J7_grade_bands",
     lambda p: joins.with_grade_band(p, bands.ROSTER_GRADE_BANDS).select("student_id", "grade_band"),
@@ -468,16 +487,14 @@ on_prepared("A7_school_dosage", lambda p: dosage.school_dosage(p, TARGET))
 on_prepared("A7_school_dosage_printed", lambda p: dosage.as_printed(dosage.school_dosage(p, TARGET)))
 on_both("A8_subject_dosage", lambda s, p: dosage.subject_dosage(p, s, 30.0))
 on_prepared("A9_subgroup_gaps", lambda p: equity.subgroup_gaps(p).drop("small_sample"))
-on_prepared("A10_target_attainment", lambda p: equity.target_attainment(p, TARGET).drop("high_need_small_sample"))
+on_prepared("A10_target_attainment", lambda p: equity.target_attainment(p, TARGET))
 on_prepared("A11_ethnicity_dosage", lambda p: equity.ethnicity_dosage(p, TARGET))
 on_prepared("A12_subgroup_means", equity.subgroup_means)
 on_prepared("A13_small_samples", lambda p: equity.subgroup_gaps(p).select("flag", "n_true", "n_false", "small_sample"))
 on_prepared("A14_outcome_metrics", lambda p: outcomes.outcome_metrics(p).drop("p_value", "significant"))
 on_prepared(
     "A14_outcome_metrics_wide",
-    lambda p: outcomes.wide_outcome_metrics(outcomes.outcome_metrics(p)).select(
-        "ela_va_mean", "ela_va_std", "ela_va_n", "math_va_effect_size", "math_raw_mean", "math_raw_weeks_learning"
-    ),
+    lambda p: outcomes.wide_outcome_metrics(outcomes.outcome_metrics(p)),
 )
 on_prepared(
     "A15_p_values",
@@ -504,7 +521,7 @@ on_sessions(
 )
 on_prepared(
     "A27_unknown_shares",
-    lambda p: filters.unknown_shares(filters.tutored_students(p), FLAG_LABELS).drop("note"),
+    lambda p: filters.unknown_shares(filters.tutored_students(p), FLAG_LABELS),
 )
 on_prepared("A28_numeric_summary", overview.numeric_summary)
 on_prepared("A29_dosage_histogram", lambda p: dosage.dosage_histogram(p, TARGET))
@@ -528,10 +545,40 @@ def _enrolment_weight(p: DataFrame) -> Column:
     return bands.enrolment_probability(p, SUBGROUP_FACTORS, 0.4)
 
 
-on_prepared("A44_weighted_sample", lambda p: cohort.weighted_sample(p, _enrolment_weight(p), SAMPLE_K).select("student_id"))
-on_prepared(
-    "A44_independent_sample", lambda p: cohort.weighted_sample(p, _enrolment_weight(p), None).select("student_id")
-)
+def _sample(p: DataFrame, k: int | None) -> DataFrame:
+    return cohort.weighted_sample(p, _enrolment_weight(p), k, keys=["student_id"]).select("student_id")
+
+
+on_prepared("A44_weighted_sample", lambda p: _sample(p, SAMPLE_K))
+on_prepared("A44_independent_sample", lambda p: _sample(p, None))
+
+
+@query("A44_missing_and_repeated_ids")
+def sample_of_missing_and_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the ids is missing, and two ids have a tenth of the rows each."""
+    students = views.table(spark, sf_dir, "customer").selectExpr(
+        """CASE WHEN c_custkey % 10 > 2 THEN lpad(string(c_custkey), 10, '0')
+           WHEN c_custkey % 10 > 0 THEN lpad(string(c_custkey % 10), 10, '0') END AS student_id""",
+        "c_nationkey % 5 AS district",
+    )
+    sample = cohort.weighted_sample(students, F.lit(1.0) + F.col("district") % 2, 100)
+    return sample.groupBy("student_id", "district").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A1_band_edges")
+def band_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer has exactly the target, in sessions of 5 to 50 minutes."""
+    sessions = views.table(spark, sf_dir, "customer").selectExpr(
+        "string(c_custkey) AS student_id", "double(element_at(array(20, 50, 25, 40, 10, 45, 5), int(c_custkey % 7) + 1)) AS session_duration"
+    )
+    sessions = sessions.selectExpr("*", f"explode(sequence(1, int({TARGET} * 60 / session_duration)))")
+    lengths = sessions.groupBy("student_id").agg(F.max("session_duration").alias("session_minutes"))
+    hours = hours_per_student(sessions).join(lengths, "student_id")
+    return hours.groupBy("session_minutes").agg(
+        F.count(F.lit(1)).alias("students"),
+        F.count_if(F.col("total_hours") >= TARGET).alias("at_target"),
+        F.max("total_hours").alias("hours"),
+    )
 
 # -- windows --------------------------------------------------------------------------------------
 
@@ -566,15 +613,22 @@ def on_validation(name: str, dataset: str, compute: Callable[[Validation], DataF
 
 @query("V1_critical_issues")
 def critical_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: an empty table would be the one critical finding; neither table is."""
-    counts = [
-        validated(spark, sf_dir, dataset).message_counts.select(F.lit(dataset).alias("dataset"), "critical_issues")
-        for dataset in (SESSION, STUDENT)
-    ]
-    return counts[0].unionByName(counts[1])
+    """V1: a table without rows has the one critical finding, here the sessions or rows of nobody."""
+    found = []
+    for dataset in (SESSION, STUDENT):
+        table, report = normalized(spark, sf_dir, dataset)
+        for rows, part in (("all", table), ("nobody", table.filter(F.col("student_id") == "nobody"))):
+            counts = validate(part, dataset, report).message_counts
+            found.append(counts.select(F.lit(dataset).alias("dataset"), F.lit(rows).alias("rows"), "critical_issues"))
+    return reduce(DataFrame.unionByName, found)
+
 
+def _report_lines(v: Validation) -> DataFrame:
+    """The report in reading order; the samples in it are V10's."""
+    return v.messages.filter("section <> 71").select("dataset", "severity", "section", "line", "message")
 
-on_validation("V3_V5_name_messages", SESSION, lambda v: v.messages.filter("section < 50").groupBy("severity").agg(F.count(F.lit(1)).alias("n")))
+
+on_validation("V3_V5_name_messages", SESSION, _report_lines)
 on_validation("V6_missing_session_values", SESSION, lambda v: v.missing_values)
 on_validation("V6_missing_student_values", STUDENT, lambda v: v.missing_values)
 on_validation("V7_session_issues", SESSION, lambda v: v.issues)
@@ -604,7 +658,13 @@ def normalization_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
-on_both("V12_readiness", lambda s, p: readiness.readiness(p, s).select("ord", "tab", "section", "status", "coverage"))
+on_both("V12_readiness", lambda s, p: readiness.readiness(p, s))
+
+
+on_both(
+    "V12_partial_readiness",
+    lambda s, p: readiness.readiness(p.drop("economic_disadvantage", "ethnicity"), s).filter("status <> 'Ready'"),
+)
 
 
 @query("filtered_dosage_tab")
