@@ -22,14 +22,15 @@ def text(validation, severity=None):
 
 def test_bad_session_row_is_named(spark, tmp_path, plan_of):
     loaded = load_csv(
-        spark, tmp_path / "s.csv", "session", SESSION_HEADER, "001,math,2026-01-10,45,T1", "002,science,not-a-date,bad,T2"
+        spark, tmp_path / "s.csv", "session", SESSION_HEADER, "p1,Reading,2/3/2025,0.5,t", "p2,chess,2025-02-30,1h,t"
     )
     issues = {r.rule: r for r in loaded.validation.issues.collect()}
     assert set(issues) == {"unsupported_topic", "invalid_date", "not_numeric"}
     assert {r.row_num for r in issues.values()} == {3}
     warnings = "\n".join(text(loaded.validation, "warning"))
-    for part in ("Row 3: `session_topic` 'science'", "`session_date` 'not-a-date'", "`session_duration` 'bad'"):
+    for part in ("`session_topic` is 'chess'", "`session_date` is '2025-02-30'", "`session_duration` is '1h', expected a number of minutes"):
         assert part in warnings
+    assert warnings.count("Row 3 of file:") == 3 and warnings.count("s.csv: ") == 3
     assert "Python" not in plan_of(loaded.validation.issues)
 
 
@@ -43,7 +44,7 @@ def test_blank_cells_are_counted_but_only_ids_are_row_findings(spark, tmp_path):
     assert found == [("missing", "student_id", 2), ("missing", "tutor_id", 2), ("negative", "session_duration", 3)]
     counts = {(r.rule, r.field): r.n for r in v.rule_counts.collect()}
     assert counts[("negative", "session_duration")] == 1 and counts[("invalid_date", "session_date")] == 0
-    assert len(counts) == 6
+    assert len(counts) == 7 and counts[("malformed_record", "")] == 0
     assert "  `tutor_id`: 1 missing values" in text(v)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tutorspark.functions import parsing
 from tutorspark.functions.text import clean, col
-from tutorspark.schema import alias_lookup, field_map, normalize_name
+from tutorspark.schema import Standard, standard
 
 
 @dataclass
@@ -26,7 +26,7 @@ class ColumnReport:
     def renamed(self) -> dict[str, list[str]]:
         """Canonical column -> its source headers that were not already canonical."""
         legacy = {
-            name: [s for s in sources if normalize_name(s) != name]
+            name: [s for s in sources if Standard.heading(s) != name]
             for name, sources in self.alias_sources.items()
         }
         return {name: sources for name, sources in legacy.items() if sources}
@@ -36,8 +36,9 @@ def apply_column_map(
     df: DataFrame, mapping: Mapping[str, str] | None
 ) -> tuple[DataFrame, dict[str, str]]:
     """Rename by trimmed, lower-cased header; returns the renames that took place."""
-    targets = {normalize_name(source): target for source, target in (mapping or {}).items()}
-    applied = {name: targets[normalize_name(name)] for name in df.columns if targets.get(normalize_name(name))}
+    targets = {Standard.heading(source): target for source, target in (mapping or {}).items()}
+    wanted = {name: targets.get(Standard.heading(name)) for name in df.columns}
+    applied = {name: target for name, target in wanted.items() if target}
     if not applied:
         return df, {}
     return df.toDF(*(applied.get(name, name) for name in df.columns)), applied
@@ -51,7 +52,7 @@ def normalize_columns(
     Unknown columns pass through as clean text under their trimmed name.  ``keep`` names helper
     columns that pass through untouched.
     """
-    lookup = alias_lookup(dataset)
+    columns = standard(dataset)
     report = ColumnReport()
     by_position = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
     sources: dict[str, list[tuple[str, Column]]] = {}
@@ -60,7 +61,7 @@ def normalize_columns(
         if header in keep:
             kept.append(F.col(f"_c{i}").alias(header))
             continue
-        canonical = lookup.get(normalize_name(header))
+        canonical = columns.canonical(header)
         if canonical is None:
             canonical = header.strip()
             report.unknown_columns.append(canonical)
@@ -103,20 +104,21 @@ def coerce_types(df: DataFrame, dataset: str, is_clean: bool = False) -> DataFra
     Cells are cleaned in a projection of their own, see ``parsing``; ``is_clean`` skips it for the
     output of ``normalize_columns``.
     """
-    known = field_map(dataset)
+    columns = standard(dataset)
+    kinds = {name: columns.about(name, "kind") for name in columns.names()}
     if not is_clean:
         df = df.select(
             *(
                 clean(f.name).alias(f.name)
-                if f.name in known and not _is_typed(known[f.name].kind, f.dataType)
+                if f.name in kinds and not _is_typed(kinds[f.name], f.dataType)
                 else col(f.name)
                 for f in df.schema.fields
             )
         )
     return df.select(
         *(
-            typed_column(f.name, known[f.name].kind, f.dataType).alias(f.name)
-            if f.name in known
+            typed_column(f.name, kinds[f.name], f.dataType).alias(f.name)
+            if f.name in kinds
             else col(f.name)
             for f in df.schema.fields
         )

@@ -38,7 +38,7 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def number_rows(rows: DataFrame, positioned: DataFrame) -> DataFrame:
-    """Replace the position of ``rows`` by ``row_num``: place in its file, plus 2 for the header.
+    """Replace the position of ``rows`` by ``file`` and ``row_num``, the place in it plus 2 for the header.
 
     ``positioned`` is the whole table the rows were taken from.
     """
@@ -56,5 +56,6 @@ def number_rows(rows: DataFrame, positioned: DataFrame) -> DataFrame:
         rows.withColumns({"_file": file, "_split": split, "_id": running})
         .join(starts, ["_file", "_split"])
         .withColumn("row_num", F.lit(HEADER_LINES) + F.col("_before") + F.col("_id") - F.col("_first"))
+        .withColumn("file", F.col("_file"))
         .drop("_file", "_split", "_id", "_first", "_before", POSITION)
     )

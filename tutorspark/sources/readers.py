@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import csv
+import json
+from collections.abc import Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Text of a record that does not fit: a line with too many or too few cells, or broken JSON.
+MALFORMED = "_malformed"
+#: Pieces of a JSON array that are looked at for the end of its first record.
+FIRST_PIECES = 64
 SUPPORTED = (".csv", ".json", ".jsonl", ".ndjson", ".parquet")
 
 
@@ -31,62 +37,89 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([first[0].removeprefix("﻿")]))
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False, mark: bool = False) -> DataFrame:
     """Every column text, blanks and words such as NA kept as they are.
 
-    ``multi_line`` is needed only for quoted line breaks; it reads each file in one task.
+    A line with more or fewer cells than the header is kept, as far as it goes; with ``mark`` its text
+    is in the column MALFORMED.  Files of one folder must agree on their header.  ``multi_line`` is needed only
+    for quoted line breaks; it reads each file in one task.
     """
     header = csv_header(spark, path)
     if not header:
         return spark.createDataFrame([], T.StructType([]))
     names = _distinct_names(header)
-    # Spark refuses a schema whose names differ in case only; such a file is read by position.
+    # Spark refuses a schema whose names differ in case only; such files are read by position.
     by_position = len({name.lower() for name in names}) < len(names)
     fields = [f"_c{i}" for i in range(len(names))] if by_position else names
     df = (
-        spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in fields]))
+        spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in (*fields, MALFORMED)]))
         .option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        # Files of one folder must agree on their header, where it can be checked.
+        .option("columnNameOfCorruptRecord", MALFORMED)
         .option("enforceSchema", fields != header)
         .csv(path)
     )
-    return df.toDF(*names) if by_position else df
+    if fields != header:
+        # Spark does not compare these headers itself: one look at the first line of each file.
+        for file in df.inputFiles():
+            if csv_header(spark, file) != header:
+                raise ValueError(f"{file} has another header than the other files of {path!r}")
+    df = df.toDF(*names, MALFORMED)
+    return df if mark else df.drop(MALFORMED)
+
+
+def _first_object(spark: SparkSession, path: str) -> list[str]:
+    """Keys of the first record of a JSON array, from the text up to the brace that completes it."""
+    text = ""
+    for piece in spark.read.option("lineSep", "}").text(path).limit(FIRST_PIECES).collect():
+        text += piece[0] + "}"
+        try:
+            found, _ = json.JSONDecoder().raw_decode(text[text.index("{") :])
+        except ValueError:
+            continue
+        return list(found)
+    return []
 
 
 def _json_key_order(spark: SparkSession, path: str, lines: bool) -> list[str]:
-    if lines:
-        record = F.col("value")
-        text = spark.read.text(path)
-    else:
-        record = F.get_json_object("value", "$[0]")
-        text = spark.read.text(path, wholetext=True)
-    first = text.select(F.json_object_keys(record).alias("keys")).filter("keys is not null").first()
+    if not lines:
+        return _first_object(spark, path)
+    keys = spark.read.text(path).select(F.json_object_keys("value").alias("keys"))
+    first = keys.filter("keys is not null").first()
     return list(first["keys"]) if first else []
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, lines: bool = False, columns: Sequence[str] | None = None, mark: bool = False
+) -> DataFrame:
     """Records with every scalar as text, so that ids keep their leading zeros.
 
-    An array of records cannot be split; use JSON Lines (``lines=True``) for large input.  Columns
-    follow the first record, which decides who wins when aliases are merged.
+    An array of records cannot be split; use JSON Lines (``lines=True``) for large input, and name the
+    ``columns`` to save Spark a pass over the data that looks for them.  Otherwise columns follow the
+    first record, which decides who wins when aliases are merged.  With ``mark`` the text of a
+    broken record is in the column MALFORMED; the column is left out if Spark, looking for columns, saw none.
     """
-    df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
+    reader = spark.read.option("multiLine", not lines).option("columnNameOfCorruptRecord", MALFORMED)
+    if columns is not None:
+        named = (*columns, MALFORMED)
+        df = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in named])).json(path)
+        return df if mark else df.drop(MALFORMED)
+    df = reader.option("primitivesAsString", True).json(path)
     order = [name for name in _json_key_order(spark, path, lines) if name in df.columns]
-    rest = [name for name in df.columns if name not in order]
+    rest = [name for name in df.columns if name not in order and (mark or name != MALFORMED)]
     return df.select(*(f"`{name}`" for name in order + rest))
 
 
-def read_table(spark: SparkSession, path: str, **options: bool) -> DataFrame:
-    """S3: choose the reader by file suffix."""
+def read_table(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """S3: choose the reader by file suffix; Parquet has no malformed records to mark."""
     suffix = PurePosixPath(str(path).rstrip("/")).suffix.lower()
     if suffix == ".csv":
         return read_csv(spark, str(path), **options)
     if suffix == ".json":
         return read_json(spark, str(path), **options)
     if suffix in (".jsonl", ".ndjson"):
-        return read_json(spark, str(path), lines=True)
+        return read_json(spark, str(path), lines=True, **options)
     if suffix == ".parquet":
         return spark.read.parquet(str(path))
     raise ValueError(f"unsupported file type {suffix!r} of {path!r}; use one of {', '.join(SUPPORTED)}")

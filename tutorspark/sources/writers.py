@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tutorspark.functions.text import col
-from tutorspark.schema import canonical_columns, fields_of_kind
+from tutorspark.schema import standard
 
 
 def in_canonical_order(df: DataFrame, dataset: str) -> DataFrame:
     """Known columns first, in schema order, then the rest as they come; ids as text."""
-    known = [name for name in canonical_columns(dataset) if name in df.columns]
+    known = [name for name in standard(dataset).names() if name in df.columns]
     rest = [name for name in df.columns if name not in known]
-    ids = set(fields_of_kind(dataset, "identifier"))
+    ids = set(standard(dataset).names(kind="identifier"))
     return df.select(
         *(col(n).cast("string").alias(n) if n in ids else col(n) for n in known + rest)
     )

@@ -296,57 +296,40 @@ def histogram(source: str, value: str, bins: int, keys: str, extra: str = "") ->
 
 
 def session_rules() -> list[tuple[str, str, str, str, str]]:
-    """(rule, field, condition, value, message tail), in reporting order."""
+    """(rule, field, condition, value, what is expected), in reporting order."""
+    topic, date, minutes = "session_topic", "session_date", "session_duration"
     return [
-        ("missing", "student_id", "student_id IS NULL", "NULL", "'is missing'"),
-        (
-            "unsupported_topic", "session_topic", f"NOT {topic_valid_sql('session_topic')}", "session_topic",
-            "'''' || session_topic || ''' is not currently supported; use math, ela or a recognized alias'",
-        ),
-        (
-            "invalid_date", "session_date", f"(session_date IS NOT NULL AND {time_sql('session_date')} IS NULL)", "session_date",
-            "'''' || session_date || ''' is not a valid date or datetime'",
-        ),
-        (
-            "not_numeric", "session_duration", f"NOT {number_valid_sql('session_duration')}", "session_duration",
-            "'''' || session_duration || ''' must be numeric minutes'",
-        ),
-        (
-            "negative", "session_duration", f"coalesce(({number_sql('session_duration')}) < 0, false)", "session_duration",
-            "session_duration || ' must be greater than or equal to 0'",
-        ),
-        ("missing", "tutor_id", "tutor_id IS NULL", "NULL", "'is missing'"),
+        ("missing", "student_id", "student_id IS NULL", "NULL", "a value"),
+        ("unsupported_topic", topic, f"NOT {topic_valid_sql(topic)}", topic, "math, ela or an accepted name of either"),
+        ("invalid_date", date, f"({date} IS NOT NULL AND {time_sql(date)} IS NULL)", date, "a date or datetime"),
+        ("not_numeric", minutes, f"NOT {number_valid_sql(minutes)}", minutes, "a number of minutes"),
+        ("negative", minutes, f"coalesce(({number_sql(minutes)}) < 0, false)", minutes, "0 or more"),
+        ("missing", "tutor_id", "tutor_id IS NULL", "NULL", "a value"),
     ]
 
 
 def student_rules() -> list[tuple[str, str, str, str, str]]:
-    rules = [("missing", c, f"{c} IS NULL", "NULL", "'is missing'") for c in ("student_id", "district_id", "school_id", "current_grade_level")]
+    rules = [("missing", c, f"{c} IS NULL", "NULL", "a value") for c in ("student_id", "district_id", "school_id", "current_grade_level")]
     g = "current_grade_level"
     grade = f"CAST(({grade_sql(g)}) AS VARCHAR)"
+    outside = f"({grade_valid_sql(g)} AND coalesce(NOT (({grade_sql(g)}) BETWEEN -1 AND 12), false))"
     rules += [
-        ("not_a_grade", g, f"NOT {grade_valid_sql(g)}", g, f"'''' || {g} || ''' must be an integer grade, K, or Pre-K'"),
-        (
-            "grade_out_of_range", g, f"({grade_valid_sql(g)} AND coalesce(NOT (({grade_sql(g)}) BETWEEN -1 AND 12), false))", grade,
-            f"{grade} || ' must be between -1 and 12'",
-        ),
+        ("not_a_grade", g, f"NOT {grade_valid_sql(g)}", g, "a whole number, K or Pre-K"),
+        ("grade_out_of_range", g, outside, grade, "-1 to 12"),
     ]
-    for f in FLAGS:
-        rules.append(
-            ("not_a_flag", f, f"NOT {flag_valid_sql(f)}", f, f"'''' || {f} || ''' must be a boolean-like value (TRUE/FALSE, 1/0, Yes/No) or blank'")
-        )
-    for s in SUBJECTS:
-        c = f"{s}_outcome_measure_3"
-        rules.append(("not_numeric", c, f"NOT {number_valid_sql(c)}", c, f"'''' || {c} || ''' must be numeric'"))
-    return rules
+    rules += [("not_a_flag", f, f"NOT {flag_valid_sql(f)}", f, "a yes or no, or blank") for f in FLAGS]
+    scores = [f"{s}_outcome_measure_3" for s in SUBJECTS]
+    return rules + [("not_numeric", c, f"NOT {number_valid_sql(c)}", c, "a number") for c in scores]
 
 
 def issues(dataset: str) -> str:
     table, rules = ("norm_sessions", session_rules()) if dataset == "session" else ("norm_roster", student_rules())
     return " UNION ALL ".join(
-        f"""SELECT '{dataset}' AS dataset, 'warning' AS severity, '{rule}' AS rule, '{field}' AS field, row_num,
-        CAST({value} AS VARCHAR) AS value, 'Row ' || row_num || ': `{field}` ' || {tail} AS message, {i} AS rule_ord
-        FROM {table} WHERE {condition}"""
-        for i, (rule, field, condition, value, tail) in enumerate(rules)
+        f"""SELECT '{dataset}' AS dataset, 'warning' AS severity, '{rule}' AS rule, '{field}' AS field, NULL::VARCHAR AS file, row_num,
+        CAST({value} AS VARCHAR) AS value,
+        'Row ' || row_num || ': `{field}` is ' || coalesce('''' || {value} || '''', 'nothing') || ', expected {expected}' AS message,
+        {i} AS rule_ord FROM {table} WHERE {condition}"""
+        for i, (rule, field, condition, value, expected) in enumerate(rules)
     )
 
 
@@ -364,7 +347,7 @@ def missing(dataset: str, table: str, columns) -> str:
     )
 
 
-ISSUE_COLUMNS = "dataset, severity, rule, field, row_num, value, message"
+ISSUE_COLUMNS = "dataset, severity, rule, field, file, row_num, value, message"
 
 
 def all_oracles() -> dict[str, str]:
@@ -892,6 +875,9 @@ def all_oracles() -> dict[str, str]:
     add("V6_missing_student_values", missing("student", "norm_roster", student_columns), "norm_roster")
     add("V7_session_issues", f"SELECT {ISSUE_COLUMNS} FROM ({issues('session')})", "norm_sessions")
     add("V7_session_rule_counts", rule_counts("session"), "norm_sessions")
+    bad = "CASE WHEN event_id % 50 = 7 THEN 'long' WHEN event_id % 70 = 9 THEN 'short' ELSE 'good' END"
+    o["V7_malformed_records"] = f"""SELECT 'malformed_record' AS rule, count(*) AS n, count(*) AS places, 1 AS several_files, count(*) AS named FROM events WHERE {bad} <> 'good'
+        UNION ALL SELECT 'missing', count(*), count(*), 1, count(*) FROM events WHERE {bad} = 'short'"""
     add("V8_student_issues", f"SELECT {ISSUE_COLUMNS} FROM ({issues('student')})", "norm_roster")
     add("V8_student_rule_counts", rule_counts("student"), "norm_roster")
     limits = {"gender": 5, "ethnicity": 10, "performance_level_most_recent": 6}

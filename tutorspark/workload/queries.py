@@ -601,7 +601,7 @@ on_prepared("W3_ranked_hours", lambda p: dosage.hours_ranking(p).select("hours",
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each record in its file, from split positions alone."""
     positioned = with_position(views.table(spark, sf_dir, "events"))
-    return number_rows(positioned.select("event_id", POSITION), positioned)
+    return number_rows(positioned.select("event_id", POSITION), positioned).drop("file")
 
 
 # -- validation and reports -----------------------------------------------------------------------
@@ -633,6 +633,29 @@ on_validation("V6_missing_session_values", SESSION, lambda v: v.missing_values)
 on_validation("V6_missing_student_values", STUDENT, lambda v: v.missing_values)
 on_validation("V7_session_issues", SESSION, lambda v: v.issues)
 on_validation("V7_session_rule_counts", SESSION, lambda v: v.rule_counts)
+@query("V7_malformed_records")
+def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a cell too many or too few, in a folder of several files: each finding has its own place."""
+    lines = views.table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        """CASE WHEN event_id % 50 = 7 THEN concat('S', event_id, ',math,2026-01-15,30,T1,extra')
+           WHEN event_id % 70 = 9 THEN concat('S', event_id, ',ela,2026-01-15,45')
+           ELSE concat('S', event_id, ',ela,2026-01-15 09:00,60,T2') END AS value""",
+    )
+    path = _scratch(spark, "ragged") + ".csv"
+    # Each file begins with the header, as separate uploads would; the lines are written as they are.
+    files = lines.repartition(4, "event_id").sortWithinPartitions("event_id").select("value")
+    header = ["student_id", "session_topic", "session_date", "session_duration", "tutor_id"]
+    files.withColumnRenamed("value", ",".join(header)).write.option("header", True).option("sep", "\x01").csv(path)
+    found = load_dataset(spark, path, SESSION).validation.issues
+    return found.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("file", "row_num").alias("places"),
+        F.when(F.count_distinct("file") > 1, 1).otherwise(0).alias("several_files"),
+        F.count_if(F.contains("message", "file")).alias("named"),
+    )
+
+
 on_validation("V8_student_issues", STUDENT, lambda v: v.issues)
 on_validation("V8_student_rule_counts", STUDENT, lambda v: v.rule_counts)
 on_validation("V9_category_counts", STUDENT, lambda v: v.category_counts)
