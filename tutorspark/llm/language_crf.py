@@ -315,16 +315,19 @@ def training_sample(docs: DataFrame, id_col: str, text: str, lang: str) -> list[
     """At most SAMPLE_DOCS documents of each language, and of each at most SAMPLE_WORDS words from a
     place drawn by hash; rows without id, language or text, and held-out rows, take no part.
 
-    Languages are counted first, so that only a small share of the texts is looked at for the draw.
+    Languages are counted first (one row each comes to the driver), so that the draw is a plain filter
+    where the texts are read, and only about twice the sample leaves those tasks.
     """
     known = docs.filter(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id_col)))
-    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    # One row per language; twice the share that is needed, cut to the exact number below.
-    shares = counts.select(F.col("lang").alias("_lang"), (F.lit(2.0 * SAMPLE_DOCS) / F.col("n")).alias("_share"))
+    counts = known.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return []
+    draws = 1 << 30
+    below = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.lang, int(2 * SAMPLE_DOCS * draws / r.n))])
     drawn = known.select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(1 << 30)).alias("h")
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(draws)).alias("h")
     )
-    chosen = drawn.join(shares, F.col("lang") == F.col("_lang")).filter(F.col("h") < F.col("_share") * (1 << 30))
+    chosen = drawn.filter(F.col("h") < below[F.col("lang")])
     words = F.split(F.trim("text"), r"[\x20\x09-\x0D]+")
     start = F.pmod(F.col("h"), F.greatest(F.size("words") - SAMPLE_WORDS, F.lit(0)) + 1) + 1
     pieces = chosen.withColumn("words", words).withColumn("piece", F.slice("words", start.cast("int"), SAMPLE_WORDS))
