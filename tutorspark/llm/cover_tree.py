@@ -117,13 +117,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _pivots(points: DataFrame, groups: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Pivots of the largest labels that do not fit one cell: at most PIVOT_LABELS * PIVOTS vectors."""
+    """Pivots of the largest labels that do not fit one cell, as many as it needs cells: at most
+    PIVOT_LABELS * PIVOTS vectors."""
     large = groups.filter(F.col("rows") > CELL_ROWS).orderBy(F.desc("rows"), "label", "dim").limit(PIVOT_LABELS)
     draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     share = F.lit(4.0 * PIVOTS * (1 << 30)) / F.col("rows")
     drawn = points.join(large, ["label", "dim"]).withColumn("h", draw).filter(F.col("h") < share)
     place = F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "node"))
-    chosen = drawn.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("label", "dim", "embedding")
+    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("rows") / CELL_ROWS))
+    chosen = drawn.withColumn("place", place).filter(F.col("place") <= PIVOTS).filter(F.col("place") <= wanted).select("label", "dim", "embedding")
     found: dict[tuple[int, int], list] = {}
     for row in chosen.collect():
         found.setdefault((row.label, row.dim), []).append(row.embedding)
