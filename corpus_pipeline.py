@@ -18,7 +18,7 @@ from tutorspark.llm.storage import keep
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Least share of a document's words that its language must have; below, it has no clear language.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 SHINGLE_WORDS = 3
 MOST_BITS = 2
 SECRET_MARK = "[SECRET]"
