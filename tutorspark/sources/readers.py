@@ -72,7 +72,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False, mark: boo
 def _first_object(spark: SparkSession, path: str) -> list[str]:
     """Keys of the first record of a JSON array, from the text up to the brace that completes it."""
     text = ""
-    for piece in spark.read.option("lineSep", "}").text(path).limit(FIRST_PIECES).collect():
+    for piece in spark.read.option("lineSep", "}").text(path).take(FIRST_PIECES):
         text += piece[0] + "}"
         try:
             found, _ = json.JSONDecoder().raw_decode(text[text.index("{") :])
