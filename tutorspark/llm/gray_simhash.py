@@ -26,6 +26,8 @@ from tutorspark.llm.components import components, forest
 from tutorspark.llm.storage import keep
 
 SEED = 42
+#: Bytes of text whose shingles are hashed at once; their bits take sixteen times as much.
+SLICE_BYTES = 1 << 19
 FAN_OUT = 8
 #: A node with more members is divided further.  It must not be under 2^16, the most a last node has.
 NODE_ROWS = 1 << 17
@@ -70,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_fingerprints(part, shingle))], ["doc_id", "fingerprint"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
