@@ -216,8 +216,9 @@ def test_weighted_means_and_labels(table):
     )
     got = one(outcomes.overall_outcomes(metrics))
     assert (got["avg_value_added"], got["avg_effect_size"], got["avg_weeks"]) == (6.5, 0.2, 5.0)
-    assert one(outcomes.weighted_average(metrics.filter("measure = 'value_added'"), "mean"))["mean"] == 6.5
-    assert one(outcomes.weighted_average(metrics.filter("n > 99"), "mean"))["mean"] is None
+    mean = outcomes.weighted_average("mean").alias("mean")
+    assert one(metrics.filter("measure = 'value_added'").agg(mean))["mean"] == 6.5
+    assert one(metrics.filter("n > 99").agg(mean))["mean"] is None
     labels = {r.subject: (r.significance, r.direction) for r in outcomes.outcome_labels(metrics).collect()}
     assert labels == {"ela": ("marginal", "directionally positive"), "math": ("significant", "directionally positive")}
     none = {r.subject: (r.significance, r.direction) for r in outcomes.outcome_labels(metrics.limit(0)).collect()}

@@ -20,7 +20,8 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, evaluated front to back."""
+    """Continued fraction of the incomplete beta function, evaluated front to back; NaN if it does not
+    settle."""
     floor = 1e-300
     numerator_ratio = 1.0
     denominator_ratio = 1.0 / (1.0 - (a + b) * x / (a + 1.0) or floor)
@@ -35,8 +36,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = denominator_ratio * numerator_ratio
             value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    return math.nan
 
 
 def _log_beta(a: float, b: float) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.functions.stats import MARGINAL, SIGNIFICANT, WEEKS_PER_SD, share, t_test_p_value
@@ -108,29 +108,18 @@ def wide_outcome_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*cells)
 
 
-def weighted_average(metrics: DataFrame, value: str, weight: str = "n") -> DataFrame:
-    """Weighted mean over rows with a value and a positive weight, else NULL."""
-    usable = metrics.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
-    return usable.agg(
-        F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double")).alias(value)
-    )
+def weighted_average(value: str, weight: str = "n") -> Column:
+    """A16 as an aggregate: weighted mean over rows with a value and a positive weight, else NULL."""
+    usable = F.col(value).isNotNull() & (F.col(weight) > 0)
+    total = F.sum(F.when(usable, F.col(value) * F.col(weight)))
+    return F.try_divide(total, F.sum(F.when(usable, F.col(weight))).cast("double"))
 
 
 def overall_outcomes(metrics: DataFrame) -> DataFrame:
     """A16 for mean value added, effect size and weeks, weighted by students per subject."""
+    names = {"mean": "avg_value_added", "effect_size": "avg_effect_size", "weeks_learning": "avg_weeks"}
     va = metrics.filter(F.col("measure") == "value_added")
-
-    def average(name: str):
-        ok = F.col(name).isNotNull() & (F.col("n") > 0)
-        return F.try_divide(
-            F.sum(F.when(ok, F.col(name) * F.col("n"))), F.sum(F.when(ok, F.col("n"))).cast("double")
-        )
-
-    return va.agg(
-        average("mean").alias("avg_value_added"),
-        average("effect_size").alias("avg_effect_size"),
-        average("weeks_learning").alias("avg_weeks"),
-    )
+    return va.agg(*(weighted_average(value).alias(name) for value, name in names.items()))
 
 
 def outcome_labels(metrics: DataFrame) -> DataFrame:

@@ -48,7 +48,11 @@ def scratch_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        # One machine, as in tests: its own folder is shared by all that runs on it.
+        base = tempfile.mkdtemp(prefix="tutorspark-")
+        spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/tutorspark-{spark.sparkContext.applicationId}-written"
     if folder not in _REMOVED_AT_EXIT:
         _REMOVED_AT_EXIT.add(folder)

@@ -570,6 +570,23 @@ def all_oracles() -> dict[str, str]:
         ),
         "prepared", "sessions",
     )
+    subjects = " UNION ALL ".join(
+        f"SELECT '{s.upper()}' AS subject, coalesce({pct(count_if(f'{s} >= 30'), count_if(f'{s} > 0'))}, 0.0) AS full_pct FROM {with_subjects}" for s in SUBJECTS
+    )
+    add("O2_subject_order", f"SELECT subject, row_number() OVER (ORDER BY full_pct DESC, subject) - 1 AS place FROM ({subjects})", "prepared", "sessions")
+    full = pct(count_if(f"total_hours >= {TARGET}"), count_if("total_hours > 0"))
+    add(
+        "O1_school_order",
+        f"""SELECT school_name, row_number() OVER (ORDER BY coalesce({full}, 0.0) DESC, school_name) - 1 AS place
+        FROM prepared WHERE school_name IS NOT NULL GROUP BY school_name""",
+        "prepared",
+    )
+    add(
+        "O3_level_order",
+        f"""SELECT l AS proficiency_level, row_number() OVER (ORDER BY {rank_sql('l')}, lower(l)) - 1 AS place
+        FROM (SELECT DISTINCT trim({level}) AS l FROM prepared WHERE trim({level}) <> '')""",
+        "prepared",
+    )
     sides = f"""SELECT '$f' AS flag, avg(CASE WHEN $f THEN total_hours END) AS mean_true, avg(CASE WHEN NOT $f THEN total_hours END) AS mean_false,
         {count_if('$f')} AS n_true, {count_if('NOT $f')} AS n_false FROM tutored"""
     add(

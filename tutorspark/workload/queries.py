@@ -604,6 +604,18 @@ def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(positioned.select("event_id", POSITION), positioned).drop("file")
 
 
+# -- sorted tables ----------------------------------------------------------------------------------
+
+
+def _placed(table: DataFrame) -> DataFrame:
+    """A sorted table with the place of each row; one partition reads the sorted ones in their order."""
+    return table.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+on_prepared("O1_school_order", lambda p: _placed(dosage.school_dosage(p, TARGET).select("school_name")))
+on_both("O2_subject_order", lambda s, p: _placed(dosage.subject_dosage(p, s, 30.0).select("subject")))
+on_prepared("O3_level_order", lambda p: _placed(equity.proficiency_summary(p).select("proficiency_level")))
+
 # -- validation and reports -----------------------------------------------------------------------
 
 
