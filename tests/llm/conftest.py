@@ -1,14 +1,7 @@
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import pytest
 
-ROOT = Path(__file__).resolve().parent.parent.parent
-if str(ROOT) not in sys.path:
-    sys.path.insert(0, str(ROOT))
-
 SMALL_DIR = "/root/testdata/sf0.001"
 
 
@@ -16,8 +9,7 @@ SMALL_DIR = "/root/testdata/sf0.001"
 def documents(spark):
     """The smallest table with rows that are easily mishandled, and its rows as tuples.
 
-    Columns: doc_id, text, lang, source and one whose name differs from a column of some operator's
-    inner tables only by nothing.
+    Columns: doc_id, text, lang, source and two whose names operators use themselves.
     """
     base = [tuple(r) for r in spark.read.parquet(f"{SMALL_DIR}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     odd = [

@@ -4,8 +4,8 @@ import re
 
 import pyarrow as pa
 import pytest
-from test_bin_packing import check_packing, words
-from test_gray_simhash import plain_fingerprint, plain_roots
+from llm.test_bin_packing import check_packing, words
+from llm.test_gray_simhash import plain_fingerprint, plain_roots
 
 import corpus_pipeline as pipeline
 from tutorspark.llm import language_crf

@@ -1,8 +1,8 @@
 """Mixing on odd tables; the whole query is compared with SQL elsewhere."""
 
 import pytest
-from test_bin_packing import words
-from test_pipeline import plain_copies
+from llm.test_bin_packing import words
+from llm.test_pipeline import plain_copies
 
 from tutorspark.llm import source_mix
 
