@@ -33,9 +33,9 @@ SLICE_BYTES = 2 << 20
 #: What a row says: it competes for its route; its route is known to be taken twice; an occurrence
 #: that goes on to the next step; words that are repeated.
 ASK, FLAG, PASS, CUT = 0, 1, 2, 3
-ROW = "route long, aux long, did long, th int, s int, e int, kind byte"
 NAMES = ("route", "aux", "did", "th", "s", "e", "kind")
-TYPES = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int8)
+#: On the way from task to task, th and s are one number (at), and so are e and kind (to).
+ROW = "route long, aux long, did long, at long, to long"
 NO_ID = (1 << 63) - 1
 
 Columns = dict[str, np.ndarray]
@@ -90,7 +90,27 @@ class Words:
 
 
 def _batch(columns: Columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(columns[n]).astype(t, copy=False)) for n, t in zip(NAMES, TYPES)], list(NAMES))
+    wide = {n: np.asarray(columns[n]).astype(np.int64, copy=False) for n in NAMES}
+    packed = {n: wide[n] for n in ("route", "aux", "did")}
+    packed |= {"at": wide["th"] << 32 | wide["s"], "to": wide["e"] << 2 | wide["kind"]}
+    return pa.RecordBatch.from_pydict(packed)
+
+
+def _unpacked(batch: pa.RecordBatch) -> Columns:
+    route, did, at, to = (batch.column(n).to_numpy() for n in ("route", "did", "at", "to"))
+    aux = batch.column("aux").to_numpy() if "aux" in batch.schema.names else np.zeros(len(route), np.int64)
+    return {"route": route, "aux": aux, "did": did, "th": at >> 32, "s": at & 0xFFFFFFFF, "e": to >> 2, "kind": to & 3}
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    """The rows' documents, stretches and kinds as columns."""
+    return rows.select(
+        "did",
+        F.shiftright("at", 32).cast("int").alias("th"),
+        F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("s"),
+        F.shiftright("to", 2).cast("int").alias("e"),
+        F.col("to").bitwiseAND(F.lit(3)).cast("int").alias("kind"),
+    )
 
 
 def _rows(kind: int, did, th, s, e, route=None, aux=0) -> Columns:
@@ -244,7 +264,7 @@ def _by_route(step: Callable[[Columns], Columns]) -> Callable[[Iterable[pa.Recor
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Columns | None = None
         for batch in batches:
-            rows = {n: batch.column(n).to_numpy() for n in NAMES}
+            rows = _unpacked(batch)
             held = rows if held is None else _join([held, rows])
             cut = int(np.argmax(held["route"] == held["route"][-1])) if len(held["route"]) else 0
             if cut:
@@ -337,15 +357,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return rows.repartition("route").sortWithinPartitions("route").mapInArrow(_by_route(step), ROW)
 
     def of_document(rows: DataFrame, column: Column, name: str) -> DataFrame:
-        return rows.groupBy("did", "th").agg(F.collect_list(column).alias(name))
+        return _columns(rows).groupBy("did", "th").agg(F.collect_list(column).alias(name))
 
     # The texts are shuffled once: the three joins below share one exchange of all documents.
-    seeds = settled(documents.mapInArrow(lambda b: _seeds(b, threshold), ROW), _settle_seeds)
+    anchors = documents.mapInArrow(lambda b: _seeds(b, threshold), ROW).drop("aux")
+    seeds = settled(anchors, _settle_seeds)
     seeded = documents.join(of_document(seeds, F.col("s"), "seeds"), ["did", "th"])
     stretches = settled(seeded.mapInArrow(lambda b: _stretches(b, threshold), ROW), lambda rows: _settle_stretches(rows, threshold))
     # What is cut already goes straight to its document; both branches read one exchange.
-    known = stretches.filter(F.col("kind") == CUT)
-    originals = settled(stretches.filter(F.col("kind") != CUT), _settle_originals)
+    is_cut = F.col("to").bitwiseAND(F.lit(3)) == CUT
+    known = stretches.filter(is_cut)
+    originals = settled(stretches.filter(~is_cut).drop("aux"), _settle_originals)
     doubtful = documents.join(of_document(known.union(originals), F.struct("kind", "s", "e"), "found"), ["did", "th"])
     windows = settled(doubtful.mapInArrow(lambda b: _windows(b, threshold), ROW), lambda rows: _settle_windows(rows, threshold))
     cut = documents.join(of_document(windows, F.struct("s", "e"), "cuts"), ["did", "th"], "left")
