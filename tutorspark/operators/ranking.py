@@ -26,6 +26,7 @@ COARSE_STEPS = 256
 FINE_STEPS = 1 << 20
 # Above any shift that brings the exponents of doubles, -1074 to 1023, into the positive.
 EXPONENT_SHIFT = 2048
+ROWS_PER_BLOCK = 100_000
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **extra: Column) -> DataFrame:
@@ -187,23 +188,33 @@ def centred_rolling_sums(
 ) -> DataFrame:
     """Sums over a centred window of ``min(window, rows of the group)`` rows.
 
-    Adds ``rolling_<column>`` and ``window_rows``.  ``order`` is a number, distinct within a group.  A
-    window's sum is the running sum up to its last row less that before its first, each looked up by
-    its place in the group, so the plan does not grow with the window.
+    Adds ``rolling_<column>`` and ``window_rows``.  ``order`` is a number, distinct within a group.  Each
+    group is cut into blocks of consecutive rows that are windowed separately; the few rows next to a cut are
+    copied into the neighbouring block, so the result does not depend on where the cuts fall.  A group
+    with fewer rows than the window has its places stretched, so that one range frame fits all groups.
     """
     by = list(by)
-    sums = {"row": F.lit(1), **{name: F.col(name) for name in columns}}
-    numbered = prefix_sums(df, order, sums, by)
+    numbered = prefix_sums(df, order, {"row": F.lit(1)}, by)
+    row, block_size = F.col("before_row"), F.lit(ROWS_PER_BLOCK)
+    down, up = window // 2, (window - 1) // 2
+    first_block = F.floor(F.greatest(row - up, F.lit(0)) / block_size)
+    blocked = numbered.withColumn("_block", F.explode(F.sequence(first_block, F.floor((row + down) / block_size))))
     rows = F.least(F.lit(window), F.col("total_row"))
-    start = F.greatest(F.col("before_row") - F.floor(rows / 2), F.lit(0))
-    end = F.least(F.col("before_row") + F.floor((rows - 1) / 2) + 1, F.col("total_row"))
-    edges = numbered.select("*", rows.cast("int").alias("window_rows"), start.alias("_start"), end.alias("_end"))
-    for edge in ("_start", "_end"):
-        marks = numbered.select(*by, F.col("before_row").alias(edge), *(F.col(f"before_{c}").alias(f"{edge}_{c}") for c in columns))
-        # Past the last row there is no mark: the sum there is the group's total.
-        edges = edges.alias("l").join(marks.alias("r"), same("l", "r", [*by, edge]), "left").select(
-            "l.*", *(F.coalesce(f"r.{edge}_{c}", f"l.total_{c}").alias(f"{edge}_{c}") for c in columns)
-        )
-    return edges.select(
-        *df.columns, *((F.col(f"_end_{c}") - F.col(f"_start_{c}")).alias(f"rolling_{c}") for c in columns), "window_rows"
+    place = row - F.col("_block") * block_size
+
+    def side(name: str, reach: int, group_reach: Column, start: int, end: int) -> Column:
+        # Half a step more than the group's reach: the last row within is in, the next one is out.
+        scale = F.lit(float(reach)) / (group_reach + F.lit(0.5)) if reach else F.lit(1.0)
+        frame = Window.partitionBy(*by, "_block").orderBy(place * scale).rangeBetween(start, end)
+        return F.sum(name).over(frame)
+
+    def rolling(name: str) -> Column:
+        earlier = side(name, down, F.floor(rows / 2), -down, 0)
+        return earlier + side(name, up, F.floor((rows - 1) / 2), 0, up) - F.col(name)
+
+    return (
+        blocked.withColumns({f"rolling_{name}": rolling(name) for name in columns})
+        .withColumn("window_rows", rows.cast("int"))
+        .filter(F.col("_block") == F.floor(row / block_size))
+        .select(*df.columns, *(f"rolling_{name}" for name in columns), "window_rows")
     )
