@@ -35,7 +35,7 @@ def known_ids(df: DataFrame) -> DataFrame:
 
 
 def sessions_on_roster(sessions: DataFrame, roster: DataFrame) -> DataFrame:
-    """Sessions whose student is on the roster."""
+    """Sessions whose student is on the roster; a crowded student's sessions are split by AQE alone."""
     return join_per_key(sessions, known_ids(roster), "student_id", "left_semi")
 
 
