@@ -68,6 +68,27 @@ def test_copies(spark):
     assert found(df) == plain(rows)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_that_share_an_id(spark, doc_id):
+    """Texts of one id whose hashes have 24 bits in common: only the one that holds the passage is cut."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    own = []
+    for n, m in [(1990, 14360), (2449, 8677), (2592, 979)]:
+        cut, clean = f"{passage} a{n}", " ".join(f"c{m}x{i}" for i in range(40))
+        low = [r[0] & 0xFFFFFF for r in spark.createDataFrame([(cut,), (clean,)], "t string").selectExpr("xxhash64(t)").collect()]
+        assert low[0] == low[1]
+        own += [(doc_id, cut), (doc_id, clean), (doc_id, clean)]
+    rows = [(0, passage), *own]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain(rows)
+
+
+def test_no_id_comes_after_the_largest(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [((1 << 63) - 1, f"{text} a")] + [(None, f"{text} b{n}") for n in range(8)]
+    kept = {r.doc_id: r.n_removed for r in seed_extend.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {(1 << 63) - 1: 0, None: 30}
+
+
 def test_query(spark):
     import hashlib
 

@@ -34,9 +34,10 @@ SLICE_BYTES = 2 << 20
 #: that goes on to the next step; words that are repeated.
 ASK, FLAG, PASS, CUT = 0, 1, 2, 3
 NAMES = ("route", "aux", "did", "th", "s", "e", "kind")
-#: On the way from task to task, th and s are one number (at), and so are e and kind (to).
-ROW = "route long, aux long, did long, at long, to long"
+#: On the way from task to task, s, e and kind are one number (at): a text of 2 GB has under 2^30 words.
+ROW = "route long, aux long, did long, th long, at long"
 NO_ID = (1 << 63) - 1
+HAS_ID = -(1 << 63)
 
 Columns = dict[str, np.ndarray]
 FACTORS = random_words(2, 77)
@@ -91,32 +92,32 @@ class Words:
 
 def _batch(columns: Columns) -> pa.RecordBatch:
     wide = {n: np.asarray(columns[n]).astype(np.int64, copy=False) for n in NAMES}
-    packed = {n: wide[n] for n in ("route", "aux", "did")}
-    packed |= {"at": wide["th"] << 32 | wide["s"], "to": wide["e"] << 2 | wide["kind"]}
-    return pa.RecordBatch.from_pydict(packed)
+    packed = {n: wide[n] for n in ("route", "aux", "did", "th")}
+    return pa.RecordBatch.from_pydict(packed | {"at": wide["s"] << 33 | wide["e"] << 2 | wide["kind"]})
 
 
 def _unpacked(batch: pa.RecordBatch) -> Columns:
-    route, did, at, to = (batch.column(n).to_numpy() for n in ("route", "did", "at", "to"))
+    route, did, th, at = (batch.column(n).to_numpy() for n in ("route", "did", "th", "at"))
     aux = batch.column("aux").to_numpy() if "aux" in batch.schema.names else np.zeros(len(route), np.int64)
-    return {"route": route, "aux": aux, "did": did, "th": at >> 32, "s": at & 0xFFFFFFFF, "e": to >> 2, "kind": to & 3}
+    return {"route": route, "aux": aux, "did": did, "th": th, "s": at >> 33, "e": at >> 2 & 0x7FFFFFFF, "kind": at & 3}
 
 
 def _columns(rows: DataFrame) -> DataFrame:
     """The rows' documents, stretches and kinds as columns."""
     return rows.select(
         "did",
-        F.shiftright("at", 32).cast("int").alias("th"),
-        F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("s"),
-        F.shiftright("to", 2).cast("int").alias("e"),
-        F.col("to").bitwiseAND(F.lit(3)).cast("int").alias("kind"),
+        "th",
+        F.shiftright("at", 33).cast("int").alias("s"),
+        F.shiftright("at", 2).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("e"),
+        F.col("at").bitwiseAND(F.lit(3)).cast("int").alias("kind"),
     )
 
 
 def _rows(kind: int, did, th, s, e, route=None, aux=0) -> Columns:
     """Rows of one kind; without a route they are scattered evenly."""
     if route is None:
-        route = mix64(did.astype(np.uint64) ^ mix64(np.asarray(s).astype(np.uint64) + np.uint64(1)))
+        document = did.astype(np.uint64) ^ mix64(np.asarray(th).astype(np.uint64))
+        route = mix64(document ^ mix64(np.asarray(s).astype(np.uint64) + np.uint64(1)))
     n = len(did)
     full = np.broadcast_to
     return {
@@ -343,13 +344,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     a smaller id, or earlier in the same document.  A NULL id counts as larger than any.  A NULL text
     has no words.  Rows that share id and text are one document and get equal results; rows that
     share only the id are ordered by a hash of their text.  Ids must be integers.  Other columns are
-    not carried.
+    not carried.  Rows with one id, or with none, are told apart by 63 bits of that hash.
+
+    The ids are counted at once, when this is called: where no two rows share one, hashes need not be sent.
     """
-    null_id = F.col(id_col).isNull()
+    ids = docs.select(F.col(id_col).cast("long").alias("did")).filter("did IS NOT NULL").groupBy("did").count()
+    repeated = (ids.agg(F.max("count")).first()[0] or 0) > 1
+    text_hash = F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 1)
     documents = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
-        # Bits of a hash that tell rows with one id apart; the lowest says that there is no id.
-        (F.xxhash64(F.col(text)).bitwiseAND(F.lit(0xFFFFFF)) * 2 + null_id.cast("int")).cast("int").alias("th"),
+        # Tells rows with one id apart; the sign says that there is an id, so that NULL comes last.
+        F.when(F.col(id_col).cast("long").isNull(), text_hash)
+        .otherwise((text_hash if repeated else F.lit(0)).bitwiseOR(F.lit(HAS_ID)))
+        .alias("th"),
         F.col(text).cast("string").alias("text"),
     )
 
@@ -365,13 +372,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     seeded = documents.join(of_document(seeds, F.col("s"), "seeds"), ["did", "th"])
     stretches = settled(seeded.mapInArrow(lambda b: _stretches(b, threshold), ROW), lambda rows: _settle_stretches(rows, threshold))
     # What is cut already goes straight to its document; both branches read one exchange.
-    is_cut = F.col("to").bitwiseAND(F.lit(3)) == CUT
+    is_cut = F.col("at").bitwiseAND(F.lit(3)) == CUT
     known = stretches.filter(is_cut)
     originals = settled(stretches.filter(~is_cut).drop("aux"), _settle_originals)
     doubtful = documents.join(of_document(known.union(originals), F.struct("kind", "s", "e"), "found"), ["did", "th"])
     windows = settled(doubtful.mapInArrow(lambda b: _windows(b, threshold), ROW), lambda rows: _settle_windows(rows, threshold))
     cut = documents.join(of_document(windows, F.struct("s", "e"), "cuts"), ["did", "th"], "left")
-    schema = "did long, th int, kept_text string, n_words long, n_removed long, repeats array<struct<start:int,end:int>>"
+    schema = "did long, th long, kept_text string, n_words long, n_removed long, repeats array<struct<start:int,end:int>>"
     kept = cut.mapInArrow(_kept, schema)
-    doc_id = F.when(F.col("th") % 2 == 0, F.col("did"))
+    doc_id = F.when(F.col("th") < 0, F.col("did"))
     return kept.select(doc_id.alias("doc_id"), "kept_text", "n_words", "n_removed", "repeats")
