@@ -59,7 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of each secret; n_chars counts the new text's characters."""
+    """All documents, with a mark in the place of each secret, a private key with its body; n_chars counts
+    the new text's characters."""
     rows, names = _numbered(docs)
     masked = secret_scan.mask(rows, secret_scan.BASE_RULES + secret_scan.MORE_RULES, names["text"], SECRET_MARK)
     if "n_chars" in names:

@@ -60,9 +60,21 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 
+#: A key from its BEGIN line to its END line, if no other line of dashes comes before.  Else as far as the
+#: body goes: header lines such as "Version: 2", runs of base64, and a last line that may be short.
+#: Lines may be quoted or end in a written-out \n.
+PRIVATE_KEY = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:GAP(?:(?:Proc-Type|DEK-Info):\x20*\S+|[A-Z][A-Za-z-]+:\x20[^\r\n\\]*(?=[\r\n\\])))*"
+    r"(?:GAP[A-Za-z0-9+/]{16,}+={0,2})++"
+    r"(?:GAP(?:[A-Za-z0-9+/]+={1,2}|=[A-Za-z0-9+/]{4})(?![A-Za-z0-9+/=])|(?:\r?\n|\\n)[A-Za-z0-9+/]+(?=[\x20\t]*(?:[\r\n\\\"']|\Z)))?"
+    r"(?:GAP=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/=]))?)?"
+).replace("GAP", r"""(?:[\s"'>]|\\[nr])++""")
+
 #: Further kinds of which the shape alone gives them away.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("repository_token", r"(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
