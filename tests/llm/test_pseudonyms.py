@@ -98,6 +98,50 @@ def test_formats_are_bijections():
     assert len(cards) == 3000 and all(check_digit(c[:-1]) == c[-1] for c in cards)
 
 
+MORE_VALUES = {
+    "day_first_date": ["25/12/1980", "31/12/1999", "29/02/2024", "13/01/1900"],
+    "phone": [
+        "+34 612 345 678",
+        "+33 1 23 45 67 89",
+        "+49 30 12345678",
+        "+4915112345679",  # ...78 has the check digit of a card number and counts as one
+        "+44 (0)20 7946 0958",
+        "0171 2345678",
+        "030/12345678",
+        "01 23 45 67 89",
+        "020 7946 0958",
+        "663 555 6869",
+    ],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "ES9121000418450200051332", "FR14 2004 1010 0505 0001 3M02 606"],
+}
+
+
+def test_more_values(spark):
+    values = [(kind, v) for kind, vs in MORE_VALUES.items() for v in vs]
+    rows = [(n, f"é «{v}» NEXT, {v}.") for n, (_, v) in enumerate(values)]
+    new = pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    got = {r.doc_id: r for r in new.collect()}
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(new.drop("pseudonyms"), "k", back=True).collect()}
+    for n, (kind, value) in enumerate(values):
+        assert value not in got[n].text, value
+        assert [s.kind for s in got[n].pseudonyms] == [kind] * 2 and got[n].pseudonyms[0].end - got[n].pseudonyms[0].start == len(value)
+        assert back[n] == rows[n][1]
+
+
+@pytest.mark.parametrize("value", ["32/01/2000", "30/02/2000", "25/13/1980", "DE88 3704 0044 0532 0130 00", "+12 34", "0171 23456"])
+def test_more_invalid_values_stay(value):
+    assert Replacer(KEY, pseudonyms.ALL_KINDS)(f" {value} ") == (f" {value} ", [])
+
+
+def test_more_formats_are_bijections():
+    """Day-first dates, and long phone numbers, which must not turn into card numbers."""
+    replace, back = Replacer(KEY, pseudonyms.ALL_KINDS), Replacer(KEY, pseudonyms.ALL_KINDS, back=True)
+    days = [date.fromordinal(d) for d in range(date(1999, 1, 1).toordinal(), date(2005, 1, 1).toordinal())]
+    texts = [d.strftime("%d/%m/%Y") for d in days] + [f"+49151{n * 7919:08}" for n in range(2000)] + [f"0171 {n:07}" for n in range(2000)]
+    new = [replace(t)[0] for t in texts]
+    assert len(set(new)) == len(set(texts)) and [back(t)[0] for t in new] == texts
+
+
 def test_documents(spark, documents):
     df, rows = documents
     new = pseudonyms.pseudonymise(df, "k")

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms of personal numbers, dates and addresses in texts.
 
-A value is found by its shape, checked (card numbers by their check digit, dates by the calendar, network
-addresses by their octets), numbered within all valid values of its format, sent through a keyed
+A value is found by its shape, checked (card numbers and IBANs by their check digits, dates by the calendar,
+network addresses by their octets), numbered within all valid values of its format, sent through a keyed
 Feistel permutation of those numbers, and written back in the same format.  So it stays valid and keeps
 its separators and length, equal values become equal pseudonyms in all documents, different ones
 different, and with the key they can be turned back.
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from calendar import monthrange
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +127,19 @@ def _octet_write(shape: str, number: int) -> str:
     return ".".join(str(x) for x in number.to_bytes(4, "big"))
 
 
+CARD = r"(?<!\w)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)"
+#: National numbers with a leading 0, which stays, so that their pseudonyms are such numbers, too.
+NATIONAL = r"0(?:\d{2,4}[ /-]\d{6,8}|\d(?:[ .-]\d{2}){4}|\d{2} \d{4} \d{4}|\d{3} \d{3} \d{4})"
+PHONE = (
+    r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?|\(\d{3}\)|\d{3}(?=[.-]))[ .-]?\d{3}[ .-]\d{4}"
+    r"|\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,8}){1,5}"
+    rf"|\d{{3}} \d{{3}} \d{{4}}|{NATIONAL})(?!\w)"
+)
+
+
 def _phone_parts(text: str) -> tuple[str, str]:
-    """The country code stays, the rest is the number."""
-    country = re.match(r"\+\d{1,3}", text)
+    """The country code or the leading 0 stays, the rest is the number."""
+    country = re.match(rf"\+\d{{1,3}}|0(?={NATIONAL[1:]}\Z)", text)
     cut = country.end() if country else 0
     return text[:cut], text[cut:]
 
@@ -135,12 +147,57 @@ def _phone_parts(text: str) -> tuple[str, str]:
 def _phone_number(text: str) -> tuple[int, str, int] | None:
     country, rest = _phone_parts(text)
     digits = _only_digits(rest)
-    return int(digits), country + _separators(rest), 10 ** len(digits)
+    form, size = country + _separators(rest), 10 ** len(digits)
+    if not re.search(CARD, text):
+        return int(digits), form, size
+    # A long number without separators is no card number, and its pseudonym must not be one either.
+    wrong = _not_check(text)
+    if wrong is None or digits[-1] not in wrong:
+        return None
+    return int(digits[:-1]) * 9 + wrong.index(digits[-1]), form, size // 10 * 9
+
+
+def _not_check(text: str) -> str | None:
+    """Last digits with which + and digits are no card number; None for another shape."""
+    return "0123456789".replace(check_digit(text[1:-1]), "") if text[1:].isdigit() else None
 
 
 def _phone_write(shape: str, number: int) -> str:
     country, rest = _phone_parts(shape)
-    return country + _refill(rest, str(number).zfill(len(_only_digits(rest))))
+    length = len(_only_digits(rest))
+    if not re.search(CARD, shape):
+        return country + _refill(rest, str(number).zfill(length))
+    body, last = divmod(number, 9)
+    new = country + str(body).zfill(length - 1)
+    return new + _not_check(new + "0")[last]
+
+
+#: The lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+
+def _iban_check(country: str, account: str) -> str:
+    """The two check digits, by which the number is 1 modulo 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02}"
+
+
+def _iban_number(text: str) -> tuple[int, str, int] | None:
+    account = text[4:].replace(" ", "")
+    if _iban_check(text[:2], account) != text[2:4]:
+        return None
+    number, shape, size = _spelt_number(text[4:])
+    return number, text[:2] + shape, size
+
+
+def _iban_write(shape: str, number: int) -> str:
+    account = _spelt_write(shape[4:], number)
+    return shape[:2] + _iban_check(shape[:2], account.replace(" ", "")) + account
 
 
 # Areas 000, 666 and 900-999, group 00 and serial 0000 are never given out.
@@ -182,6 +239,22 @@ def _date_write(shape: str, number: int) -> str:
     return _refill(shape, "".join(part[c] for c in _date_order(shape)))
 
 
+# Slash dates that month first is none of: day first, with a day over 12, numbered among themselves.
+LATE_BEFORE = [0, *accumulate(monthrange(1900 + n // 12, n % 12 + 1)[1] - 12 for n in range(2400))]
+
+
+def _late_number(text: str) -> tuple[int, str, int] | None:
+    day, month, year = (int(x) for x in text.split("/"))
+    if not (1900 <= year <= 2099 and 1 <= month <= 12 and 12 < day <= monthrange(year, month)[1]):
+        return None
+    return LATE_BEFORE[(year - 1900) * 12 + month - 1] + day - 13, "day first", LATE_BEFORE[-1]
+
+
+def _late_write(shape: str, number: int) -> str:
+    month = bisect_right(LATE_BEFORE, number) - 1
+    return f"{number - LATE_BEFORE[month] + 13:02}/{month % 12 + 1:02}/{1900 + month // 12:04}"
+
+
 def _alphabet(char: str) -> str | None:
     for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
         if char in alphabet:
@@ -189,10 +262,10 @@ def _alphabet(char: str) -> str | None:
     return None
 
 
-def _mail_number(text: str) -> tuple[int, str, int] | None:
-    local = text[: text.index("@")]
+def _spelt_number(text: str) -> tuple[int, str, int]:
+    """Number, shape and count of the texts with letters of one case and digits in the same places."""
     number, size, shape = 0, 1, []
-    for char in local:
+    for char in text:
         alphabet = _alphabet(char)
         shape.append(alphabet[0] if alphabet else char)
         if alphabet:
@@ -200,29 +273,33 @@ def _mail_number(text: str) -> tuple[int, str, int] | None:
     return number, "".join(shape), size
 
 
-def _mail_write(shape: str, number: int) -> str:
-    cut = shape.index("@")
+def _spelt_write(shape: str, number: int) -> str:
     written = []
-    for char in reversed(shape[:cut]):
+    for char in reversed(shape):
         alphabet = _alphabet(char)
         if alphabet:
             number, place = divmod(number, len(alphabet))
             char = alphabet[place]
         written.append(char)
-    return "".join(reversed(written)) + shape[cut:]
+    return "".join(reversed(written))
+
+
+def _mail_number(text: str) -> tuple[int, str, int] | None:
+    return _spelt_number(text[: text.index("@")])
+
+
+def _mail_write(shape: str, number: int) -> str:
+    cut = shape.index("@")
+    return _spelt_write(shape[:cut], number) + shape[cut:]
 
 
 #: In the order in which they claim a stretch of text that fits more than one.  A local part of a mail
 #: address keeps its letters' case, digits and punctuation in place; its domain stays.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", _mail_number, _mail_write),
-    Kind(
-        "card",
-        r"(?<!\w)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)",
-        _card_number,
-        _card_write,
-    ),
-    Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?|\(\d{3}\)|\d{3}(?=[.-]))[ .-]?\d{3}[ .-]\d{4}(?!\w)", _phone_number, _phone_write),
+    Kind("iban", rf"(?<!\w)(?:{IBAN})(?!\w)", _iban_number, _iban_write),
+    Kind("card", CARD, _card_number, _card_write),
+    Kind("phone", PHONE, _phone_number, _phone_write),
     Kind("address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _octet_number, _octet_write),
     Kind("insurance", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _insurance_number, _insurance_write),
     Kind(
@@ -232,6 +309,8 @@ KINDS = (
         _date_write,
     ),
 )
+#: What ``pseudonymise`` replaces: slash dates are read day first, too, when month first is no date.
+ALL_KINDS = (*KINDS, Kind("day_first_date", r"(?<![\w./-])\d{2}/\d{2}/\d{4}(?![\w/-]|\.\d)", _late_number, _late_write))
 HAS_NUMBER = np.zeros(256, dtype=bool)
 HAS_NUMBER[ord("0") : ord("9") + 1] = True
 HAS_NUMBER[ord("@")] = True
@@ -297,7 +376,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", values: str = "p
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = Replacer(secret, back=back)
+        replace = Replacer(secret, ALL_KINDS, back)
         for batch in batches:
             for part in slices(batch, text):
                 column = part.column(text)
