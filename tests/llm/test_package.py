@@ -14,7 +14,7 @@ from tutorspark.llm.queries import llm_queries
 
 def test_each_operator_has_one_query():
     names = [n for n in entry_points.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) == set(llm_queries()) and "pipeline" in entry_points.queries()
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 

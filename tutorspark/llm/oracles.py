@@ -139,6 +139,63 @@ FROM texts LEFT JOIN kept USING (doc_id)
 """
 
 
+HARD_NEGATIVES_SQL = r"""
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
+# Node tables by listing every pair of a node and a node below it.  3988292384 is the polynomial of CRC-32.
+PREFIXES_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(said ORDER BY i) AS said,
+         list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, said, xor(list_reduce(bytes, lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)),
+         4294967295::BIGINT), 4294967295) % 4 AS h FROM own
+), whole AS (
+  SELECT c.conv_id, CASE WHEN c.conv_id % 20 = 0 THEN c.said ELSE coalesce(b.said, [])[1:c.h] || c.said[c.h + 1:] END AS said
+  FROM hashed c LEFT JOIN hashed b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, len(said) = d AS ends, said[1:d] AS prefix FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT row_number() OVER () AS node, * FROM (
+    SELECT prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids,
+           CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(prefix[-1].text, '[^\x20\x09-\x0D]+')) END AS saved FROM prefixes GROUP BY prefix, d)
+), passed AS (
+  SELECT p.conv_id, n.node, n.depth, n.saved FROM prefixes p JOIN nodes n ON p.prefix = n.prefix AND p.d = n.depth
+), edges AS (
+  SELECT DISTINCT a.node AS parent, b.node AS child FROM passed a JOIN passed b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1
+), below AS (
+  SELECT DISTINCT a.node, b.node AS lower, b.saved FROM passed a JOIN passed b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), subtrees AS (
+  SELECT node, sum(saved) AS saved_tokens, count(*) FILTER (lower NOT IN (SELECT parent FROM edges)) AS n_leaves FROM below GROUP BY node
+), children AS (SELECT parent, count(*) AS n FROM edges GROUP BY parent)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM nodes n JOIN subtrees s USING (node) LEFT JOIN children c ON c.parent = n.node
+LEFT JOIN edges e ON e.child = n.node LEFT JOIN nodes p ON p.node = e.parent
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op1_url_reputation": URL_SQL,
@@ -146,4 +203,6 @@ def llm_oracles() -> dict[str, str]:
         "op6_impact_index": TOP_K_SQL,
         "op7_cover_tree": NEAR_VECTORS_SQL,
         "op8_seed_extend": REPEATS_SQL,
+        "op11_kronecker_negatives": HARD_NEGATIVES_SQL,
+        "op13_prefix_trie": PREFIXES_SQL,
     }

@@ -12,7 +12,9 @@ from tutorspark.llm import (
     cover_tree,
     gray_simhash,
     impact_index,
+    kronecker_negatives,
     language_crf,
+    prefix_trie,
     pseudonyms,
     secret_scan,
     seed_extend,
@@ -98,6 +100,16 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("fingerprint", gray_simhash.hex_digits(F.col("fingerprint")))
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return kronecker_negatives.hard_negatives(vectors, positives=5, negatives=3, band=(50, 95), every=50, label=label)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -112,5 +124,7 @@ def llm_queries() -> dict[str, Query]:
             op8_seed_extend,
             op9_pseudonyms,
             op10_gray_simhash,
+            op11_kronecker_negatives,
+            op13_prefix_trie,
         )
     }
