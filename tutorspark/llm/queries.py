@@ -14,6 +14,7 @@ from tutorspark.llm import (
     impact_index,
     kronecker_negatives,
     language_crf,
+    page_wrappers,
     prefix_trie,
     pseudonyms,
     secret_scan,
@@ -106,6 +107,10 @@ def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kronecker_negatives.hard_negatives(vectors, positives=5, negatives=3, band=(50, 95), every=50, label=label)
 
 
+def op12_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.main_text(read(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
@@ -125,6 +130,7 @@ def llm_queries() -> dict[str, Query]:
             op9_pseudonyms,
             op10_gray_simhash,
             op11_kronecker_negatives,
+            op12_page_wrappers,
             op13_prefix_trie,
         )
     }
