@@ -9,6 +9,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from tutorspark.operators import cohort, dosage, equity, ranking
+from tutorspark.workload.queries import all_queries
 
 
 @pytest.fixture(params=["full", "narrow"])
@@ -18,6 +19,8 @@ def path(request, monkeypatch):
         monkeypatch.setattr(ranking, "COARSE_STEPS", 1)
         monkeypatch.setattr(ranking, "FINE_STEPS", 4)
         monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 5)
+        monkeypatch.setattr(ranking, "GINI_STEPS", 2)
+        monkeypatch.setattr(ranking, "SUMMARY_STEPS", 100)
     return request.param
 
 
@@ -141,3 +144,38 @@ def test_sample_weights_matter_and_degenerate_weights_do_not(spark):
         assert 160 <= even <= 240
     alone = cohort.weighted_sample(df, F.col("w") / 10, None)
     assert 1900 <= alone.count() <= 2100
+
+
+@pytest.mark.parametrize("distinct", [3, 100_000])
+def test_bracketed_quantiles(table, spark, distinct):
+    """Groups of very different size and spread, one value in a third of the rows, every rank by numpy."""
+    v = f"CASE WHEN id % 3 = 0 THEN -1.5D ELSE exp(((id * 7919) % {distinct}) / 9000.0D) - 20 END"
+    df = spark.range(0, 300_000, 1, 7).selectExpr("CASE WHEN id < 50 THEN NULL WHEN id % 20 = 0 THEN 'small' ELSE 'big' END AS g", f"{v} AS v")
+    wanted = {f"q{n}": p for n, p in enumerate((0.0, 1e-6, 0.01, 0.25, 0.5, 0.999, 1.0))}
+    got = ranking.aggregate_with_quantiles(df, "v", ["g"], {"n": F.count("v"), "odd.name": F.max("v")}, wanted)
+    assert got.columns == ["g", "n", "odd.name", *wanted]
+    frame = df.toPandas()
+    for row in got.collect():
+        values = frame.v[frame.g.isna() if row.g is None else frame.g == row.g]
+        assert row.n == len(values) and row["odd.name"] == values.max()
+        assert [row[name] for name in wanted] == pytest.approx([np.quantile(values, p) for p in wanted.values()], rel=1e-12)
+    (whole,) = ranking.aggregate_with_quantiles(df, "v", [], {}, wanted).collect()
+    assert list(whole) == pytest.approx([np.quantile(frame.v, p) for p in wanted.values()], rel=1e-12)
+    assert [r[0] for r in ranking.aggregate_with_quantiles(df.filter("v > 1e9"), "v", [], {}, {"a": 0.5}).collect()] == [None]
+
+
+def stages_run(spark, query, sf_dir):
+    spark.sparkContext.setJobGroup("stages", "stages")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("stages"))
+    query(spark, sf_dir).collect()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = set(tracker.getJobIdsForGroup("stages")) - before
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    return sum(1 for s in stages if (info := tracker.getStageInfo(s)) and info.numCompletedTasks)
+
+
+@pytest.mark.parametrize("name, most", [("A11_ethnicity_dosage", 12), ("A14_outcome_metrics", 12), ("A28_numeric_summary", 13), ("A35_dosage_moments", 12)])
+def test_quantiles_take_few_stages(spark, name, most):
+    """With the stages of the roll-up and the join below."""
+    stages_run(spark, all_queries()[name], "/root/testdata/sf0.01")  # reads the footers, once a folder
+    assert stages_run(spark, all_queries()[name], "/root/testdata/sf0.01") <= most

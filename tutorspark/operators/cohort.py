@@ -14,11 +14,8 @@ from tutorspark.operators.dosage import session_time
 from tutorspark.operators.joins import grade_by_student
 from tutorspark.operators.prepare import duration_minutes, identified_sessions
 from tutorspark.operators.ranking import (
-    mean_of_ranked,
-    quantile_of_ranked,
-    ranked_values,
+    aggregate_with_quantiles,
     smallest_rows,
-    stddev_of_ranked,
 )
 from tutorspark.schema import COHORT_FLAGS, EQUITY_FLAGS
 from tutorspark.sources.literals import literal_table
@@ -106,13 +103,10 @@ def grade_band_shares(
 def dosage_moments(df: DataFrame) -> DataFrame:
     """Median, mean, sd, min and max of treated hours."""
     treated = df.select(_treated_hours(df).alias("hours"))
-    return ranked_values(treated, "hours").agg(
-        quantile_of_ranked("hours", 0.5).alias("median_hours"),
-        mean_of_ranked().alias("mean_hours"),
-        stddev_of_ranked("hours").alias("sd_hours"),
-        F.min("hours").alias("min_hours"),
-        F.max("hours").alias("max_hours"),
-    )
+    h = F.col("hours")
+    known = treated.filter(h.isNotNull())
+    aggregates = {"mean_hours": F.avg(h), "sd_hours": F.stddev_samp(h), "min_hours": F.min(h), "max_hours": F.max(h)}
+    return aggregate_with_quantiles(known, "hours", (), aggregates, {"median_hours": 0.5}).select("median_hours", *aggregates)
 
 
 def flag_dosage(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tutorspark.functions.stats import share
 from tutorspark.functions.text import percent_text, to_tenths
 from tutorspark.operators.filters import tutored_students
 from tutorspark.operators.prepare import duration_minutes, roster_with_subject_hours
-from tutorspark.operators.ranking import gini_of_ranked, quantile_of_ranked, ranked_values
+from tutorspark.operators.ranking import aggregate_with_quantiles, gini, ranked_values
 from tutorspark.schema import SUBJECTS
 
 DOSAGE_BINS = 30
@@ -27,30 +27,37 @@ def band_shares(h: Column, among: Column, target: float) -> dict[str, Column]:
     }
 
 
+def tutored_hours(df: DataFrame) -> DataFrame:
+    return df.select(bands.hours(df).alias("hours")).filter("hours > 0")
+
+
 def hours_ranking(df: DataFrame) -> DataFrame:
     """W3 over the hours of tutored students."""
-    return ranked_values(df.select(bands.hours(df).alias("hours")).filter("hours > 0"), "hours")
+    return ranked_values(tutored_hours(df), "hours")
 
 
 def dosage_metrics(df: DataFrame, target: float = DEFAULT_TARGET_HOURS) -> DataFrame:
     """A4 with A5 and A6: one row, all NULL when nobody was tutored."""
-    h, n = F.col("hours"), F.col("n")
-    in_band = dosage_band_conditions(h, target)
-    q25, q75 = quantile_of_ranked("hours", 0.25), quantile_of_ranked("hours", 0.75)
-    return hours_ranking(df).agg(
-        quantile_of_ranked("hours", 0.5).alias("median_hours"),
-        F.try_divide(F.sum(h * n), F.sum(n)).alias("mean_hours"),
-        q25.alias("q25"),
-        q75.alias("q75"),
-        (q75 - q25).alias("iqr"),
-        F.sum(n).alias("tutored_students"),
-        F.when(F.sum(n) > 0, F.lit(float(target))).alias("target_dosage"),
-        F.sum(h * n).alias("total_tutoring_hours"),
-        *(
-            share(F.sum(F.when(condition, n).otherwise(F.lit(0))), F.sum(n)).alias(name)
-            for name, condition in in_band.items()
-        ),
-        gini_of_ranked("hours").alias("gini"),
+    hours, h = tutored_hours(df), F.col("hours")
+    aggregates = {
+        "mean_hours": F.avg(h),
+        "tutored_students": F.nullif(F.count(h), F.lit(0)),
+        "total_tutoring_hours": F.sum(h),
+        **band_shares(h, F.lit(True), target),
+    }
+    quartiles = {"q25": 0.25, "median_hours": 0.5, "q75": 0.75}
+    found = aggregate_with_quantiles(hours, "hours", (), aggregates, quartiles)
+    return found.select(
+        "median_hours",
+        "mean_hours",
+        "q25",
+        "q75",
+        F.expr("q75 - q25 AS iqr"),
+        "tutored_students",
+        F.expr(f"CASE WHEN tutored_students > 0 THEN {float(target)!r}D END AS target_dosage"),
+        "total_tutoring_hours",
+        *DOSAGE_SHARES,
+        gini(hours, "hours").alias("gini"),
     )
 
 

@@ -12,10 +12,8 @@ from tutorspark.functions.stats import share
 from tutorspark.functions.text import clean, strip
 from tutorspark.operators.filters import tutored_students
 from tutorspark.operators.ranking import (
+    aggregate_with_quantiles,
     centred_rolling_sums,
-    mean_of_ranked,
-    quantile_of_ranked,
-    ranked_values,
     value_counts,
 )
 from tutorspark.schema import EQUITY_FLAGS, SUBJECTS, outcome_measures
@@ -130,14 +128,14 @@ def target_attainment(df: DataFrame, target: float = DEFAULT_TARGET_HOURS) -> Da
 def ethnicity_dosage(df: DataFrame, target: float = DEFAULT_TARGET_HOURS) -> DataFrame:
     """Mean and median hours and share at target per ethnicity, tutored students."""
     h = tutored_students(df).select("ethnicity", bands.hours(df).alias("hours"))
-    ranked = ranked_values(h.filter(F.col("ethnicity").isNotNull()), "hours", ["ethnicity"])
-    at_target = F.when(F.col("hours") >= F.lit(float(target)), F.col("n")).otherwise(F.lit(0))
-    return ranked.groupBy("ethnicity").agg(
-        mean_of_ranked().alias("avg_hours"),
-        quantile_of_ranked("hours", 0.5).alias("median_hours"),
-        share(F.sum(at_target), F.sum("n")).alias("pct_full_dosage"),
-        F.sum("n").alias("n"),
-    )
+    known, hours = h.filter(F.col("ethnicity").isNotNull()), F.col("hours")
+    aggregates = {
+        "avg_hours": F.avg(hours),
+        "pct_full_dosage": share(F.count_if(hours >= F.lit(float(target))), F.count(hours)),
+        "n": F.count(hours),
+    }
+    found = aggregate_with_quantiles(known, "hours", ["ethnicity"], aggregates, {"median_hours": 0.5})
+    return found.select("ethnicity", "avg_hours", "median_hours", "pct_full_dosage", "n")
 
 
 def performance_column(columns: list[str]) -> str | None:

@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from tutorspark.functions.stats import MARGINAL, SIGNIFICANT, WEEKS_PER_SD, share, t_test_p_value
 from tutorspark.operators.dosage import equal_width_bins
 from tutorspark.operators.filters import tutored_students
-from tutorspark.operators.ranking import (
-    mean_of_ranked,
-    quantile_of_ranked,
-    ranked_values,
-    stddev_of_ranked,
-)
+from tutorspark.operators.ranking import aggregate_with_quantiles
 from tutorspark.schema import SUBJECTS
 from tutorspark.sources.literals import literal_table
 
@@ -49,15 +44,15 @@ def outcome_metrics(df: DataFrame) -> DataFrame:
     Median, p-value and significance are value-added metrics only.  Effect size is mean over
     standard deviation and absent when that is zero or unknown.
     """
-    ranked = ranked_values(measure_rows(df), "value", ["subject", "measure"])
-    positive = F.when(F.col("value") > 0, F.col("n")).otherwise(F.lit(0))
-    moments = ranked.groupBy("subject", "measure").agg(
-        mean_of_ranked().alias("mean"),
-        quantile_of_ranked("value", 0.5).alias("median"),
-        stddev_of_ranked("value").alias("sd"),
-        share(F.sum(positive), F.sum("n")).alias("positive_pct"),
-        F.sum("n").alias("n"),
-    )
+    values, v = measure_rows(df), F.col("value")
+    aggregates = {
+        "mean": F.avg(v),
+        "sd": F.stddev_samp(v),
+        "positive_pct": share(F.count_if(v > 0), F.count(v)),
+        "n": F.count(v),
+    }
+    moments = aggregate_with_quantiles(values, "value", ["subject", "measure"], aggregates, {"median": 0.5})
+    moments = moments.select("subject", "measure", "mean", "median", "sd", "positive_pct", "n")
     value_added = F.col("measure") == "value_added"
     return (
         moments.withColumn("effect_size", F.when(F.col("sd") > 0, F.col("mean") / F.col("sd")))

@@ -9,12 +9,7 @@ from pyspark.sql import types as T
 from tutorspark.functions import bands
 from tutorspark.operators.dosage import session_time
 from tutorspark.operators.prepare import duration_minutes
-from tutorspark.operators.ranking import (
-    mean_of_ranked,
-    quantile_of_ranked,
-    ranked_values,
-    stddev_of_ranked,
-)
+from tutorspark.operators.ranking import aggregate_with_quantiles
 
 PREVIEW_ROWS = 10
 
@@ -104,17 +99,7 @@ def numeric_summary(df: DataFrame) -> DataFrame:
         .select("c.*")
         .filter(F.col("value").isNotNull())
     )
-    return (
-        ranked_values(values, "value", ["column"])
-        .groupBy("column")
-        .agg(
-            F.sum("n").alias("n"),
-            mean_of_ranked().alias("mean"),
-            stddev_of_ranked("value").alias("sd"),
-            F.min("value").alias("min"),
-            quantile_of_ranked("value", 0.25).alias("q25"),
-            quantile_of_ranked("value", 0.5).alias("median"),
-            quantile_of_ranked("value", 0.75).alias("q75"),
-            F.max("value").alias("max"),
-        )
-    )
+    v, quartiles = F.col("value"), {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    aggregates = {"n": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    found = aggregate_with_quantiles(values, "value", ["column"], aggregates, quartiles)
+    return found.select("column", "n", "mean", "sd", "min", *quartiles, "max")

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Otherwise every column call walks the Python stack for the sake of error messages.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
