@@ -1,5 +1,8 @@
 """The impact-ordered index against scores of all rows."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -9,11 +12,11 @@ from tutorspark.llm.queries import llm_queries
 SCHEMA = "vec_id long, embedding array<float>"
 
 
-def plain(rows, k=10, every=100):
+def plain(rows, k=10, every=100, kind=np.float32):
     fit = []
     for vec_id, vector in rows:
         if vec_id is not None and vector is not None and all(x is not None and np.isfinite(x) for x in vector):
-            q = [max(min(int(np.floor(1024 * float(np.float32(x)))), 1 << 26), -(1 << 26)) for x in vector]
+            q = [math.floor(Fraction(float(kind(x))) * 1024) for x in vector]
             fit.append((vec_id, q))
     result = []
     for query, q in {(i, tuple(v)) for i, v in fit if i % every == 0}:
@@ -44,6 +47,7 @@ ODD = [
     (5600, [0.5, -0.25]),
     (5601, [0.25, 3.0]),
     (5700, [1e9, -1e9, 0.0, 0.0, 1.0]),
+    (5701, [2e5, 3e5, -1e5, 7.5, 1.0]),
     (None, [0.5] * 5),
     (5800, [0.125] * 5),
     (5800, [0.125] * 5),
@@ -68,6 +72,18 @@ def test_query(spark):
     assert sorted(tuple(r) for r in llm_queries()["op6_impact_index"](spark, sf_dir).collect()) == plain(rows)
 
 
+@pytest.mark.parametrize("size", [2e5, 1e12, 1e30])
+def test_large_components(spark, monkeypatch, size):
+    """Far beyond what a cut would leave; from 10^12 on scores need more than 64 bits."""
+    monkeypatch.setattr(impact_index, "SHARD_ROWS", 90)
+    rng = np.random.default_rng(7)
+    values = rng.normal(size=(300, 8)) * size
+    values[::7] *= 1e-6
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(values)] + [(300, [0.5] * 8)]
+    cut = sorted((q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in plain(rows, every=10, kind=float))
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10) == cut
+
+
 def test_few_rows(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     assert found(spark.createDataFrame([(100, [0.5])], SCHEMA)) == []

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tutorspark.llm import wide_scores
 from tutorspark.llm.storage import keep
 
 SHARD_ROWS = 4096
@@ -28,15 +29,9 @@ STOPS = (32, 16, 8, 4, 2, 1)
 #: A block stops early once no query has more possible members than this many times k.
 FEW = 4
 SCALE = 1024
-#: Larger components are cut to this, so that a score of up to 2^10 of them fits a long.
-LARGEST = 1 << 26
-
-
-def quantised(vector: str) -> Column:
-    """floor(1024 * x) of every component, as integers."""
-    return F.transform(
-        vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * SCALE), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int")
-    )
+#: What rounding can add to or take from a sum, as a share of the product of the lengths.
+ROUNDING = 1e-11
+VECTORS, QUERIES = 0, 1
 
 
 def usable(vector: str) -> Column:
@@ -44,14 +39,20 @@ def usable(vector: str) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def _matrix(table: pa.Table, width: int) -> np.ndarray:
-    return table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, width)
+def as_floats(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as doubles; if some are very large, all in units of a power of two, as bounds need no more."""
+    if values.dtype != object:
+        return values.astype(np.float64)
+    bits = max((int(v).bit_length() for v in values.ravel()), default=0)
+    unit = 1 << max(bits - 400, 0)
+    return np.array([int(v) / unit for v in values.ravel()], dtype=np.float64).reshape(values.shape)
 
 
 def build_shard(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a matrix of values: postings in falling order of their level, the end of each level's postings
     (from the highest level down), and the rest lengths of every vector after each level."""
-    size = np.abs(values).astype(np.float64)
+    values = as_floats(values)
+    size = np.abs(values)
     width = max(size.max(initial=0.0), 1.0) / LEVELS
     level = np.ceil(size / width).astype(np.int64)
     impact = np.sign(values) * (level - 0.5) * width
@@ -68,27 +69,6 @@ def build_shard(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, ends, rest
 
 
-def _pack_shard(table: pa.Table) -> pa.Table:
-    width = table.column("dim")[0].as_py()
-    values, ids = _matrix(table, width), table.column("vec_id").to_numpy()
-    values = values[by_id := np.argsort(ids, kind="stable")]
-    order, ends, rest = build_shard(values)
-    blobs = {"ids": ids[by_id], "vectors": values.astype(np.int32), "postings": order, "ends": ends, "rest": rest}
-    packed = {n: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for n, x in blobs.items()}
-    return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], **packed})
-
-
-def _pack_queries(table: pa.Table) -> pa.Table:
-    width = table.column("dim")[0].as_py()
-    ids, numbers = table.column("vec_id").to_numpy(), table.column("number").to_numpy()
-    packed = {
-        "query_ids": pa.array([ids.tobytes()], pa.binary()),
-        "numbers": pa.array([numbers.tobytes()], pa.binary()),
-        "queries": pa.array([_matrix(table, width).astype(np.int32).tobytes()], pa.binary()),
-    }
-    return pa.table({"dim": table.column("dim")[:1], **packed})
-
-
 def search_shard(
     ids: np.ndarray, values: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, own: np.ndarray, k: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,12 +78,14 @@ def search_shard(
     """
     order, ends, rest = index
     width = values.shape[1]
-    size = np.abs(values).max(initial=0)
-    step = max(float(size), 1.0) / LEVELS
+    signs = np.sign(as_floats(values))
+    step = max(float(np.abs(as_floats(values)).max(initial=0.0)), 1.0) / LEVELS
     sums = np.zeros((len(values), len(queries)))
     rows, dimensions = np.divmod(order, max(width, 1))
-    weights = queries.T.astype(np.float64)
+    weights = as_floats(queries).T
     lengths = np.sqrt((weights * weights).sum(axis=0))
+    reach = np.abs(as_floats(values)).max(initial=0.0) * np.abs(weights).max(initial=0.0) * width
+    exact = np.int64 if values.dtype != object and queries.dtype != object and reach < wide_scores.FITS else object
     excluded = [slice(*np.searchsorted(ids, [one, one + 1])) for one in own.tolist()]
     begin = 0
     for level in range(LEVELS, 0, -1):
@@ -113,11 +95,11 @@ def search_shard(
         for a, b in zip(np.r_[begin, cuts].tolist(), np.r_[cuts, end].tolist(), strict=True):
             if a < b:
                 segment, dimension = rows[a:b], int(dimensions[a])
-                sums[segment] += np.sign(values[segment, dimension])[:, None] * (impact * weights[dimension])
+                sums[segment] += signs[segment, dimension][:, None] * (impact * weights[dimension])
         begin = end
         if level in STOPS:
-            # Rounding of the sums is far below one, scores are integers.
-            slack = rest[LEVELS - level + 1][:, None] * lengths + 1.0
+            # What is left out, and what rounding may have done.
+            slack = (rest[LEVELS - level + 1] + ROUNDING * rest[0])[:, None] * lengths + 1.0
             low, high = sums - slack, sums + slack
             for n, rows_of in enumerate(excluded):
                 low[rows_of, n] = high[rows_of, n] = -np.inf
@@ -128,38 +110,50 @@ def search_shard(
                 break
     for n in range(len(queries)):
         members = np.flatnonzero(possible[:, n])
-        scores = values[members].astype(np.int64) @ queries[n].astype(np.int64)
-        best = np.lexsort((members, -scores))[:k]
+        scores = values[members].astype(exact) @ queries[n].astype(exact)
+        # Members are in the order of their ids, and a stable sort leaves equal scores so.
+        best = np.argsort(-scores, kind="stable")[:k]
         yield members[best], scores[best]
 
 
+def _floors(batch: pa.RecordBatch) -> np.ndarray:
+    values = wide_scores.floors(batch.column("vector"), SCALE)
+    return values.reshape(batch.num_rows, len(values) // batch.num_rows)
+
+
 def _search(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    held: tuple = (None, None)
+    """The best rows of each shard for the queries sent to it; a shard's vectors come first, and its index is built once."""
+    key, parts, shard = None, [], None
     for batch in batches:
-        for n in range(batch.num_rows):
-            (row,) = batch.slice(n, 1).to_pylist()
-            width, key = row["dim"], (row["dim"], row["shard"])
-            if held[0] != key:
-                ids = np.frombuffer(row["ids"], np.int64)
-                values = np.frombuffer(row["vectors"], np.int32).reshape(len(ids), width)
-                rest = np.frombuffer(row["rest"], np.float64).reshape(LEVELS + 1, len(ids))
-                index = np.frombuffer(row["postings"], np.int32), np.frombuffer(row["ends"], np.int64), rest
-                held = key, (ids, values, index)
-            ids, values, index = held[1]
-            own = np.frombuffer(row["query_ids"], np.int64)
-            numbers = np.frombuffer(row["numbers"], np.int64)
-            queries = np.frombuffer(row["queries"], np.int32).reshape(len(own), width)
-            found = list(search_shard(ids, values, index, queries, own, k))
-            count = [len(rows) for rows, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(numbers, count)),
-                    pa.array(np.repeat(own, count)),
-                    pa.array(np.concatenate([ids[rows] for rows, _ in found])),
-                    pa.array(np.concatenate([scores for _, scores in found])),
-                ],
-                ["number", "query_id", "vec_id", "score"],
-            )
+        keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "kind")])
+        cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            part, here = batch.slice(a, b - a), tuple(keys[:2, a].tolist())
+            if here != key:
+                key, parts, shard = here, [], None
+            if keys[2, a] == VECTORS:
+                parts.append((part.column("vec_id").to_numpy(), _floors(part)))
+                continue
+            if shard is None:
+                if not parts:
+                    continue
+                ids, values = (np.concatenate(column) for column in zip(*parts, strict=True))
+                ids, values = ids[by_id := np.argsort(ids, kind="stable")], values[by_id]
+                parts, shard = [], (ids, values, build_shard(values))
+            for first in range(0, part.num_rows, BLOCK_QUERIES):
+                yield _answers(part.slice(first, BLOCK_QUERIES), *shard, k)
+
+
+def _answers(block: pa.RecordBatch, ids: np.ndarray, values: np.ndarray, index: tuple, k: int) -> pa.RecordBatch:
+    own, numbers = block.column("vec_id").to_numpy(), block.column("number").to_numpy()
+    found = list(search_shard(ids, values, index, _floors(block), own, k))
+    count = [len(rows) for rows, _ in found]
+    score, digits = wide_scores.columns([s for _, scores in found for s in scores.tolist()])
+    members = np.concatenate([ids[rows] for rows, _ in found])
+    columns = [pa.array(np.repeat(numbers, count)), pa.array(np.repeat(own, count)), pa.array(members), score, digits]
+    return pa.RecordBatch.from_arrays(columns, ["number", "query_id", "vec_id", "score", "digits"])
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -168,32 +162,25 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     The score is the inner product of the vectors floor(1024 * x), ties go to the smaller id, and a row is
     no candidate for its own id; all candidates are returned if there are fewer than k.  Vectors that
     are NULL or hold NULL or non-finite components, and rows without id, take no part.  Vectors are
-    compared with those of their own length only.  Components beyond +-2^26 after flooring are cut to
-    that.  Repeated rows are candidates each, and one query if their vectors are equal.
+    compared with those of their own length only.  Components may be of any size: scores are whole numbers,
+    ordered exactly, and shown as the end of the range where they are beyond a long.  Repeated rows are
+    candidates each, and one query if their vectors are equal.  Other columns do not matter.
+
+    A shard's vectors are shuffled once.  The stated queries are sent to every shard, row by row.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable("embedding"))
-    rows = rows.select("vec_id", quantised("embedding").alias("vector"), F.size("embedding").alias("dim"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable("vector")).withColumn("dim", F.size("vector"))
     rows = keep(rows.withColumn("number", F.monotonically_increasing_id()))
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim", "vector").agg(F.min("number").alias("number"))
+    asked = keep(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "dim", "vector").agg(F.min("number").alias("number")))
     sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("shards"))
-    asked_sizes = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))
-    sizes = keep(sizes.join(asked_sizes, "dim"))
-    spot = F.xxhash64("number")
-    shards = rows.join(sizes, "dim").withColumn("shard", F.pmod(spot, F.col("shards")).cast("int"))
-    index = keep(
-        shards.groupBy("dim", "shard").applyInArrow(
-            _pack_shard, "dim int, shard int, ids binary, vectors binary, postings binary, ends binary, rest binary"
-        )
-    )
-    blocks = asked.join(sizes, "dim").withColumn("block", F.pmod(spot, F.col("blocks")).cast("int"))
-    blocks = blocks.groupBy("dim", "block").applyInArrow(_pack_queries, "dim int, query_ids binary, numbers binary, queries binary")
-    # Blocks of the stated queries go to every shard; the shards stay where they are.
-    asking = keep(blocks).join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    meeting = index.join(asking.select("dim", "shard", "query_ids", "numbers", "queries"), ["dim", "shard"])
-    found = meeting.repartition("dim", "shard").sortWithinPartitions("dim", "shard").mapInArrow(
-        lambda batches: _search(batches, k), "number long, query_id long, vec_id long, score long"
-    )
-    best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+    sizes = keep(sizes.join(asked.select("dim").distinct(), "dim"))
+    shard = F.pmod(F.xxhash64("number"), F.col("shards")).cast("int")
+    columns = ["number", "vec_id", "vector"]
+    placed = rows.join(sizes, "dim").select("dim", shard.alias("shard"), F.lit(VECTORS).alias("kind"), *columns)
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    sent = asked.join(sizes, "dim").select("dim", everywhere.alias("shard"), F.lit(QUERIES).alias("kind"), *columns)
+    meeting = placed.union(sent).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = meeting.mapInArrow(lambda batches: _search(batches, k), "number long, query_id long, vec_id long, score long, digits string")
+    best = Window.partitionBy("number").orderBy(*wide_scores.falling(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
