@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,3 +133,17 @@ def test_every_window_has_its_anchor():
     assert sorted(i for a, b in zip(head, tail) for i in range(a, b + 1)) == windows
     assert ((tail <= place) & (place + seed_extend.ANCHOR_WORDS <= head + 20)).all()
     assert (np.searchsorted(words.first, place, "right") - 1 == text).all()
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_many_equal_rows(spark, hot):
+    """Equal rows are one document: work grows with their number, and each gets the same result."""
+    text = " ".join(f"w{n}" for n in range(400))
+    rows = [(hot, text)] * 20_000 + [(3, " ".join(f"w{n}" for n in range(50, 100)) + " end"), (9, "x " + text), (9, "x " + text)]
+    start = time.perf_counter()
+    got = seed_extend.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert time.perf_counter() - start < 120
+    found = Counter((r.doc_id, r.n_words, r.n_removed) for r in got)
+    # 3 comes first; 7 has the rest; without an id the row comes last and 9 keeps what 7 would.
+    want = {(7, 400, 50): 20_000, (3, 51, 0): 1, (9, 401, 400): 2} if hot else {(None, 400, 400): 20_000, (3, 51, 0): 1, (9, 401, 50): 2}
+    assert found == want

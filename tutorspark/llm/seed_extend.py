@@ -348,17 +348,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     The ids are counted at once, when this is called: where no two rows share one, hashes need not be sent.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("did")).filter("did IS NOT NULL").groupBy("did").count()
+    given, words = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`").cast("string")
+    ids = docs.groupBy(given.alias("did")).count()
     repeated = (ids.agg(F.max("count")).first()[0] or 0) > 1
-    text_hash = F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 1)
-    documents = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
+    text_hash = F.shiftrightunsigned(F.xxhash64(words), 1)
+    rows = docs.select(
+        F.coalesce(given, F.lit(NO_ID)).alias("did"),
         # Tells rows with one id apart; the sign says that there is an id, so that NULL comes last.
-        F.when(F.col(id_col).cast("long").isNull(), text_hash)
-        .otherwise((text_hash if repeated else F.lit(0)).bitwiseOR(F.lit(HAS_ID)))
-        .alias("th"),
-        F.col(text).cast("string").alias("text"),
+        F.when(given.isNull(), text_hash).otherwise((text_hash if repeated else F.lit(0)).bitwiseOR(F.lit(HAS_ID))).alias("th"),
+        words.alias("text"),
     )
+    # Repeated rows are settled as one document; only the cuts found for it go to each of them.
+    documents = rows.dropDuplicates(["did", "th"]) if repeated else rows
 
     def settled(rows: DataFrame, step: Callable[[Columns], Columns]) -> DataFrame:
         return rows.repartition("route").sortWithinPartitions("route").mapInArrow(_by_route(step), ROW)
@@ -377,7 +378,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     originals = settled(stretches.filter(~is_cut).drop("aux"), _settle_originals)
     doubtful = documents.join(of_document(known.union(originals), F.struct("kind", "s", "e"), "found"), ["did", "th"])
     windows = settled(doubtful.mapInArrow(lambda b: _windows(b, threshold), ROW), lambda rows: _settle_windows(rows, threshold))
-    cut = documents.join(of_document(windows, F.struct("s", "e"), "cuts"), ["did", "th"], "left")
+    cut = rows.join(of_document(windows, F.struct("s", "e"), "cuts"), ["did", "th"], "left")
     schema = "did long, th long, kept_text string, n_words long, n_removed long, repeats array<struct<start:int,end:int>>"
     kept = cut.mapInArrow(_kept, schema)
     doc_id = F.when(F.col("th") < 0, F.col("did"))
