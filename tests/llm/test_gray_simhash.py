@@ -143,3 +143,10 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 7)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
+
+
+def test_own_columns_are_kept(spark):
+    rows = [(1, "a b c d", 5, "x", 2), (2, "a b c d", 6, "y", 3), (None, "p q r s", 7, "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash string, `a.b` int")
+    got = gray_simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, (df.collect()[0], df.collect()[2])))

@@ -2,6 +2,7 @@
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -124,3 +125,21 @@ def test_code_switching(spark):
     words = {lang: sum(r.words for r in row.lang_runs if r.lang == lang) for lang in ("en", "de")}
     assert words["en"] >= 55 and words["de"] >= 35
     assert len(row.lang_runs) == row.n_switches + 1
+
+
+@pytest.mark.parametrize("ids", [[n] for n in range(9)] + [list(range(9))])
+def test_rows_of_one_id_are_drawn_one_by_one(spark, ids):
+    """Whatever the id, a language gets its share of the sample."""
+    fine = [i for i in ids if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"mot {n} un deux", "fr", 1) for n in range(2900 // len(ids)) for i in ids] + [(n, f"word {n}", "en", 1) for n in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int")
+    sample = language_crf.training_sample(df, "doc_id", "text", "lang")
+    found = Counter(lang for lang, _ in sample)
+    assert found["fr"] == (min(language_crf.SAMPLE_DOCS, 2900 // len(ids) * len(fine)) if fine else 0)
+    assert found["en"] == sum(zlib.crc32(str(n).encode()) % 5 != 0 for n in range(100, 130))
+
+
+def test_equal_rows_are_learned(spark):
+    rows = [(1, "le même texte", "fr")] * 3000 + [(n, f"word {n}", "en") for n in range(100, 130)]
+    sample = language_crf.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert Counter(lang for lang, _ in sample)["fr"] == language_crf.SAMPLE_DOCS

@@ -56,7 +56,8 @@ def plain_copies(rows):
         cells = {}
         for doc, text, source in rows:
             if source == s:
-                h = int(hashlib.md5(str("" if doc is None else doc).encode()).hexdigest()[:9], 16)
+                key = f"{'' if doc is None else doc}\n{text or ''}"
+                h = int(hashlib.md5(key.encode()).hexdigest()[:9], 16)
                 cells.setdefault(h, []).append((doc, text))
         total, open_cells = 0, size[s] > 0
         for h in sorted(cells):

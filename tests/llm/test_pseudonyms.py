@@ -181,3 +181,9 @@ def test_edges(spark, no_documents):
 def test_query(spark):
     got = llm_queries()["op9_pseudonyms"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 1000 and sum(r.n_values for r in got) > 30
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, `a.b` int")
+    got = pseudonyms.pseudonymise(df, "key").collect()
+    assert [(r.doc_id, r.text, r["a.b"]) for r in got] == [(1, "a", 3)]

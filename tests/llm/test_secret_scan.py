@@ -177,3 +177,9 @@ def test_index_stays_within_texts():
     index.build(data, offsets)
     assert index.candidates(trigram_query(BASE_RULES[1])).tolist() == [4]
     assert np.array_equal(index.candidates(frozenset()), np.arange(5))
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, `a.b` int")
+    got = secret_scan.scan_texts(df, secret_scan.BASE_RULES).collect()
+    assert [(r.doc_id, r.text, r["a.b"]) for r in got] == [(1, "a", 3)]

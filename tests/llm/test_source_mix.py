@@ -43,6 +43,31 @@ def test_a_hot_source_and_small_ones(spark):
     assert all(abs(taken[r.source] - r.target) <= longest for r in plan)
 
 
+@pytest.mark.parametrize("hot", ["a third without id", "one id for all"])
+def test_shared_ids_draw_one_by_one(spark, hot):
+    """Sources come as near to their targets as with ids of their own."""
+    rows = [(None if n % 3 == 0 else n, f"{n} " + "w " * (n % 40), f"s{n % 4}") for n in range(6000)]
+    if hot == "one id for all":
+        rows = [(7, text, source) for _, text, source in rows]
+    plan = check(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), rows)
+    taken = {}
+    for r in plan:
+        taken[r.source, r.target] = taken.get((r.source, r.target), 0) + r.taken
+    assert all(abs(words_ / target - 1) < 0.01 for (_, target), words_ in taken.items())
+
+
+def test_own_columns_are_kept(spark):
+    rows = [(n, "a b c", "s", n, n, n, "x", n) for n in range(50)] + [(60, "a " * 900, "t", 60, 60, 60, "x", 60)]
+    names = "doc_id long, text string, source string, _h long, _target long, `a.b` long, Text string, _copies long"
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame(rows, names)
+        mixed = source_mix.mix(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert mixed and all(r["_h"] == r["_target"] == r["a.b"] == r["_copies"] == r["doc_id"] and r["Text"] == "x" for r in mixed)
+
+
 def test_budgets_are_nested(spark):
     """What a smaller budget takes, a larger one takes, too."""
     rows = [(f"d{n}", "s", (n * 37) % 50 + 1, n * 2654435761 % (1 << 36)) for n in range(500)]

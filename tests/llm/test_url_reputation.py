@@ -94,37 +94,54 @@ def test_posterior(spark):
     got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, outcome int")).collect()}
 
     def strengths(children):
-        """children: n, k, prior mean, pages behind it, parent's mean."""
-        fit = [(n, k, m) for n, k, _, _, m in children.values() if n]
-        noise = sum(m * (1 - m) for _, _, m in fit)
-        room = sum(m * (1 - m) * (n - 1) for n, _, m in fit)
-        rho = (sum(n * (k / n - m) ** 2 for n, k, m in fit) - noise) / room if room > 0 else 0.5
-        rho = min(max(rho, 0.001), 0.999)
-        return {name: 1 / (rho / (1 - rho) + 1 / known) for name, (_, _, _, known, _) in children.items()}
-
-    suffix = {"net": (30, 11, 5.5 / 6, 6.0, 16.5 / 36), "org": (5, 5, 11.5 / 31, 31.0, 16.5 / 36)}
+        """children: n, k, prior mean, pages behind it, parent's mean, labelled children of the parent."""
+        fit = [(n, k, m, (c - 1) / c) for n, k, _, _, m, c in children.values() if n]
+        noise = sum(m * (1 - m) * free for _, _, m, free in fit)
+        room = sum(m * (1 - m) * (n - 1) * free for n, _, m, free in fit)
+        rho = (sum(n * (k / n - m) ** 2 for n, k, m, _ in fit) - noise) / room if room > 0 else 0
+        rho = min(max(rho, 1 / (len(fit) + 1)), 0.999)
+        return {name: 1 / (rho / (1 - rho) + 1 / known) for name, (_, _, _, known, _, _) in children.items()}
+
+    suffix = {"net": (30, 11, 5.5 / 6, 6.0, 16.5 / 36, 2), "org": (5, 5, 11.5 / 31, 31.0, 16.5 / 36, 2)}
     s = strengths(suffix)
     # Each suffix has one domain, so nothing but the suffix's own prior tells of it.
     domain = {}
     for name, up in (("d.net", "net"), ("f.org", "org")):
-        n, k, m, _, _ = suffix[up]
-        domain[name] = n, k, m, s[up], (k + s[up] * m) / (n + s[up])
+        n, k, m, *_ = suffix[up]
+        domain[name] = n, k, m, s[up], (k + s[up] * m) / (n + s[up]), 1
     s = strengths(domain)
+    assert s["d.net"] < 1 and s["f.org"] < 1
     host = {}
     for name, (n, k) in counts.items():
         parent = name.split(".", 1)[1]
         known = domain[parent][0] - n + s[parent]
         before = s[parent] * domain[parent][2]
         pooled = (domain[parent][1] + before) / (domain[parent][0] + s[parent])
-        host[name] = n, k, (domain[parent][1] - k + before) / known, known, pooled
+        host[name] = n, k, (domain[parent][1] - k + before) / known, known, pooled, 2 if parent == "d.net" else 1
     s = strengths(host)
-    for name, (n, k, m, _, _) in host.items():
-        a, b = s[name] * m + k, s[name] * (1 - m) + n - k
+    for name, (n, k, m, *_) in host.items():
+        a, b = s[name] * m + k + 0.5, s[name] * (1 - m) + n - k + 0.5
         low = a / (a + b) - 1.645 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
         assert got[name].posterior_mean == pytest.approx(a / (a + b)) and got[name].lower_bound == pytest.approx(low)
         assert (got[name].n_labelled, got[name].n_bad) == (n, k)
 
 
+@pytest.mark.parametrize("hosts, domains", [(1, 1), (50, 1), (50, 50)])
+def test_one_labelled_suffix_says_nothing_of_others(spark, hosts, domains):
+    """Fifty bad pages below net, on one host or many: another suffix's host is allowed, net's own are not."""
+    urls = [f"http://h{n % hosts}.d{n % domains}.net/x/{n}" for n in range(50)] + ["http://x.org/", "http://h0.d0.net/y", "http://z"]
+    df = spark.createDataFrame([(n, u, 1) for n, u in enumerate(urls)], "page_id long, url string, `a.b` int")
+    got = url_reputation.judge_urls(df, [("block", "net", "/x/")])
+    assert got.columns[:3] == ["page_id", "url", "a.b"]
+    verdicts = {r.url: r.verdict for r in got.collect()}
+    assert verdicts["http://x.org/"] == verdicts["http://z"] == "allow" and verdicts["http://h0.d0.net/y"] == "block"
+
+
+def test_no_label_at_all(spark):
+    df = spark.createDataFrame([(1, "http://a.net/"), (2, None)], "page_id long, url string")
+    assert {r.verdict for r in url_reputation.judge_urls(df, []).collect()} == {"allow"}
+
+
 def test_a_crowded_host(spark):
     rows = [("hot.net", n % 2) for n in range(3000)] + [(f"h{n}.net", 1) for n in range(50)]
     got = url_reputation.host_reputation(spark.createDataFrame(rows, "host string, outcome int").repartition(8)).collect()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tutorspark.llm.arrow_text import ASCII_LOWER, IS_SPACE, first_of, runs, slices, spread, utf8
 from tutorspark.llm.components import components, forest
-from tutorspark.llm.storage import keep
+from tutorspark.llm.storage import keep, neutral
 
 SEED = 42
 #: Bytes of text whose shingles are hashed at once; their bits take sixteen times as much.
@@ -279,18 +279,21 @@ def drop_near_duplicates(
     """The rows of ``docs`` with the smallest id of their component, one of each component.
 
     Among rows that share this id the one with the least hash of its text stays, and equal rows
-    stay once.  Rows without id stay only where a component has no others.  Ids must be integers.
+    stay once.  Rows without id stay only where a component has no others.  Ids must be integers; other
+    columns may have any name.
     """
+    plain, (number, words) = neutral(docs, id_col, text)
     keys = {
-        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-        "_hash": F.xxhash64(F.col(text), F.col(id_col).isNull()),
+        "_id": F.coalesce(F.col(number).cast("long"), F.lit(NO_ID)),
+        "_hash": F.xxhash64(F.col(words), F.col(number).isNull()),
     }
-    rows = docs.withColumns(keys)
+    rows = plain.withColumns(keys)
     row = F.struct("_id", "_hash")
-    prints = keep(fingerprints(rows.select(row.alias("doc_id"), text), "doc_id", text, shingle))
+    prints = keep(fingerprints(rows.select(row.alias("doc_id"), words), "doc_id", words, shingle))
     least = label_components(prints, distance).select("component_id.*").distinct()
     # Both sides meet by the key that the repeated rows are told by, so the texts are shuffled once.
-    return rows.join(least, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    kept = rows.join(least, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def hex_digits(fingerprint: Column) -> Column:

@@ -23,8 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorspark.llm.arrow_text import ASCII_LOWER, first_of, hash_runs, runs, slices, spread, utf8
+from tutorspark.llm.storage import exactly
 
 SAMPLE_DOCS = 400
+#: Languages that are learned, those of the most documents: more are no languages but dirt.
+MOST_LANGUAGES = 200
 SAMPLE_WORDS = 64
 LONGEST_WORD = 64
 LEXICON_WORDS = 150
@@ -315,19 +318,23 @@ def training_sample(docs: DataFrame, id_col: str, text: str, lang: str) -> list[
     """At most SAMPLE_DOCS documents of each language, and of each at most SAMPLE_WORDS words from a
     place drawn by hash; rows without id, language or text, and held-out rows, take no part.
 
-    Languages are counted first (one row each comes to the driver), so that the draw is a plain filter
-    where the texts are read, and only about twice the sample leaves those tasks.
+    Languages are counted first (one row each comes to the driver, MOST_LANGUAGES at most), so that the draw is a
+    plain filter where the texts are read, and only about twice the sample leaves those tasks.  Rows draw by id and
+    text, so that rows of one id are drawn one by one; the least draw of a language is always in.
     """
-    known = docs.filter(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id_col)))
-    counts = known.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counts:
-        return []
     draws = 1 << 30
-    below = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.lang, int(2 * SAMPLE_DOCS * draws / r.n))])
+    number, words, name = exactly([id_col, text, lang])
+    known = docs.filter(number.isNotNull() & name.isNotNull() & words.isNotNull() & ~held_out(number))
     drawn = known.select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(draws)).alias("h")
+        name.cast("string").alias("lang"), words.cast("string").alias("text"), F.pmod(F.xxhash64(number, words, F.lit("draw")), F.lit(draws)).alias("h")
     )
-    chosen = drawn.filter(F.col("h") < below[F.col("lang")])
+    counts = drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return []
+    limits = {r.lang: max(int(2 * SAMPLE_DOCS * draws / r.n), r.least + 1) for r in counts}
+    below = F.create_map(*[F.lit(x) for item in sorted(limits.items()) for x in item])
+    chosen = drawn.filter(F.col("h") < F.try_element_at(below, F.col("lang")))
     words = F.split(F.trim("text"), r"[\x20\x09-\x0D]+")
     start = F.pmod(F.col("h"), F.greatest(F.size("words") - SAMPLE_WORDS, F.lit(0)) + 1) + 1
     pieces = chosen.withColumn("words", words).withColumn("piece", F.slice("words", start.cast("int"), SAMPLE_WORDS))
@@ -396,7 +403,7 @@ def label_languages(docs: DataFrame, field: Field | None, text: str = "text", wi
                 new += [pa.array(spans, run)] * with_runs
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + new, [*carried, *types])
 
-    read = docs.select(*dict.fromkeys([*carried, text]))
+    read = docs.select(*exactly(dict.fromkeys([*carried, text])))
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
     return read.mapInArrow(kernel, ", ".join(schema + [f"{c} {t}" for c, t in types.items()]))
 
@@ -405,5 +412,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     """Fit on the rows that are not held out, then label every row: doc_id, held_out, and what
     ``label_languages`` adds but the runs.  A row without id is not held out, and not learned from."""
     field = fit_on(docs, id_col, text, lang)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    number, words = exactly([id_col, text])
+    narrow = docs.select(number.alias("doc_id"), words.cast("string").alias("text"))
     return label_languages(narrow, field, with_runs=False, columns=["doc_id"]).withColumn("held_out", held_out(F.col("doc_id")))

@@ -31,32 +31,35 @@ WITH located AS (
   FROM (SELECT *, array_to_string(p[-2:], '.') AS two FROM parts)
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (
-  SELECT suffix, n, k, ((bad - k + 0.5) / (pages - n + 1.0))::DOUBLE AS m, pages - n + 1.0::DOUBLE AS known, ((bad + 0.5) / (pages + 1.0))::DOUBLE AS pooled
-  FROM (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix), (SELECT sum(n) AS pages, sum(k) AS bad FROM domains)
+  SELECT suffix, n, k, c, ((bad - k + 0.5) / (pages - n + 1.0))::DOUBLE AS m, pages - n + 1.0::DOUBLE AS known, ((bad + 0.5) / (pages + 1.0))::DOUBLE AS pooled
+  FROM (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
+       (SELECT sum(n) AS pages, sum(k) AS bad, count(DISTINCT suffix) FILTER (n > 0) AS c FROM domains)
 ), spread_s AS (
-  SELECT r / (1 - r) AS spread FROM (SELECT least(greatest(CASE WHEN room > 0 THEN (seen - noise) / room ELSE 0.5 END, 0.001::DOUBLE), 0.999::DOUBLE) AS r FROM (
-    SELECT coalesce(sum(n * pow(k / n::DOUBLE - pooled, 2)) FILTER (n > 0), 0) AS seen, coalesce(sum(pooled * (1 - pooled)) FILTER (n > 0), 0) AS noise,
-           coalesce(sum(pooled * (1 - pooled) * (n - 1)) FILTER (n > 0), 0) AS room FROM suffixes))
+  SELECT r / (1 - r) AS spread FROM (SELECT least(greatest(CASE WHEN room > 0 THEN (seen - noise) / room ELSE 0 END, 1 / (n + 1.0)::DOUBLE), 0.999::DOUBLE) AS r FROM (
+    SELECT coalesce(sum(n * pow(k / n::DOUBLE - pooled, 2)) FILTER (n > 0), 0) AS seen, coalesce(sum(pooled * (1 - pooled) * (c - 1) / c) FILTER (n > 0), 0) AS noise,
+           coalesce(sum(pooled * (1 - pooled) * (n - 1) * (c - 1) / c) FILTER (n > 0), 0) AS room, count(*) FILTER (n > 0) AS n FROM suffixes))
 ), suffixes2 AS (
   SELECT *, 1 / (spread + 1 / known) AS s FROM suffixes, spread_s
 ), domains2 AS (
-  SELECT d.domain, d.n, d.k, (u.k - d.k + s * u.m) / (u.n - d.n + s) AS m, u.n - d.n + s AS known, (u.k + s * u.m) / (u.n + s) AS pooled FROM domains d JOIN suffixes2 u USING (suffix)
+  SELECT d.domain, d.n, d.k, (SELECT count(*) FROM domains o WHERE o.suffix = d.suffix AND o.n > 0) AS c,
+         (u.k - d.k + s * u.m) / (u.n - d.n + s) AS m, u.n - d.n + s AS known, (u.k + s * u.m) / (u.n + s) AS pooled FROM domains d JOIN suffixes2 u USING (suffix)
 ), spread_d AS (
-  SELECT r / (1 - r) AS spread FROM (SELECT least(greatest(CASE WHEN room > 0 THEN (seen - noise) / room ELSE 0.5 END, 0.001::DOUBLE), 0.999::DOUBLE) AS r FROM (
-    SELECT coalesce(sum(n * pow(k / n::DOUBLE - pooled, 2)) FILTER (n > 0), 0) AS seen, coalesce(sum(pooled * (1 - pooled)) FILTER (n > 0), 0) AS noise,
-           coalesce(sum(pooled * (1 - pooled) * (n - 1)) FILTER (n > 0), 0) AS room FROM domains2))
+  SELECT r / (1 - r) AS spread FROM (SELECT least(greatest(CASE WHEN room > 0 THEN (seen - noise) / room ELSE 0 END, 1 / (n + 1.0)::DOUBLE), 0.999::DOUBLE) AS r FROM (
+    SELECT coalesce(sum(n * pow(k / n::DOUBLE - pooled, 2)) FILTER (n > 0), 0) AS seen, coalesce(sum(pooled * (1 - pooled) * (c - 1) / c) FILTER (n > 0), 0) AS noise,
+           coalesce(sum(pooled * (1 - pooled) * (n - 1) * (c - 1) / c) FILTER (n > 0), 0) AS room, count(*) FILTER (n > 0) AS n FROM domains2))
 ), domains3 AS (
   SELECT *, 1 / (spread + 1 / known) AS s FROM domains2, spread_d
 ), hosts2 AS (
-  SELECT h.host, h.n, h.k, (d.k - h.k + s * d.m) / (d.n - h.n + s) AS m, d.n - h.n + s AS known, (d.k + s * d.m) / (d.n + s) AS pooled FROM hosts h JOIN domains3 d USING (domain)
+  SELECT h.host, h.n, h.k, (SELECT count(*) FROM hosts o WHERE o.domain = h.domain AND o.n > 0) AS c,
+         (d.k - h.k + s * d.m) / (d.n - h.n + s) AS m, d.n - h.n + s AS known, (d.k + s * d.m) / (d.n + s) AS pooled FROM hosts h JOIN domains3 d USING (domain)
 ), spread_h AS (
-  SELECT r / (1 - r) AS spread FROM (SELECT least(greatest(CASE WHEN room > 0 THEN (seen - noise) / room ELSE 0.5 END, 0.001::DOUBLE), 0.999::DOUBLE) AS r FROM (
-    SELECT coalesce(sum(n * pow(k / n::DOUBLE - pooled, 2)) FILTER (n > 0), 0) AS seen, coalesce(sum(pooled * (1 - pooled)) FILTER (n > 0), 0) AS noise,
-           coalesce(sum(pooled * (1 - pooled) * (n - 1)) FILTER (n > 0), 0) AS room FROM hosts2))
+  SELECT r / (1 - r) AS spread FROM (SELECT least(greatest(CASE WHEN room > 0 THEN (seen - noise) / room ELSE 0 END, 1 / (n + 1.0)::DOUBLE), 0.999::DOUBLE) AS r FROM (
+    SELECT coalesce(sum(n * pow(k / n::DOUBLE - pooled, 2)) FILTER (n > 0), 0) AS seen, coalesce(sum(pooled * (1 - pooled) * (c - 1) / c) FILTER (n > 0), 0) AS noise,
+           coalesce(sum(pooled * (1 - pooled) * (n - 1) * (c - 1) / c) FILTER (n > 0), 0) AS room, count(*) FILTER (n > 0) AS n FROM hosts2))
 )
 , bounds AS (
   SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound
-  FROM (SELECT host, s * m + k AS a, s * (1 - m) + (n - k) AS b FROM (SELECT *, 1 / (spread + 1 / known) AS s FROM hosts2, spread_h))
+  FROM (SELECT host, s * m + k + 0.5 AS a, s * (1 - m) + (n - k) + 0.5 AS b FROM (SELECT *, 1 / (spread + 1 / known) AS s FROM hosts2, spread_h))
 )
 SELECT page_id, l.host, path, rule, CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow' WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM labelled l JOIN bounds USING (host)
@@ -65,7 +68,7 @@ FROM labelled l JOIN bounds USING (host)
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 9))::BIGINT AS h FROM documents
+         ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 9))::BIGINT AS h FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
   FROM sized GROUP BY source

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tutorspark.llm.arrow_text import slices, utf8
+from tutorspark.llm.storage import exactly
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -394,4 +395,4 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", values: str = "p
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)], [*carried, values])
 
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
-    return docs.select(*carried).mapInArrow(kernel, ", ".join([*schema, f"`{values}` array<struct<start:int,end:int,kind:string>>"]))
+    return docs.select(*exactly(carried)).mapInArrow(kernel, ", ".join([*schema, f"`{values}` array<struct<start:int,end:int,kind:string>>"]))

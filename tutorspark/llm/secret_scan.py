@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.llm.arrow_text import ASCII_LOWER, slices, utf8
+from tutorspark.llm.storage import exactly
 
 #: Sets of strings larger than this are not followed further.
 MAX_STRINGS = 64
@@ -281,7 +282,7 @@ def _scan(docs: DataFrame, rules: Sequence[Rule], text: str, carried: Sequence[s
                     out.append(pa.array(lists, pa.list_(span)))
                 yield pa.RecordBatch.from_arrays(out, carried + [spans] * (spans is not None))
 
-    read = docs.select(*dict.fromkeys([*carried, text]))
+    read = docs.select(*exactly(dict.fromkeys([*carried, text])))
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
     return read.mapInArrow(kernel, ", ".join(schema + [f"`{spans}` {SPAN}"] * (spans is not None)))
 

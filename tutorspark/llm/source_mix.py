@@ -1,6 +1,6 @@
 """Mix sources to target weights by nested hash thresholds, without a sort.
 
-Every row draws a hash of 36 bits from its id.  Words are summed by source and by the upper 12 bits;
+Every row draws a hash of 36 bits from its id and text.  Words are summed by source and by the upper 12 bits;
 running sums over these at most 4096 cells show in which cell the source's budget ends.  Only that
 cell is summed again by the next 12 bits, and the cell found there by the last 12.  A row is taken
 when its hash lies at or below its source's threshold.  A smaller budget gives a smaller threshold,
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tutorspark.llm.storage import keep
+from tutorspark.llm.storage import keep, neutral
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -24,9 +24,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(key: Column) -> Column:
-    """36 bits of the MD5 of the key; a NULL key draws as an empty one."""
-    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 9)
+def draw(key: Column, text: Column) -> Column:
+    """36 bits of the MD5 of key and text, so that only rows that are equal in both share a draw.
+
+    NULLs draw as empty ones.
+    """
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (key, text)]
+    digits = F.substring(F.md5(F.concat(parts[0], F.lit("\n"), parts[1]).cast("binary")), 1, 9)
     return F.conv(digits, 16, 10).cast("long")
 
 
@@ -105,7 +109,7 @@ def source_plan(rows: DataFrame) -> DataFrame:
 
 def _drawn(docs: DataFrame, id_col: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """The rows' ids, sources, sizes and hashes as a kept table, and the plan of their sources."""
-    columns = {"doc_id": F.col(id_col), "source": F.col(source), "size": word_count(F.col(text)), "h": draw(F.col(id_col))}
+    columns = {"doc_id": F.col(id_col), "source": F.col(source), "size": word_count(F.col(text)), "h": draw(F.col(id_col), F.col(text))}
     rows = keep(docs.select(*[c.alias(name) for name, c in columns.items()]))
     return rows, source_plan(rows)
 
@@ -131,9 +135,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
 
     One row per input row; other columns are not carried.  Sources share 100 % of all words by the
     weights 1, 2, 3, ... ; see ``targets``.  A NULL text has no words; a source without words has
-    target 0.  A NULL source is a source of its own.  Rows with one id draw one hash and so are taken
-    or left together.  An empty table gives an empty one.
+    target 0.  A NULL source is a source of its own.  Rows with equal id and text draw one hash and so are
+    taken or left together; rows that share the id alone, or have none, draw one by one.  Texts of any length are
+    hashed whole.  An empty table gives an empty one.
     """
+    docs, (id_col, text, source) = neutral(docs, id_col, text, source)
     rows, plan = _drawn(docs, id_col, text, source)
     return _copies(rows, plan, "source", "h").select(
         "doc_id",
@@ -147,12 +153,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the plan takes it, with all its columns.
+    """The mixed corpus: every row of ``docs`` as often as the plan takes it, with all its columns, whatever their names.
 
     A source without words has no budget to end anywhere: its rows are left as they are, once each.
     """
-    _, plan = _drawn(docs, id_col, text, source)
-    counted = _copies(docs.withColumn("_h", draw(F.col(id_col))), plan, source, "_h")
+    plain, (id_col, text, source) = neutral(docs, id_col, text, source)
+    _, plan = _drawn(plain, id_col, text, source)
+    counted = _copies(plain.withColumn("_h", draw(F.col(id_col), F.col(text))), plan, source, "_h")
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies")).cast("int")
     repeated = counted.withColumn("_times", times).filter("_times > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    mixed = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return mixed.select(*plain.columns).toDF(*docs.columns)

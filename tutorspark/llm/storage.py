@@ -1,11 +1,13 @@
-"""Tables kept between jobs, in the folder that the cluster shares."""
+"""Tables kept between jobs, in the folder that the cluster shares, and columns by any name."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +33,14 @@ def drop_kept(spark: SparkSession) -> None:
     """Delete this application's kept tables, when no frame built on them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exactly(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, dots and back-ticks included."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def neutral(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """The frame with columns c0, c1, ..., which no name of an operator's own can meet, and the new names of some."""
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in wanted]

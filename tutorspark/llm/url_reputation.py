@@ -4,8 +4,10 @@ Labelled pages give each host a count of pages and of bad pages.  The bad rate o
 distribution whose prior comes from the other hosts of its registered domain, whose prior comes from
 the other domains of its public suffix, and that from all other suffixes; a host's own pages count
 once.  How much a level shrinks is estimated from the data: the spread of the children's rates around
-their parent's mean, beyond what binomial noise explains, by the method of moments.  A prior is never
-worth more than the pages it was learned from.  A page without a rule is blocked when the lower posterior bound of its host's bad
+their parent's mean, beyond what binomial noise explains, by the method of moments.  Few children cannot
+tell that there is no spread, so with c labelled children it is taken to be one part in c + 1 at least.  A prior is
+never worth more than the pages it was learned from, and never certain: half a page of either kind is added to
+every posterior.  A page without a rule is blocked when the lower posterior bound of its host's bad
 rate lies above a threshold, so a host that little is known about is allowed.
 """
 
@@ -25,7 +27,9 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 #: Public suffixes of two labels that are told apart from registered domains.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 SALTS = 32
-MIN_CORRELATION, MAX_CORRELATION = 0.001, 0.999
+MAX_CORRELATION = 0.999
+#: Pages of either kind that a posterior has besides its prior and its own pages.
+DOUBT = 0.5
 
 
 def url_host(url: Column) -> Column:
@@ -89,16 +93,25 @@ def below(children: DataFrame, parent_n: str, parent_k: str, n: str, k: str) ->
     return children.withColumns({"pooled": pooled, "prior": prior, "known": known}).drop("strength")
 
 
-def with_strength(children: DataFrame, n: str, k: str) -> DataFrame:
+def with_strength(children: DataFrame, n: str, k: str, siblings: str) -> DataFrame:
     """Add ``strength``, how many pages the prior is worth: by the over-dispersion of all children around
-    their parents' means, and by the pages behind this prior."""
+    their parents' means, and by the pages behind this prior.
+
+    ``siblings`` is the number of labelled children of the parent, which its mean was taken from: of one child
+    there is nothing to be seen, of c children c - 1 parts in c.
+    """
     m, pages = F.col("pooled"), F.col(n).cast("double")
-    noise = m * (1 - m)
-    seen = F.when(F.col(n) > 0, pages * F.pow(F.col(k) / pages - m, F.lit(2.0)))
-    excess = F.coalesce(F.sum(seen), F.lit(0.0)) - F.coalesce(F.sum(F.when(F.col(n) > 0, noise)), F.lit(0.0))
-    room = F.coalesce(F.sum(F.when(F.col(n) > 0, noise * (pages - 1))), F.lit(0.0))
-    raw = F.when(room > 0, excess / F.when(room > 0, room)).otherwise(0.5)
-    rho = F.least(F.greatest(raw, F.lit(MIN_CORRELATION)), F.lit(MAX_CORRELATION))
+    free = (F.col(siblings) - 1) / F.greatest(F.col(siblings), F.lit(1))
+    noise = m * (1 - m) * free
+    labelled = F.col(n) > 0
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(labelled, c)), F.lit(0.0))
+
+    excess = total(pages * F.pow(F.col(k) / F.when(labelled, pages) - m, F.lit(2.0))) - total(noise)
+    room = total(noise * (pages - 1))
+    seen = F.when(room > 0, excess / F.when(room > 0, room)).otherwise(0.0)
+    rho = F.least(F.greatest(seen, 1 / (F.count_if(labelled) + 1.0)), F.lit(MAX_CORRELATION))
     spread = children.agg((rho / (1 - rho)).alias("spread")).scalar()
     return children.withColumn("strength", 1 / (spread + 1 / F.col("known")))
 
@@ -115,21 +128,22 @@ def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
         F.count("outcome").alias("n_h"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k_h")
     )
     hosts = keep(hosts).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
-    domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n_h").alias("n_d"), F.sum("k_h").alias("k_d")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("k_d").alias("k_s"))
-    pages, bad = F.coalesce(F.sum("n_s"), F.lit(0)), F.coalesce(F.sum("k_s"), F.lit(0))
-    suffixes = suffixes.withColumn("n", suffixes.agg(pages).scalar()).withColumn("k", suffixes.agg(bad).scalar())
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n_h").alias("n_d"), F.sum("k_h").alias("k_d"), F.count_if(F.col("n_h") > 0).alias("c_h"))
+    domains = keep(domains)
+    suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("k_d").alias("k_s"), F.count_if(F.col("n_d") > 0).alias("c_d"))
+    whole = {"n": F.coalesce(F.sum("n_s"), F.lit(0)), "k": F.coalesce(F.sum("k_s"), F.lit(0)), "c_s": F.count_if(F.col("n_s") > 0)}
+    suffixes = suffixes.withColumns({name: suffixes.agg(c).scalar() for name, c in whole.items()})
     others, others_bad = F.col("n") - F.col("n_s"), F.col("k") - F.col("k_s")
     pooled = (F.col("k") + 0.5) / (F.col("n") + 1.0)
     suffixes = suffixes.withColumns({"pooled": pooled, "prior": (others_bad + 0.5) / (others + 1.0), "known": others + 1.0})
-    suffixes = with_strength(suffixes, "n_s", "k_s")
-    domains = keep(join_hot(domains, suffixes.select("suffix", "n_s", "k_s", "prior", "strength"), "suffix", F.col("domain")))
-    domains = with_strength(below(domains, "n_s", "k_s", "n_d", "k_d"), "n_d", "k_d")
+    suffixes = with_strength(suffixes, "n_s", "k_s", "c_s")
+    domains = keep(join_hot(domains, suffixes.select("suffix", "n_s", "k_s", "c_d", "prior", "strength"), "suffix", F.col("domain")))
+    domains = with_strength(below(domains, "n_s", "k_s", "n_d", "k_d"), "n_d", "k_d", "c_d")
     # A domain belongs to one suffix, so its name is a key.
-    hosts = keep(join_hot(hosts, domains.select("domain", "n_d", "k_d", "prior", "strength"), "domain", F.col("host")))
-    hosts = with_strength(below(hosts, "n_d", "k_d", "n_h", "k_h"), "n_h", "k_h")
-    a = F.col("strength") * F.col("prior") + F.col("k_h")
-    b = F.col("strength") * (1 - F.col("prior")) + (F.col("n_h") - F.col("k_h"))
+    hosts = keep(join_hot(hosts, domains.select("domain", "n_d", "k_d", "c_h", "prior", "strength"), "domain", F.col("host")))
+    hosts = with_strength(below(hosts, "n_d", "k_d", "n_h", "k_h"), "n_h", "k_h", "c_h")
+    a = F.col("strength") * F.col("prior") + F.col("k_h") + DOUBT
+    b = F.col("strength") * (1 - F.col("prior")) + (F.col("n_h") - F.col("k_h")) + DOUBT
     mean = a / (a + b)
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return hosts.select(
@@ -154,8 +168,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", thresh
     Columns of the input named host, path, rule, verdict or lower_bound are replaced.  Repeated rows
     are judged alike, an empty table gives an empty one.
     """
-    rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "rule_verdict", "verdict", "lower_bound")]
-    link = F.col(url)
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "rule_verdict", "verdict", "lower_bound")]
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
+    link = F.col("`" + url.replace("`", "``") + "`")
     located = pages.select(*rest, url_host(F.coalesce(link, F.lit(""))).alias("host"), url_path(F.coalesce(link, F.lit(""))).alias("path"))
     ruled = with_rules(located, rules)
     outcome = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
