@@ -19,7 +19,7 @@ def path(request, monkeypatch):
         monkeypatch.setattr(ranking, "COARSE_STEPS", 1)
         monkeypatch.setattr(ranking, "FINE_STEPS", 4)
         monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 5)
-        monkeypatch.setattr(ranking, "GINI_STEPS", 2)
+        monkeypatch.setattr(ranking, "CELL_STEPS", 2)
         monkeypatch.setattr(ranking, "SUMMARY_STEPS", 100)
     return request.param
 

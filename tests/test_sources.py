@@ -1,6 +1,8 @@
 """S1-S6, P1, P2, P4 on files and headers."""
 
+import csv
 import json
+import random
 
 import pytest
 from conftest import one, rows
@@ -12,7 +14,7 @@ from tutorspark.sources.load import load_dataset, load_frame
 from tutorspark.sources.normalize import apply_column_map, coerce_types, normalize_columns
 from tutorspark.sources.positions import number_rows, with_position
 from tutorspark.sources.profiles import parse_mapping_profile, profile_column_map
-from tutorspark.sources.readers import read_table
+from tutorspark.sources.readers import MALFORMED, read_csv, read_json, read_table
 from tutorspark.sources.writers import in_canonical_order, write_table
 
 SESSION_HEADER = "student_id,session_topic,session_date,session_duration,tutor_id"
@@ -256,3 +258,77 @@ def test_parquet_load(spark, table, tmp_path):
     table([("1", "math", 30.0)], "student_id string, session_topic string, session_duration double").write.parquet(path)
     typed = load_dataset(spark, path, "session").typed
     assert rows(typed.select(F.col("session_duration") + 1)) == [(31.0,)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+CELLS = ["", "plain", "two\nlines", 'say ""x""', "a,b", '""', "\n\n", "é\u2028ü", " x ", "}{", "1.50", "long " * 90]
+
+
+def test_quoted_line_breaks_in_many_tasks(spark, tmp_path, small_splits, plan_of):
+    """The same rows as Python reads, whatever lies on a split, with a header over two lines and two files."""
+    rng, want = random.Random(4), []
+    for name, end in (("a.csv", "\n"), ("b.csv", "\n")):
+        records = [[rng.choice(CELLS) for _ in range(3)] for _ in range(120)]
+        lines = ['"x\ny",z,"w ""q"""'] + [",".join(f'"{c}"' if set(c) & set(',"\n') else c for c in r) for r in records]
+        (tmp_path / name).write_text(end.join(lines) + end, encoding="utf-8")
+        with open(tmp_path / name, newline="", encoding="utf-8") as file:
+            header, *read = list(csv.reader(file))
+        assert header == ["x\ny", "z", 'w "q"']
+        want += [tuple(c or None for c in r) for r in read]
+    df = read_csv(spark, str(tmp_path), multi_line=True)
+    assert df.columns == ["x\ny", "z", 'w "q"'] and "SinglePartition" not in plan_of(df)
+    assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 10
+    assert sorted(map(str, rows(df))) == sorted(map(str, want))
+    marked = read_csv(spark, str(tmp_path), multi_line=True, mark=True)
+    numbered = number_rows(marked, marked).select("row_num", "file").collect()
+    assert sorted(r.row_num for r in numbered) == sorted([*range(2, 122)] * 2)
+
+
+def test_records_that_do_not_fit_are_marked(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "a,b", '1,"x', 'y"', "2", "3,4,5", "", '6,"7"')
+    got = rows(read_csv(spark, path, multi_line=True, mark=True).select("a", "b", MALFORMED))
+    assert sorted(got) == [("1", "x\ny", None), ("2", None, "2"), ("3", "4", "3,4,5"), ("6", "7", None)]
+    assert rows(read_csv(spark, write(tmp_path / "e.csv", "a,b"), multi_line=True)) == []
+
+
+def compact(row):
+    """Nested values without the white space between their parts, which only one of the readers keeps."""
+    nested = [isinstance(c, str) and c[:1] in ("{", "[") and len(c) > 1 and c[-1] in "}]" for c in row]
+    return str([json.dumps(json.loads(c)) if n else c for c, n in zip(row, nested)])
+
+
+def test_json_array_in_many_tasks(spark, tmp_path, small_splits):
+    """Nested objects, braces and quotes in strings, numbers as written, on one line or on many."""
+    rng = random.Random(5)
+    values = ["", "x", 'a "b" }{ ,', "\\", '\\"', "}", "{", "é\u2028", 1.5, 10**20, True, None, {"k": "}", "l": {"m": '"'}}, ["{", {"n": 1}], "long {" * 60]
+    records = [{k: rng.choice(values) for k in ("id", "b.c", "d")} for _ in range(300)]
+    for n, indent in enumerate((None, 2)):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / "r.json").write_text(json.dumps(records, indent=indent, ensure_ascii=n == 0), encoding="utf-8")
+        df = read_json(spark, str(folder / "r.json"), columns=["id", "b.c", "d", "absent"])
+        whole = spark.read.option("multiLine", True).schema("id string, `b.c` string, d string, absent string").json(str(folder))
+        assert df.columns == whole.columns
+        assert sorted(map(compact, rows(df))) == sorted(map(compact, rows(whole))) and df.count() == 300
+        marked = read_json(spark, str(folder / "r.json"), columns=["id"], mark=True)
+        numbered = number_rows(marked, marked).collect()
+        assert sorted(r.row_num for r in numbered) == [*range(2, 302)] and {r[MALFORMED] for r in numbered} == {None}
+    assert spark.read.option("lineSep", "}").text(str(tmp_path / "0")).rdd.getNumPartitions() > 10
+
+
+def test_key_order_of_a_deep_first_record(spark, tmp_path):
+    first = {"z": 1, **{f"k{n}": {"deep": {"deeper": n}} for n in range(100)}, "a": 2}
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps([first, {"a": 1, "z": 2}]))
+    columns = read_json(spark, str(path)).columns
+    assert columns == list(first)
+    (tmp_path / "e.json").write_text("[]")
+    assert rows(read_json(spark, str(tmp_path / "e.json"), columns=["a"])) == []

@@ -160,3 +160,22 @@ def test_readiness_with_almost_nothing(table):
     got = readiness.readiness(table([("1",)], "student_id string"), table([(1,)], "x int")).collect()
     assert {r.status for r in got} == {"Unavailable"}
     assert all(r.coverage is None for r in got)
+
+
+def test_findings_and_line_numbers_come_from_one_scan(spark, tmp_path, plan_of):
+    """Issues, their sample and their line numbers, over files of many splits."""
+    lines = [f"{n},{'math' if n % 7 else 'art'},2025-01-02,{30 if n % 11 else 'x'},t" for n in range(400)]
+    (tmp_path / "s.csv").write_text("student_id,session_topic,session_date,session_duration,tutor_id\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        found = load_dataset(spark, str(tmp_path / "s.csv"), "session").validation
+        for table in (found.issues, found.sample):
+            assert plan_of(table).split("Initial Plan")[0].count("FileScan") == 1
+        got = sorted((r.row_num, r.rule) for r in found.issues.collect())
+        sample = [(r.rule, r.row_num) for r in found.sample.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = sorted([(n + 2, "unsupported_topic") for n in range(0, 400, 7)] + [(n + 2, "not_numeric") for n in range(0, 400, 11)])
+    assert got == want and sorted(sample) == [("unsupported_topic", n + 2) for n in range(0, 140, 7)]

@@ -241,10 +241,14 @@ def numbered_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``_key``, a digest of the key columns and that number that no other row of equal keys has.
 
     Equal rows are counted, partly before the shuffle, and written out again in runs, so neither a
-    retry nor another partitioning changes the digests.  Columns must be comparable.
+    retry nor another partitioning changes the digests.  Runs are dealt to all tasks before they are written out, so
+    a row that is repeated very often is the work of many.  Columns must be comparable.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     runs = counts.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / ROWS_PER_RUN))))
+    # With their number given, tasks are not merged for the few bytes that runs have.
+    runs = runs.repartition(tasks, *df.columns, "_run")
     first = F.col("_run") * ROWS_PER_RUN
     copies = F.sequence(first, F.least(first + ROWS_PER_RUN, F.col("_copies")) - 1)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in keys]

@@ -30,8 +30,8 @@ _COARSE, _FINE = "_coarse", "_fine"
 _CELLS = (_COARSE, _FINE)
 COARSE_STEPS = 256
 FINE_STEPS = 1 << 16
-#: Cells that a coarse one is cut into where all its values are ranked.
-GINI_STEPS = 1 << 8
+#: Cells that a coarse one is cut into where one level has to do.
+CELL_STEPS = 1 << 8
 #: The summary of a quantile is off by one in so many rows at most.
 SUMMARY_STEPS = 10_000
 # Above any shift that brings the exponents of doubles, -1074 to 1023, into the positive.
@@ -133,14 +133,10 @@ def ranked_values(
     )
 
 
-def _counted_sql(value: str, by: Sequence[str]) -> str:
-    """Common table ``celled``: group, distinct value, its rows and its cells, from the frame {src}."""
-    keys = "".join(f"{quoted(c)}, " for c in by)
-    group = f"struct({keys[:-2]})" if by else "0"
-    cell = ", ".join(f"{sql} AS {name}" for name, sql in cells_sql("v").items())
-    return f"""counted AS (
-      SELECT {keys}{quoted(value)} AS v, count(*) AS n FROM {{src}} WHERE {quoted(value)} IS NOT NULL GROUP BY {keys}{quoted(value)}
-    ), celled AS (SELECT {group} AS g, double(v) AS v, n, {cell} FROM counted)"""
+def _cell_sql(value: str) -> str:
+    """One cell for coarse and the leading bits of fine, as SQL."""
+    coarse, fine = cells_sql(value).values()
+    return f"(({coarse}) * {CELL_STEPS}L + ({fine}) DIV {max(FINE_STEPS // CELL_STEPS, 1)})"
 
 
 _EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -215,8 +211,9 @@ def gini(df: DataFrame, value: str) -> Column:
     A value occupying ranks b+1..b+n contributes value * (n*b + n(n+1)/2).  Values are ranked inside cells of the same
     leading bits; a cell's contribution is what it has inside, and its sum times the rows of smaller cells.
     """
-    cell = f"{_COARSE} * {GINI_STEPS}L + sign({_COARSE}) * ({_FINE} DIV {max(FINE_STEPS // GINI_STEPS, 1)})"
-    query = f"""WITH {_counted_sql(value, ())}, split AS (SELECT v, n, bigint({cell}) AS cell FROM celled), ranked AS (
+    query = f"""WITH counted AS (
+      SELECT {quoted(value)} AS v, count(*) AS n FROM {{src}} WHERE {quoted(value)} IS NOT NULL GROUP BY {quoted(value)}
+    ), split AS (SELECT double(v) AS v, n, {_cell_sql("v")} AS cell FROM counted), ranked AS (
       SELECT cell, v * n AS s, n, v * (double(n) * coalesce(sum(n) OVER (PARTITION BY cell ORDER BY v {_EARLIER}), 0) + double(n) * (n + 1) / 2) AS part
       FROM split
     ), summed AS (SELECT cell, sum(n) AS n, sum(s) AS s, sum(part) AS part FROM ranked GROUP BY cell), whole AS (
@@ -230,32 +227,20 @@ def gini(df: DataFrame, value: str) -> Column:
 def smallest_rows(df: DataFrame, value: str, ties: Sequence[str], k: int) -> DataFrame:
     """Exactly the k first rows by ``value``, then by ``ties``, which must tell all rows apart.
 
-    Rows are counted by coarse cell, in the cell where the k-th lies by fine cell, and there by value.
-    What lies below is taken by a filter.  Rows with the very value of the k-th are sorted in one task,
-    so the value should not have many equals.
+    One histogram by cell shows in which cell the k-th row lies.  Rows of the cells up to it are ranked in their cell,
+    which decides for the last one only.  A cell holds the rows that agree in sign, exponent and the leading
+    16 bits, so the value should not have many near equals.
     """
-    celled = df.withColumns(cells(value))
-    found: Column | None = None
-    known: list[str] = []
-    for column in (*_CELLS, value):
-        rows, before = celled, F.lit(0).cast("long")
-        if found is not None:
-            here = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_at.{c}") for c in known))
-            rows, before = celled.withColumn("_at", found).filter(here), F.col("_at.before")
-        counts = rows.groupBy(*(["_at"] if known else []), column).agg(F.count(F.lit(1)).alias("_rows"))
-        upto = before + F.sum("_rows").over(Window.orderBy(column))
-        counts = counts.select("*", upto.alias("_upto"), (upto - F.col("_rows")).alias("before"))
-        place = F.struct(*(F.col(f"_at.{c}").alias(c) for c in known), column, "before")
-        holds = (F.col("before") < F.lit(k)) & (F.lit(k) <= F.col("_upto"))
-        found = counts.agg(F.max(F.when(holds, place))).scalar()
-        known.append(column)
-    placed = celled.withColumn("_at", found)
+    celled = df.withColumn("_cell", F.expr(_cell_sql(quoted(value))))
+    counts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.orderBy("_cell"))
+    counts = counts.select("_cell", upto.alias("_upto"), (upto - F.col("_rows")).alias("before"))
+    holds = (F.col("before") < F.lit(k)) & (F.lit(k) <= F.col("_upto"))
+    found = counts.agg(F.max(F.when(holds, F.struct("_cell", "before")))).scalar()
     # Without a k-th row there are fewer than k, and all of them are meant.
-    below = placed.filter(F.col("_at").isNull() | (F.col(value) < F.col(f"_at.{value}")))
-    order = F.row_number().over(Window.orderBy(*ties))
-    equal = placed.filter(F.col(value) == F.col(f"_at.{value}")).withColumn("_order", order)
-    equal = equal.filter(F.col("_order") <= F.lit(k) - F.col("_at.before"))
-    return below.select(*df.columns).unionByName(equal.select(*df.columns))
+    rows = celled.withColumn("_at", found).filter("_at IS NULL OR _cell <= _at._cell")
+    rows = rows.withColumn("_order", F.row_number().over(Window.partitionBy("_cell").orderBy(value, *ties)))
+    return rows.filter(f"_at IS NULL OR _cell < _at._cell OR _order <= {int(k)} - _at.before").select(*(quoted(c) for c in df.columns))
 
 
 def centred_rolling_sums(
