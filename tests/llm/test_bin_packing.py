@@ -101,6 +101,20 @@ def test_given_clusters_and_clashing_columns(spark):
     assert got[1].bin_id != got[2].bin_id and got[3].bin_id in (got[1].bin_id, got[2].bin_id)
 
 
+def test_bins_do_not_depend_on_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(bin_packing, "SHARD_PIECES", 60)
+    monkeypatch.setattr(bin_packing, "COPIES_A_RUN", 7)
+    df, rows = documents
+    repeated = df.union(spark.createDataFrame([rows[3]] * 100, df.schema))
+
+    def bins(parts):
+        packed = bin_packing.pack(repeated.repartition(parts), capacity=500).collect()
+        return sorted(((r.bin_id, str(r.doc_id), r.piece, r.n_words, str(r.source)) for r in packed), key=str)
+
+    first = bins(1)
+    assert first == bins(6) == bins(13) and len(first) > len(rows) + 100 - 1
+
+
 def test_empty(no_documents):
     assert bin_packing.pack(no_documents).collect() == []
 

@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.llm.source_mix import word_count
-from tutorspark.llm.storage import keep
+from tutorspark.llm.storage import exactly, keep
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
 SPACES = r"[\x20\x09-\x0D]+"
 BINS_A_SHARD = 32
+COPIES_A_RUN = 10_000
 
 
 class Bins:
@@ -109,6 +110,18 @@ def duplicate_cluster(text: Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``, their number among equal ones: these are counted and written out again in runs, which
+    are dealt to all tasks."""
+    counts = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    run = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES_A_RUN)))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = counts.withColumn("run", run).repartition(tasks, *rows.columns, "run")
+    first = F.col("run") * COPIES_A_RUN
+    copy = F.explode(F.sequence(first, F.least(first + COPIES_A_RUN, F.col("copies")) - 1))
+    return runs.select(*rows.columns, copy.alias("copy"))
+
+
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -123,20 +136,25 @@ def pack(
     first_word + n_words of its text.  ``cluster`` tells duplicates (by default copies of the text); a
     NULL source or cluster conflicts with nothing.  Pieces of one document and repeated rows are of
     one cluster and never share a bin.  A NULL text, or one without words, is one piece of no words and
-    has no bin (bin_id and bin_words NULL).  Other columns are not carried.
+    has no bin (bin_id and bin_words NULL).  Other columns are not carried.  Bins depend on the rows alone, not on
+    their order or partitions.
     """
+    number, words, origin = exactly([id_col, text, source])
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        word_count(F.col(text)).alias("words"),
-        F.col(source).alias("source"),
-        (duplicate_cluster(F.col(text)) if cluster is None else cluster).alias("cluster"),
+        number.alias("doc_id"),
+        word_count(words).alias("words"),
+        origin.alias("source"),
+        (duplicate_cluster(words) if cluster is None else cluster).alias("cluster"),
+        F.xxhash64(words).alias("hash"),
     )
+    rows = _numbered(rows)
     last = F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("piece").cast("long") * capacity
     size = F.least(F.col("words") - first, F.lit(capacity)).cast("long")
-    # Numbers are given once and read from the written table ever after.
-    pieces = keep(pieces.withColumn("first_word", first).withColumn("n_words", size).drop("words").withColumn("number", F.monotonically_increasing_id()))
+    # Equal rows differ in their copy's number, so each piece has a key of its own that says nothing of partitions.
+    key = F.xxhash64("doc_id", "piece", "words", "source", "cluster", "hash", "copy")
+    pieces = keep(pieces.withColumn("first_word", first).withColumn("n_words", size).withColumn("number", key).drop("words", "hash", "copy"))
     filled = pieces.filter("n_words > 0")
     shards = max(1, -(-filled.count() // SHARD_PIECES))
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
