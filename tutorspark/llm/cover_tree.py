@@ -32,6 +32,9 @@ PIVOT_LABELS = 128
 #: Radii of the levels below a root of radius 2; below the last, points.
 RADII = (1.0, 0.5, 0.25, 0.125)
 ROUNDING = 1e-7
+#: Pairs cost so much more one by one than as part of a whole product.
+DENSE = 8
+PAIRS_AT_ONCE = 1 << 16
 
 
 @dataclass
@@ -47,13 +50,12 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray):
         self.points = points
-        near = points @ points.T
         members = [np.arange(len(points))]
         centres = [0]
         self.levels: list[Level] = []
         for radius in (*RADII, 0.0):
-            reach = [np.sqrt(max(0.0, 2 - 2 * near[c, m].min())) for c, m in zip(centres, members, strict=True)]
-            split = [self._children(near, c, m, radius) for c, m in zip(centres, members, strict=True)]
+            reach = [np.sqrt(max(0.0, 2 - 2 * (points[m] @ points[c]).min())) for c, m in zip(centres, members, strict=True)]
+            split = [self._children(points, c, m, radius) for c, m in zip(centres, members, strict=True)]
             count = np.array([len(s) for s in split])
             self.levels.append(Level(np.array(centres), np.array(reach), np.cumsum(count) - count, count))
             centres = [c for s in split for c, _ in s]
@@ -61,8 +63,11 @@ class CoverTree:
         self.levels.append(Level(np.array(centres), np.zeros(len(centres)), np.zeros(0, int), np.zeros(0, int)))
 
     @staticmethod
-    def _children(near: np.ndarray, centre: int, members: np.ndarray, radius: float) -> list[tuple[int, np.ndarray]]:
-        """Members dealt to centres more than the radius apart, the node's own centre first."""
+    def _children(points: np.ndarray, centre: int, members: np.ndarray, radius: float) -> list[tuple[int, np.ndarray]]:
+        """Members dealt to centres more than the radius apart, the node's own centre first.
+
+        A centre is compared with the members that no earlier one has taken, and with nothing else.
+        """
         if len(members) == 1:
             return [(centre, members)]
         if radius == 0.0:
@@ -70,21 +75,31 @@ class CoverTree:
         least, left, found = 1 - radius * radius / 2, members, []
         while len(left):
             head = centre if not found else int(left[0])
-            inside = near[head, left] >= least
+            inside = points[left] @ points[head] >= least
             inside |= left == head
             found.append((head, left[inside]))
             left = left[~inside]
         return found
 
 
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the points i of one matrix and j of another: one by one where few of all pairs are wanted."""
+    rows, x = np.unique(i, return_inverse=True)
+    columns, y = np.unique(j, return_inverse=True)
+    if len(i) * DENSE >= len(rows) * len(columns):
+        return (a[rows] @ b[columns].T)[x, y]
+    found = np.empty(len(i))
+    for first in range(0, len(i), PAIRS_AT_ONCE):
+        part = slice(first, first + PAIRS_AT_ONCE)
+        found[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+    return found
+
+
 def near_points(a: CoverTree, b: CoverTree, reach: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points of two trees that the bounds cannot tell apart; of one tree (same), each pair once."""
     i = j = np.zeros(1, np.int64)
     for left, right in zip(a.levels, b.levels, strict=True):
-        rows, x = np.unique(i, return_inverse=True)
-        columns, y = np.unique(j, return_inverse=True)
-        dots = a.points[left.centre[rows]] @ b.points[right.centre[columns]].T
-        apart = np.sqrt(np.maximum(0.0, 2 - 2 * dots[x, y]))
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * _dots(a.points, left.centre[i], b.points, right.centre[j])))
         open_ = apart <= left.radius[i] + right.radius[j] + reach + ROUNDING
         i, j = i[open_], j[open_]
         if left is a.levels[-1]:
