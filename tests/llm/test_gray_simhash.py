@@ -1,5 +1,6 @@
 """The Gray-order index against the plain definition."""
 
+import random
 import re
 
 import numpy as np
@@ -150,3 +151,15 @@ def test_own_columns_are_kept(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash string, `a.b` int")
     got = gray_simhash.drop_near_duplicates(df)
     assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, (df.collect()[0], df.collect()[2])))
+
+
+@pytest.mark.parametrize("shingle", [1, 3])
+def test_a_long_text_in_pieces(spark, monkeypatch, shingle):
+    """Texts far longer than what is hashed at once, with words as long, have the fingerprint of the whole."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["A", "bé", "c\td", "e" * 400]) for _ in range(3000)), "x" * 300_000, "a " + "y" * 100_000, " " * 50_000 + "Z z", " " * 50_000]
+    monkeypatch.setattr(gray_simhash, "SLICE_BYTES", 1 << 11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in gray_simhash.fingerprints(df, shingle=shingle).collect()}
+    for n, text in enumerate(texts):
+        assert got[n] % 2**64 == plain_fingerprint(text, shingle)

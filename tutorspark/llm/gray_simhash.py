@@ -12,6 +12,7 @@ group once they exceed the bound.  A node too large for one task is divided the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -35,6 +36,7 @@ NODE_ROWS = 1 << 17
 SEARCHES = 1 << 14
 
 FULL = (1 << 64) - 1
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _fingerprints(batch: pa.RecordBatch, shingle: int) -> np.ndarray:
@@ -66,14 +68,39 @@ def _fingerprints(batch: pa.RecordBatch, shingle: int) -> np.ndarray:
     return prints.view(np.int64)
 
 
+def _long_fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint of one long text, whose shingles are hashed some at a time and their bits added up."""
+    ones, count, at, tail = np.zeros(64, np.int64), 0, 0, b""
+    while at < len(text):
+        space = SPACE.search(text, at + SLICE_BYTES)
+        end = space.start() if space else len(text)
+        words = (tail + text[at:end]).lower().split()
+        pieces = (b" ".join(words[n : n + shingle]) for n in range(len(words) - shingle + 1))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in pieces), dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones, count, at = ones + bits.sum(axis=0, dtype=np.int64), count + len(hashes), end
+        tail = b" ".join(words[max(len(words) - shingle + 1, 0) :]) + b" "
+    if not count:
+        words = tail.split()
+        return _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) if words else 0
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8").astype("<u8").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) of every row; a NULL or empty text has fingerprint zero."""
+    """(doc_id, fingerprint) of every row; a NULL or empty text has fingerprint zero.
+
+    Texts are read whole; of one that is very long, some shingles are held at a time.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_fingerprints(part, shingle))], ["doc_id", "fingerprint"])
+                if part.num_rows == 1 and len(utf8(part.column("text"))[0]) > 2 * SLICE_BYTES:
+                    prints = np.array([_long_fingerprint(part.column("text")[0].as_buffer().to_pybytes(), shingle)])
+                else:
+                    prints = _fingerprints(part, shingle)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fingerprint"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(kernel, f"doc_id {kind}, fingerprint long")
