@@ -2,7 +2,7 @@
 
 import random
 import re
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 
@@ -183,6 +183,66 @@ def test_query(spark):
     assert len(got) == 1000 and sum(r.n_values for r in got) > 30
 
 
+NOTATIONS = [
+    ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+    ["12/25/1980", "1980-12-25", "25.12.1980", "1980/12/25", "25-12-1980", "1980-12-25T10:00:00Z"],
+    ["05/03/1980", "5/3/1980", "1980-5-3", "1980-05-03", "3.5.1980"],
+    ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ["555-123-4567", "(555) 123-4567", "555.123.4567", "555 123 4567", "5551234567"],
+    ["+49 30 1234567", "+49 (30) 123-4567", "+49 30 123 4567"],
+]
+
+
+def canonical(text):
+    """A value without its notation, read by code of its own."""
+    text = re.sub(r"T\d\d:.*", "", text)
+    for form in ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y", "%d-%m-%Y"):
+        try:
+            return datetime.strptime(text, form).date()
+        except ValueError:
+            pass
+    return re.sub(r"[^A-Z0-9+]", "", text)
+
+
+@pytest.mark.parametrize("values", NOTATIONS, ids=lambda v: v[0])
+def test_values_are_linked_however_they_are_written(values):
+    replace, back = Replacer(KEY, pseudonyms.ALL_KINDS), Replacer(KEY, pseudonyms.ALL_KINDS, back=True)
+    assert len({canonical(v) for v in values}) == 1
+    new = [replace(f"on {v}, too")[0][3:-5] for v in values]
+    assert len({canonical(v) for v in new}) == 1 and canonical(new[0]) != canonical(values[0])
+    for old, other in zip(values, new, strict=True):
+        assert re.sub("[0-9A-Z]+", "", old) == re.sub("[0-9A-Z]+", "", other)
+        assert canonical(back(f"on {other}, too")[0][3:-5]) == canonical(old)
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + n % 2) for n, d in enumerate(reversed(digits))]
+    return sum(sum(divmod(d, 10)) for d in doubled) % 10 == 0
+
+
+def test_pseudonyms_are_valid_and_distinct():
+    """By checks of the test's own: Luhn sums, the calendar, IBANs modulo 97."""
+    replace, rng = Replacer(KEY, pseudonyms.ALL_KINDS), random.Random(2)
+    cards = {f"{n}{c}" for n in rng.sample(range(10**14, 10**15), 400) for c in range(10) if luhn(f"{n}{c}")}
+    new = {replace(c)[0] for c in cards}
+    assert len(new) == len(cards) and all(len(c) == 16 and luhn(c) for c in new) and len(new & cards) < 3
+    days = {date.fromordinal(rng.randrange(date(1950, 1, 1).toordinal(), date(2020, 1, 1).toordinal())) for _ in range(2000)}
+    assert len({datetime.strptime(replace(d.strftime("%m/%d/%Y"))[0], "%m/%d/%Y") for d in days}) == len(days)
+    for n in range(200):
+        body = f"37040044{n:010}"
+        iban = f"DE{98 - int(f'{body}131400') % 97:02}{body}"
+        other = replace(iban)[0]
+        assert other != iban and int(other[4:] + "1314" + other[2:4]) % 97 == 1
+    phones = {f"{n}" for n in rng.sample(range(2 * 10**9, 10**10), 500)}
+    new = {replace(p)[0] for p in phones}
+    assert len(new) == len(phones) and all(re.fullmatch("[2-9][0-9]{9}", p) for p in new)
+
+
+@pytest.mark.parametrize("value", ["1980-13-5", "2/30/1980", "1234567890", "0551234567", "55512345678", "1980-12-25Tuesday", "v5551234567", "5551234567.5"])
+def test_what_only_looks_like_a_value_stays(value):
+    assert Replacer(KEY, pseudonyms.ALL_KINDS)(f" {value} ") == (f" {value} ", [])
+
+
 def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, `a.b` int")
     got = pseudonyms.pseudonymise(df, "key").collect()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorspark.llm.arrow_text import ASCII_LOWER, first_of, hash_runs, runs, slices, spread, utf8
-from tutorspark.llm.storage import exactly
+from tutorspark.llm.storage import exactly, numbered
 
 SAMPLE_DOCS = 400
 #: Languages that are learned, those of the most documents: more are no languages but dirt.
@@ -392,7 +392,9 @@ def label_languages(docs: DataFrame, field: Field | None, text: str = "text", wi
     types = {"lang_pred": "string", "score": "double", "n_letter_words": "long", "n_switches": "long"}
     if with_runs:
         types["lang_runs"] = "array<struct<lang:string,words:long>>"
-    carried = [c for c in (docs.columns if columns is None else columns) if c.lower() not in types]
+    names = [c for c in (docs.columns if columns is None else columns) if c.lower() not in types]
+    read, plain = numbered(docs, [*names, text])
+    carried, text = [plain[c] for c in names], plain[text]
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
@@ -403,9 +405,8 @@ def label_languages(docs: DataFrame, field: Field | None, text: str = "text", wi
                 new += [pa.array(spans, run)] * with_runs
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + new, [*carried, *types])
 
-    read = docs.select(*exactly(dict.fromkeys([*carried, text])))
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
-    return read.mapInArrow(kernel, ", ".join(schema + [f"{c} {t}" for c, t in types.items()]))
+    schema = [f"{c} {read.schema[c].dataType.simpleString()}" for c in carried]
+    return read.mapInArrow(kernel, ", ".join(schema + [f"{c} {t}" for c, t in types.items()])).toDF(*names, *types)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

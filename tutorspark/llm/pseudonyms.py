@@ -2,9 +2,10 @@
 
 A value is found by its shape, checked (card numbers and IBANs by their check digits, dates by the calendar,
 network addresses by their octets), numbered within all valid values of its format, sent through a keyed
-Feistel permutation of those numbers, and written back in the same format.  So it stays valid and keeps
-its separators and length, equal values become equal pseudonyms in all documents, different ones
-different, and with the key they can be turned back.
+Feistel permutation of those numbers, and written back in the notation that was found.  So it stays valid and keeps
+its separators, equal values become equal pseudonyms in all documents, however they are written,
+different ones different, and with the key they can be turned back.  A format is what a value is and not how it is
+written: a card number of so many digits, a day, an account of a country.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tutorspark.llm.arrow_text import slices, utf8
-from tutorspark.llm.storage import exactly
+from tutorspark.llm.storage import numbered
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -109,7 +110,7 @@ def _card_number(text: str) -> tuple[int, str, int] | None:
     digits = _only_digits(text)
     if check_digit(digits[:-1]) != digits[-1]:
         return None
-    return int(digits[:-1]), _separators(text), 10 ** (len(digits) - 1)
+    return int(digits[:-1]), str(len(digits)), 10 ** (len(digits) - 1)
 
 
 def _card_write(shape: str, number: int) -> str:
@@ -148,13 +149,18 @@ def _phone_parts(text: str) -> tuple[str, str]:
 def _phone_number(text: str) -> tuple[int, str, int] | None:
     country, rest = _phone_parts(text)
     digits = _only_digits(rest)
-    form, size = country + _separators(rest), 10 ** len(digits)
+    form, size = f"{country}|{len(digits)}", 10 ** len(digits)
     if not re.search(CARD, text):
-        return int(digits), form, size
+        if country or len(digits) != 10:
+            return int(digits), form, size
+        # Ten digits are a number without separators, too, if the first is none of 0 and 1; so stay those.
+        first = 0 if digits[0] in "01" else 2 * 10**9
+        return int(digits) - first, f"{form}|{'01' if first == 0 else '2-9'}", 2 * 10**9 if first == 0 else 8 * 10**9
     # A long number without separators is no card number, and its pseudonym must not be one either.
     wrong = _not_check(text)
     if wrong is None or digits[-1] not in wrong:
         return None
+    form += "|unbroken"
     return int(digits[:-1]) * 9 + wrong.index(digits[-1]), form, size // 10 * 9
 
 
@@ -167,6 +173,8 @@ def _phone_write(shape: str, number: int) -> str:
     country, rest = _phone_parts(shape)
     length = len(_only_digits(rest))
     if not re.search(CARD, shape):
+        if not country and length == 10 and _only_digits(rest)[0] not in "01":
+            number += 2 * 10**9
         return country + _refill(rest, str(number).zfill(length))
     body, last = divmod(number, 9)
     new = country + str(body).zfill(length - 1)
@@ -192,7 +200,7 @@ def _iban_number(text: str) -> tuple[int, str, int] | None:
     account = text[4:].replace(" ", "")
     if _iban_check(text[:2], account) != text[2:4]:
         return None
-    number, shape, size = _spelt_number(text[4:])
+    number, shape, size = _spelt_number(account)
     return number, text[:2] + shape, size
 
 
@@ -231,16 +239,23 @@ def _date_number(text: str) -> tuple[int, str, int] | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    return day - FIRST_DAY, _separators(text), LAST_DAY - FIRST_DAY + 1
+    return day - FIRST_DAY, "day", LAST_DAY - FIRST_DAY + 1
+
+
+def _padding(shape: str) -> int:
+    """Digits that days and months have at least: one if any of the shape has one, as in 5/3/1980."""
+    return min(map(len, re.split(r"[-/.]", shape)), default=2)
 
 
 def _date_write(shape: str, number: int) -> str:
-    day = date.fromordinal(number + FIRST_DAY)
-    part = {"y": f"{day.year:04}", "m": f"{day.month:02}", "d": f"{day.day:02}"}
-    return _refill(shape, "".join(part[c] for c in _date_order(shape)))
+    day, width = date.fromordinal(number + FIRST_DAY), min(_padding(shape), 2)
+    part = {"y": f"{day.year:04}", "m": f"{day.month:0{width}}", "d": f"{day.day:0{width}}"}
+    mark = re.search(r"[-/.]", shape).group()
+    return mark.join(part[c] for c in _date_order(shape))
 
 
-# Slash dates that month first is none of: day first, with a day over 12, numbered among themselves.
+# Slash dates that month first is none of: day first, with a day over 12, numbered among themselves, as a pseudonym
+# that could be read month first would be another day.
 LATE_BEFORE = [0, *accumulate(monthrange(1900 + n // 12, n % 12 + 1)[1] - 12 for n in range(2400))]
 
 
@@ -253,7 +268,7 @@ def _late_number(text: str) -> tuple[int, str, int] | None:
 
 def _late_write(shape: str, number: int) -> str:
     month = bisect_right(LATE_BEFORE, number) - 1
-    return f"{number - LATE_BEFORE[month] + 13:02}/{month % 12 + 1:02}/{1900 + month // 12:04}"
+    return f"{number - LATE_BEFORE[month] + 13:02}/{month % 12 + 1:0{_padding(shape)}}/{1900 + month // 12:04}"
 
 
 def _alphabet(char: str) -> str | None:
@@ -294,6 +309,8 @@ def _mail_write(shape: str, number: int) -> str:
     return _spelt_write(shape[:cut], number) + shape[cut:]
 
 
+#: Nothing that would make more of a date than a date; a time of day may follow.
+DATE_END = r"(?:(?=T\d{2}:?\d{2})|(?![\w/-]|\.\d))"
 #: In the order in which they claim a stretch of text that fits more than one.  A local part of a mail
 #: address keeps its letters' case, digits and punctuation in place; its domain stays.
 KINDS = (
@@ -305,13 +322,18 @@ KINDS = (
     Kind("insurance", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _insurance_number, _insurance_write),
     Kind(
         "date",
-        r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)",
+        rf"(?<![\w./-])(?:\d{{4}}([-/.])\d{{1,2}}\1\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\2\d{{4}}){DATE_END}",
         _date_number,
         _date_write,
     ),
 )
-#: What ``pseudonymise`` replaces: slash dates are read day first, too, when month first is no date.
-ALL_KINDS = (*KINDS, Kind("day_first_date", r"(?<![\w./-])\d{2}/\d{2}/\d{4}(?![\w/-]|\.\d)", _late_number, _late_write))
+#: What ``pseudonymise`` replaces: slash dates are read day first, too, when month first is no date, and ten digits in
+#: a row that begin with none of 0 and 1 are a phone number.
+ALL_KINDS = (
+    *KINDS,
+    Kind("day_first_date", rf"(?<![\w./-])\d{{2}}/\d{{1,2}}/\d{{4}}{DATE_END}", _late_number, _late_write),
+    Kind("phone", r"(?<![\w+./-])[2-9]\d{9}(?![\w/-]|\.\d)", _phone_number, _phone_write),
+)
 HAS_NUMBER = np.zeros(256, dtype=bool)
 HAS_NUMBER[ord("0") : ord("9") + 1] = True
 HAS_NUMBER[ord("@")] = True
@@ -368,11 +390,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", values: str = "p
     """The rows of ``docs`` with the values in their texts replaced, and ``values``: array of
     (start, end, kind) of each in the old text, in code points.
 
-    Invalid numbers and dates are left alone.  A NULL text stays NULL and has no values.  A column of
+    Invalid numbers and dates are left alone.  Values are linked however they are written: card numbers, accounts and
+    phone numbers by their digits, dates by the day.  A slash date with a day over 12 in front is linked with its like
+    only, and a date written without leading zeros comes back with them if its pseudonym needed none.  A NULL text stays NULL and has no values.  A column of
     the input that is called as ``values`` is left out.  Rows are replaced one by one: repeated rows
     alike, an empty table gives an empty one.  ``back`` turns pseudonyms into the values again.
     """
-    carried = [c for c in docs.columns if c.lower() != values.lower()]
+    names = [c for c in docs.columns if c.lower() != values.lower()]
+    read, plain = numbered(docs, names)
+    carried, text = list(plain.values()), plain[text]
     secret = key.encode()
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -392,7 +418,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", values: str = "p
                         spans[row] = [{"start": s, "end": e, "kind": k} for s, e, k in found]
                     column = pa.array(texts, column.type)
                 columns = [column if c == text else part.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)], [*carried, values])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)], [*carried, "found"])
 
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
-    return docs.select(*exactly(carried)).mapInArrow(kernel, ", ".join([*schema, f"`{values}` array<struct<start:int,end:int,kind:string>>"]))
+    schema = [f"{c} {read.schema[c].dataType.simpleString()}" for c in carried]
+    found = read.mapInArrow(kernel, ", ".join([*schema, "found array<struct<start:int,end:int,kind:string>>"]))
+    return found.toDF(*names, values)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutorspark.llm.arrow_text import ASCII_LOWER, slices, utf8
-from tutorspark.llm.storage import exactly
+from tutorspark.llm.storage import numbered
 
 #: Sets of strings larger than this are not followed further.
 MAX_STRINGS = 64
@@ -252,7 +252,9 @@ def search(rule: Rule, expression: re.Pattern, text: str) -> list[tuple[int, int
 
 def _scan(docs: DataFrame, rules: Sequence[Rule], text: str, carried: Sequence[str], spans: str | None, mark: str | None) -> DataFrame:
     """Columns ``carried``, then the spans if they are given a name; with a mark, texts are masked."""
-    rules, carried = tuple(rules), list(carried)
+    rules, names = tuple(rules), list(carried)
+    read, plain = numbered(docs, [*names, text])
+    carried, text = [plain[c] for c in names], plain[text]
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +282,11 @@ def _scan(docs: DataFrame, rules: Sequence[Rule], text: str, carried: Sequence[s
                     keys = ("start", "end", "kind")
                     lists = [[dict(zip(keys, hit)) for hit in ordered.get(row, ())] for row in range(part.num_rows)]
                     out.append(pa.array(lists, pa.list_(span)))
-                yield pa.RecordBatch.from_arrays(out, carried + [spans] * (spans is not None))
+                yield pa.RecordBatch.from_arrays(out, carried + ["found"] * (spans is not None))
 
-    read = docs.select(*exactly(dict.fromkeys([*carried, text])))
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
-    return read.mapInArrow(kernel, ", ".join(schema + [f"`{spans}` {SPAN}"] * (spans is not None)))
+    schema = [f"{c} {read.schema[c].dataType.simpleString()}" for c in carried]
+    found = read.mapInArrow(kernel, ", ".join(schema + [f"found {SPAN}"] * (spans is not None)))
+    return found.toDF(*names, *[spans] * (spans is not None))
 
 
 def scan_texts(

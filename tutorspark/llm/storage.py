@@ -40,6 +40,13 @@ def exactly(names: Iterable[str]) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in names]
 
 
+def numbered(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Some columns as c0, c1, ..., for kernels, which Spark gives no columns with dots in their names; and the new
+    names by the old ones."""
+    plain = {name: f"c{n}" for n, name in enumerate(dict.fromkeys(names))}
+    return docs.select(*exactly(plain)).toDF(*plain.values()), plain
+
+
 def neutral(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     """The frame with columns c0, c1, ..., which no name of an operator's own can meet, and the new names of some."""
     names = [f"c{n}" for n in range(len(docs.columns))]
